@@ -4,22 +4,18 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ["windows"]
+TOPICS = ["windows", "scores", "ranking"]
 
 
-def _modules():
-    return [importlib.import_module(f"seqrank.catalog.{t}") for t in TOPICS]
+def _load():
+    for topic in TOPICS:
+        importlib.import_module(f"seqrank.catalog.{topic}")
+    return importlib.import_module("seqrank.catalog.registry")
 
 
 def queries() -> dict:
-    out: dict = {}
-    for m in _modules():
-        out.update(m.QUERIES)
-    return out
+    return dict(_load().QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    out: dict[str, str] = {}
-    for m in _modules():
-        out.update(m.SQL)
-    return out
+    return dict(_load().SQL)

@@ -8,8 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seqrank.functions.numeric import rounded
+from seqrank.operators.genes import aggregate_genes
+from seqrank.operators.scoring import ABLATIONS, ablate, linear_logit, robust_scale
 from seqrank.operators.windows import attach_genes, tile
-from seqrank.session import spread
+from seqrank.session import durable, spread
+
+
+TIES = ("transcript_id", "window_start", "l_suppkey", "l_extendedprice")
+WEIGHTS = {"A": -0.7, "C": 0.4, "G": 0.9, "U": 1.3}
 
 
 class Inputs:
@@ -82,6 +89,22 @@ class Inputs:
             "l_extendedprice",
         )
 
+    def scored(self) -> DataFrame:
+        """Window scores with scaled components and all score variants, rounded for stable order."""
+        df = self.window_scores()
+        df = robust_scale(df, "motif_raw", "motif_match_score", "motif_match_center", "motif_match_scale")
+        df = robust_scale(df, "structure_raw", "structure_match_score", "structure_match_center", "structure_match_scale")
+        df = ablate(df, 0.6, 0.3).withColumnRenamed("structure_raw", "structure_match_raw")
+        # the scored windows are a stored table: many later steps read a few columns of it
+        return durable(df.withColumns({n: rounded(n, 9) for n in ABLATIONS}))
+
+    def genes(self, score: str = "inverted_base_motif_structure_score") -> DataFrame:
+        return durable(aggregate_genes(self.scored(), score, ["rbp_id", "gene_id"], TIES).drop("transcript_id"))
+
+    def tx_scores(self) -> DataFrame:
+        """Text windows with a rounded linear base score."""
+        return self.windows().withColumn("base_score", rounded(linear_logit(WEIGHTS, 0.1), 9))
+
     def truth(self) -> DataFrame:
         return self.table("part").where("p_size > 40").selectExpr("concat('g',p_partkey) gene_id")
 
@@ -179,6 +202,46 @@ from lineitem group by 1,2""",
        case when l_linenumber=7 then null else ((l_suppkey*31+l_orderkey*7) % 500)/1e2-1 end motif_raw,
        l_quantity/5e1 structure_raw, concat('r',l_returnflag) rbp_id, l_suppkey, l_extendedprice
 from lineitem""",
+    ),
+    "scored": (
+        ["window_scores"],
+        """select rbp_id, gene_id, transcript_id, window_start, window_end, l_suppkey, l_extendedprice, base_logit, motif_raw,
+  structure_raw as structure_match_raw, mc motif_match_center, msc motif_match_scale, motif_match_score,
+  sc structure_match_center, ssc structure_match_scale, structure_match_score,
+  round(1/(1+exp(-b)),9) base_score, round(1-1/(1+exp(-b)),9) inverted_base_score,
+  round(1/(1+exp(-m)),9) motif_only_score, round(1/(1+exp(-s)),9) structure_only_score,
+  round(1/(1+exp(-(m+s))),9) motif_structure_score, round(1/(1+exp(-(b+m))),9) base_motif_score,
+  round(1/(1+exp(-(-b+m))),9) inverted_base_motif_score, round(1/(1+exp(-(b+m+s))),9) base_motif_structure_score,
+  round(1/(1+exp(-(-b+m+s))),9) inverted_base_motif_structure_score
+from (select *, base_logit b, 0.6e0*motif_match_score m, 0.3e0*structure_match_score s from (
+ select w.*, mc, msc, sc, ssc, (motif_raw-mc)/msc motif_match_score, (structure_raw-sc)/ssc structure_match_score
+ from window_scores w join (
+  select rbp_id, mc, case when mi>=1e-6 then mi when md>=1e-6 then md else 1e0 end msc,
+         sc, case when si>=1e-6 then si when sd>=1e-6 then sd else 1e0 end ssc
+  from (select rbp_id, quantile_cont(motif_raw,0.5) mc, quantile_cont(motif_raw,0.75)-quantile_cont(motif_raw,0.25) mi, stddev_pop(motif_raw) md,
+               quantile_cont(structure_raw,0.5) sc, quantile_cont(structure_raw,0.75)-quantile_cont(structure_raw,0.25) si, stddev_pop(structure_raw) sd
+        from window_scores group by 1)) using (rbp_id)))""",
+    ),
+    "genes": (
+        ["scored"],
+        """select rbp_id, gene_id, max(s) max_score, avg(s) filter (rn<=3) top3_mean_score, avg(s) filter (rn<=5) top5_mean_score,
+  avg(s) filter (rn<=10) top10_mean_score, avg(s) filter (rn<=greatest(ceil(ns*0.05),1)) top5_percent_mean_score,
+  max(s)-0.05e0*log2(count(*)+1) window_count_adjusted_score, count(*) n_windows,
+  max(window_start) filter (rn=1) best_window_start, max(window_end) filter (rn=1) best_window_end
+from (select *, inverted_base_motif_structure_score s,
+        count(inverted_base_motif_structure_score) over (partition by rbp_id,gene_id) ns,
+        row_number() over (partition by rbp_id,gene_id order by inverted_base_motif_structure_score desc nulls last,
+                           transcript_id, window_start, l_suppkey, l_extendedprice) rn from scored) group by 1,2""",
+    ),
+    "tx_scores": (
+        ["windows"],
+        """select *, round(0.1e0 - 0.7e0*((200-length(replace(rna_seq,'A','')))/2e2) + 0.4e0*((200-length(replace(rna_seq,'C','')))/2e2)
+   + 0.9e0*((200-length(replace(rna_seq,'G','')))/2e2) + 1.3e0*((200-length(replace(rna_seq,'U','')))/2e2),9) base_score from windows""",
+    ),
+    "tx_top3": (
+        ["tx_scores"],
+        """select * from (select *, row_number() over (partition by gene_id order by base_score desc, transcript_id, window_start) window_rank
+  from tx_scores) where window_rank <= 3""",
     ),
     "truth": ([], "select concat('g',p_partkey) gene_id from part where p_size > 40"),
     "exons": (

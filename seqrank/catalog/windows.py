@@ -4,27 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqrank.catalog.inputs import Inputs, with_views
+from seqrank.catalog.inputs import with_views
+from seqrank.catalog.registry import query
 from seqrank.functions import labels as L
 from seqrank.functions import sequence as S
 from seqrank.functions import structure as A
 from seqrank.functions.numeric import rounded
 from seqrank.operators import features, repeats
 from seqrank.operators import windows as W
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(fn):
-        QUERIES[name] = lambda spark, folder: fn(Inputs(spark, folder))
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-
-    return keep
-
+from seqrank.operators.genes import top_windows
 
 @query(
     "rna_normalise",
@@ -193,7 +181,7 @@ _LONGEST = (
 @query(
     "repeat_features",
     with_views(
-        "windows",
+        "tx_top3",
         """select seq_md5, round(rc4,6) as reverse_complement_4mer_density, round(rc5,6) as reverse_complement_5mer_density,
   round(rc6,6) as reverse_complement_6mer_density, cast(longest as double) as longest_internal_rc_match,
   cast(pairs as double) as internal_rc_pair_count, round(pal,6) as palindrome_score,
@@ -202,7 +190,7 @@ _LONGEST = (
   round(local,6) as local_self_complementarity_score, round(simple,6)+0e0 as simple_repeat_score,
   round(simple,6)+0e0 as simple_repeat_penalty_score
 from f""",
-        extra="w1 as (select distinct rna_seq from windows), km0 as (select rna_seq, "
+        extra="w1 as (select distinct rna_seq from tx_top3), km0 as (select rna_seq, "
         + ", ".join(f"{_KM.format(k=k)} as k{k}" for k in (4, 5, 6))
         + " from w1), km as (select *, "
         + ", ".join(f"list_intersect(k{k}, {_RC.format(x=f'k{k}')}) as b{k}" for k in (4, 5, 6))
@@ -219,7 +207,8 @@ from f""",
     ),
 )
 def repeat_features(v):
-    feats = repeats.repeat_table(v.windows().select("rna_seq").distinct(), version="v2_1")
+    top = top_windows(v.tx_scores(), "base_score", 3, ties=("transcript_id", "window_start"))
+    feats = repeats.repeat_table(top, version="v2_1")
     numeric = [
         "reverse_complement_4mer_density",
         "reverse_complement_5mer_density",

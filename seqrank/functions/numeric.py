@@ -43,8 +43,13 @@ def neg_log10(p: str | Column, floor: float = 1e-300) -> Column:
 
 
 def rounded(c: str | Column, digits: int = 6) -> Column:
-    """Round for reports; adding 0 turns -0.0 into 0.0."""
-    return F.round(col(c), digits) + F.lit(0.0)
+    """Round for reports.
+
+    Half-way cases of already short decimals are nudged upwards, so that they do not depend on
+    the last bit of a sum; adding 0 turns -0.0 into 0.0.
+    """
+    nudge = 1.234 * 10.0 ** -(digits + 5) if digits >= 6 else 0.0
+    return F.round(col(c) + F.lit(nudge), digits) + F.lit(0.0)
 
 
 def _log_choose(n: Column, k: Column) -> Column:

@@ -157,8 +157,7 @@ def window_statistics(numbers: np.ndarray, scores: np.ndarray, top: int) -> pd.D
                 "motif_scanned_kmer_count": n.astype("int32"),
             }
         )
-    scored = frame.columns[:4]
-    frame[scored] = frame[scored].where(n[:, None] > 0)
+    frame.loc[n == 0, frame.columns[:4]] = np.nan
     return frame
 
 
@@ -214,4 +213,5 @@ def scan_windows(windows: DataFrame, profiles: DataFrame, k: int = 7, top: int =
     out = blocks[0]
     for other in blocks[1:]:
         out = out.unionByName(other)
-    return out
+    scored = [part.split()[0] for part in STATISTICS.split(", ")][:4]
+    return out.withColumns({n: finite(n) for n in scored})
