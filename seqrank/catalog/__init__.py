@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ["windows", "scores", "ranking"]
+TOPICS = ["windows", "scores", "ranking", "context"]
 
 
 def _load():

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqrank.functions.numeric import finite
+from seqrank.functions.structure import array_mean
 from seqrank.operators.ranking import rank_rows, top_fraction_mean, top_n
 
 TIES = ("transcript_id", "window_start", "window_end")
@@ -39,7 +40,7 @@ def aggregate_genes(
     """
     keys = list(keys)
     rows = windows.withColumn("_s", finite(score))
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_windows"))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_windows"), F.count("_s").alias("_scored"))
     top = top_n(rows, keys, by_score("_s", ties), 10, "_r")
 
     def mean_to(n: int) -> Column:
@@ -49,9 +50,17 @@ def aggregate_genes(
         F.max("_s").alias("max_score"),
         *[mean_to(n).alias(f"top{n}_mean_score") for n in (3, 5, 10)],
         F.min_by(F.struct(*best), F.col("_r")).alias("_best"),
+        F.sort_array(F.collect_list("_s"), asc=False).alias("_values"),
+    )
+    out = picked.join(sizes, keys)
+    # up to 200 windows the best 5 % are among the ten at hand; only larger genes need a second look
+    large = sizes.where(F.col("_scored") > 200).select(*keys)
+    part = top_fraction_mean(rows.join(large, keys, "left_semi"), keys, "_s", 0.05, "_large_mean")
+    few = F.slice("_values", 1, F.least(F.greatest(F.ceil(F.col("_scored") * 0.05), F.lit(1)), F.lit(10)).cast("int"))
+    out = out.join(part, keys, "left").withColumn(
+        "top5_percent_mean_score",
+        F.when(F.col("_scored") > 200, F.col("_large_mean")).otherwise(array_mean(few)),
     )
-    part = top_fraction_mean(rows, keys, "_s", 0.05, "top5_percent_mean_score")
-    out = picked.join(sizes, keys).join(part, keys, "left")
     out = out.withColumn(
         "window_count_adjusted_score", F.col("max_score") - F.lit(penalty) * F.log2(F.col("n_windows") + 1.0)
     )
