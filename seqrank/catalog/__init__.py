@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ["windows", "scores", "ranking", "context"]
+TOPICS = ["windows", "scores", "ranking", "context", "motifs"]
 
 
 def _load():

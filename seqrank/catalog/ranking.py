@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqrank.catalog.inputs import with_views
+from seqrank.catalog.inputs import TIES, with_views
 from seqrank.catalog.registry import query
 from seqrank.catalog.scores import AGG, MELTED, enrichment_report, melted_genes
 from seqrank.functions.numeric import hypergeom_sf, rounded
@@ -260,7 +260,8 @@ def modal_selection(v):
 
 def one_protein(v):
     """Genes of all windows under one score, with window counts."""
-    out = melted_genes(v).where("score_name = 'inverted_base_motif_structure_score'")
+    score = "inverted_base_motif_structure_score"
+    out = durable(G.aggregate_genes(v.scored(), score, ["gene_id"], TIES, best=("transcript_id",)))
     return out.select("gene_id", "n_windows", *[rounded(n, 9).alias(n) for n in AGG])
 
 
