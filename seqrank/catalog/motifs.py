@@ -293,20 +293,21 @@ def sparse_profile(v):
     "cluster_metrics",
     with_views(
         "profiles",
-        f"""select rbp_id, round(sum(if(rk<=100,w,0))/sum(w),6) as cluster_topk_recovery, round(sum(rk*w)/sum(w),6) as cluster_mean_rank, cast(min(rk) as integer) as cluster_best_rank, round(max(auc),6) as cluster_auc
+        f"""select rbp_id, round(sum(if(rk<=100,w,0))/sum(w),6) as cluster_topk_recovery, round(sum(rk*w)/sum(w),4)+0e0 as cluster_mean_rank, cast(min(rk) as integer) as cluster_best_rank, round(max(auc),6) as cluster_auc
 from mem join (select rbp_id, sum(tp*(cfp-fp/2e0))/(max(P)*max(N)) auc from (select *, sum(fp) over (partition by rbp_id order by score) cfp, sum(tp) over (partition by rbp_id) P, sum(fp) over (partition by rbp_id) N
    from (select rbp_id, score, count(*) filter (y=1) tp, count(*) filter (y=0) fp from (select rbp_id, score, 1 y from mem union all select rbp_id, score, 0 from rkd anti join mem using (rbp_id,kmer)) group by 1,2)) group by 1) using (rbp_id) group by 1""",
         DENSE_CTE
         + ", "
         + CLUSTER_CTE
         + """, rkd as materialized (select *, row_number() over (partition by rbp_id order by score desc, kmer_idx) rk from dense),
-mem as materialized (select rkd.*, uc.w from rkd join uc using (kmer) where uc.k=7)""",
+mem as materialized (select rkd.*, uc.w from rkd join uc using (kmer) where uc.k=7 and length(uc.token)>=7)""",
     ),
 )
 def cluster_metrics(v):
-    pooled = words(v).select("token").distinct().withColumn("rbp_id", F.explode(F.array(*[F.lit(x) for x in ("rA", "rN", "rR")])))
+    pooled = words(v).where(F.length("token") >= 7).select("token").distinct().withColumn("rbp_id", F.explode(F.array(*[F.lit(x) for x in ("rA", "rN", "rR")])))
     out = K.cluster_metrics(dense(v), durable(K.clusters(pooled, (7,))))
-    return out.withColumns({c: rounded(c) for c in ("cluster_topk_recovery", "cluster_mean_rank", "cluster_auc")})
+    out = out.withColumn("cluster_mean_rank", rounded("cluster_mean_rank", 4))
+    return out.withColumns({c: rounded(c) for c in ("cluster_topk_recovery", "cluster_auc")})
 
 
 @query(

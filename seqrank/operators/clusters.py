@@ -15,6 +15,7 @@ from seqrank.functions.labels import UNSCORED_EXPECTATIONS, collapse_status, mot
 from seqrank.operators.bias import binary_metrics
 from seqrank.operators.motif import vocabulary
 from seqrank.operators.ranking import rank_bounded
+from seqrank.session import spread
 
 MOST_VARIANTS = 256  # fixed value: expansions of a degenerate word that are used
 MISSING_SCORE = -5.0  # fixed value: score of a k-mer without prediction
@@ -93,10 +94,15 @@ def anchor_cores(word: Column) -> Column:
 
 
 def clusters(words: DataFrame, ks: Sequence[int] = (6, 7)) -> DataFrame:
-    """Weighted k-mers of each (rbp_id, token): strong 1.0 or 0.7, one-letter neighbours 0.35."""
+    """Weighted k-mers of each (rbp_id, token): strong 1.0 or 0.7, one-letter neighbours 0.35.
+
+    Counting per protein is left to the caller; :func:`cluster_rules` does it per rule.
+    """
     token = F.col("token")
     kind = F.when((F.length(token) > 7) | token.contains("N"), "long_or_degenerate_motif").otherwise("direct_token")
-    base = words.select("rbp_id", "token").distinct().withColumns({"source_type": kind, "_cores": anchor_cores(token)})
+    # words recur between proteins, so each is expanded once and joined back
+    base = spread(words.select("token"), "token").distinct()
+    base = base.withColumns({"source_type": kind, "_cores": anchor_cores(token)})
     out = None
     for k in ks:
         pool = F.array_union(compatible_kmers(token, k), shifted_kmers(token, k))
@@ -104,11 +110,11 @@ def clusters(words: DataFrame, ks: Sequence[int] = (6, 7)) -> DataFrame:
         cored = F.exists("_cores", lambda c: F.col("kmer").contains(c))
         strong = strong.withColumn("weight", F.when(cored, 1.0).otherwise(0.7)).drop("_cores")
         near = strong.withColumn("kmer", F.explode(hamming_kmers(F.col("kmer"), k))).withColumn("weight", F.lit(0.35))
-        keys = ["rbp_id", "token", "source_type", "kmer"]
+        keys = ["token", "source_type", "kmer"]
         both = strong.unionByName(near).groupBy(*keys).agg(F.max("weight").alias("weight"))
         part = both.withColumns({"k": F.lit(k), "is_strong": F.col("weight") > 0.5})
         out = part if out is None else out.unionByName(part)
-    return out
+    return words.select("rbp_id", "token").distinct().join(out, "token")
 
 
 def cluster_rules(clustered: DataFrame) -> DataFrame:
