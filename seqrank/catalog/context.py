@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqrank.catalog.inputs import TIES, with_views
-from seqrank.catalog.ranking import KS, ONE_CTE, one_protein, report_sql
-from seqrank.catalog.registry import query
+from seqrank.catalog.ranking import KS, ONE_CTE, SEEDS, one_protein, p_sql, report_sql
+from seqrank.catalog.registry import SQL, query
 from seqrank.catalog.scores import enrichment_report
 from seqrank.functions.numeric import rounded
 from seqrank.operators import candidates as C
 from seqrank.operators import enrichment as E
+from seqrank.operators import features as FT
 from seqrank.operators import genes as G
 from seqrank.operators import regions as R
+from seqrank.operators.repeats import add_repeat_features
+from seqrank.plans import jobs
+from seqrank.plans.jobs import context_calibration as context_calibration_job
 from seqrank.session import durable
 
 EXON_CTE = """ex as materialized (select *, sum(len) over (partition by transcript_id order by d) upto, sum(len) over (partition by transcript_id order by d)-len+1 tx_start
@@ -259,3 +263,69 @@ def two_branch(v):
     genes = durable(one_protein(v).where("top3_mean_score is not null"))
     out = C.two_branch(genes, "top3_mean_score", ["max_score", "n_windows"])
     return out.withColumn("score", rounded("score"))
+
+
+@query(
+    "context_calibration",
+    with_views(
+        "scored truth",
+        """select cast(seed as integer) as seed, family, candidate, hits as overlap, k as top_k, round(recall,6) as recall from ev2 join pick using (seed, family, candidate) where role='heldout'""",
+        GRID_CTE
+        + f""", tg as (select gene_id from truth semi join one using (gene_id)),
+sp as materialized (select seed, gene_id, if(row_number() over (partition by seed order by md5(concat(seed,':',gene_id)), gene_id) <=
+    least(greatest(round_even(count(*) over (partition by seed)*0.7e0,0),1),count(*) over (partition by seed)-1),'calibration','heldout') as role
+  from tg, (select unnest([11,12,13,14,15]) seed)),
+nt as (select seed, role, count(*) n from sp group by 1,2),
+rg as materialized (select *, row_number() over (partition by family, candidate order by round(score,9) desc nulls last, gene_id) rk, count(*) over (partition by family, candidate) m from grid),
+ev2 as materialized (select *, hits/cast(n as double) recall, hits*m/(least(k,m)*cast(n as double)) fold, {p_sql(d='least(k,m)')} lp from (select family, candidate, seed, role, k, m, n, count(*) filter (rk<=k) hits
+  from rg join sp using (gene_id) join nt using (seed, role) cross join (select cast(unnest([200,500]) as integer) k) group by all)),
+pick as (select seed, family, candidate from (select *, row_number() over (partition by seed, family order by p2 desc nulls last, o2 desc, f2 desc nulls last, o5 desc, candidate) r from
+  (select seed, family, candidate, max(lp) filter (k=200) p2, max(hits) filter (k=200) o2, max(fold) filter (k=200) f2, max(hits) filter (k=500) o5 from ev2 where role='calibration' group by 1,2,3)) where r=1)""",
+    ),
+)
+def context_calibration(v):
+    out = context_calibration_job(grid_scores(v), v.truth(), SEEDS, ks=(200, 500))
+    return out["heldout"].select("seed", "family", "candidate", "overlap", "top_k", rounded("recall").alias("recall"))
+
+
+@query(
+    "hairpin_gene_means",
+    with_views(
+        "tx_top3",
+        f"""select gene_id, round(avg(stem_like_score),6) as top3_stem_like_score_mean, round(avg(paired_run_density),6) as top3_paired_run_density_mean,
+  round(avg(max_local_paired_mean_41nt),6) as top3_max_local_paired_mean_41nt_mean, round(max(stem_like_score),6) as max_stem_like_score
+from tx_top3 join ({SQL['hairpin_features']}) h using (transcript_id, window_start) group by 1""",
+    ),
+)
+def hairpin_gene_means(v):
+    top = G.top_windows(v.tx_scores(), "base_score", 3, ties=("transcript_id", "window_start"))
+    rows = FT.hairpin_columns(v.pairing(top), "paired")
+    rows = rows.withColumns({c: rounded(c) for c in ("stem_like_score", "paired_run_density", "max_local_paired_mean_41nt")})
+    out = FT.gene_means(
+        rows,
+        {f"top3_{c}_mean": F.col(c) for c in ("stem_like_score", "paired_run_density", "max_local_paired_mean_41nt")},
+        {"max_stem_like_score": F.col("stem_like_score")},
+    )
+    return out.select("gene_id", *[rounded(c).alias(c) for c in out.columns if c != "gene_id"])
+
+
+@query(
+    "repeat_gene_means",
+    with_views(
+        "tx_top3",
+        f"""select gene_id, round(avg(inverted_repeat_score),6) as top3_inverted_repeat_score_mean, round(avg(self_complementarity_score),6) as top3_self_complementarity_score_mean
+from tx_top3 join ({SQL['repeat_features']}) h on h.seq_md5=md5(rna_seq) group by 1""",
+    ),
+)
+def repeat_gene_means(v):
+    top = durable(G.top_windows(v.tx_scores(), "base_score", 3, ties=("transcript_id", "window_start")))
+    rows = add_repeat_features(top)
+    names = ("inverted_repeat_score", "self_complementarity_score")
+    rows = rows.withColumns({c: rounded(c) for c in names})
+    out = FT.gene_means(rows, {f"top3_{c}_mean": F.col(c) for c in names}, {})
+    return out.select("gene_id", *[rounded(c).alias(c) for c in out.columns if c != "gene_id"])
+
+
+@query("bias_report")
+def bias_report(v):
+    return jobs.bias_report(one_protein(v), v.truth())
