@@ -21,9 +21,8 @@ def clamp_finite(c: str | Column, limit: float | None = None) -> Column:
     x = col(c).cast("double")
     if limit is None:
         return F.coalesce(finite(x), F.lit(0.0))
-    return F.when(F.isnan(x), 0.0).otherwise(
-        F.coalesce(F.greatest(F.least(x, F.lit(float(limit))), F.lit(-float(limit))), F.lit(0.0))
-    )
+    bounded = F.greatest(F.least(x, F.lit(float(limit))), F.lit(-float(limit)))
+    return F.when(x.isNull() | F.isnan(x), 0.0).otherwise(bounded)
 
 
 def sigmoid(c: str | Column) -> Column:
@@ -39,7 +38,8 @@ def mean_of(*columns: str | Column) -> Column:
 
 
 def neg_log10(p: str | Column, floor: float = 1e-300) -> Column:
-    return -F.log10(F.least(F.greatest(col(p), F.lit(floor)), F.lit(1.0)))
+    x = col(p)  # greatest and least pass over NULL, so a missing p-value is kept apart
+    return F.when(x.isNotNull(), -F.log10(F.least(F.greatest(x, F.lit(floor)), F.lit(1.0))))
 
 
 def rounded(c: str | Column, digits: int = 6) -> Column:

@@ -92,7 +92,8 @@ def entropy(c: str | Column) -> Column:
 
 
 def low_complexity(c: str | Column) -> Column:
-    return F.lit(1.0) - F.least(entropy(c) / 2.0, F.lit(1.0))
+    h = entropy(c)
+    return F.when(h.isNotNull(), F.lit(1.0) - F.least(h / 2.0, F.lit(1.0)))
 
 
 def _u_runs(c: str | Column) -> Column:

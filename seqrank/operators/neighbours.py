@@ -27,7 +27,7 @@ def standardise(vectors: DataFrame, reference: DataFrame, column: str = "embeddi
     def scaled(x: Column, s: Column) -> Column:
         spread = F.when(s["std"] >= 1e-6, s["std"]).otherwise(1.0)
         value = (finite(x) - s["mean"]) / spread
-        return F.coalesce(F.greatest(F.least(value, F.lit(limit)), F.lit(-limit)), F.lit(0.0))
+        return F.when(value.isNull(), 0.0).otherwise(F.greatest(F.least(value, F.lit(limit)), F.lit(-limit)))
 
     return table.withColumn(column, F.zip_with(column, "_stats", scaled)).drop("_stats")
 
