@@ -76,7 +76,7 @@ class Inputs:
         )
 
     def window_scores(self) -> DataFrame:
-        return self.table("lineitem").selectExpr(
+        return spread(self.table("lineitem"), "l_orderkey").selectExpr(
             "concat('g',l_partkey) gene_id",
             "concat('t',l_orderkey) transcript_id",
             "l_linenumber*50-49 window_start",
