@@ -447,7 +447,7 @@ def profile_matrix(v):
     "profile_override",
     with_views(
         "profiles",
-        """select cast(i as bigint) as kmer_idx, round(coalesce(greatest(least(z,10),-10),0),6)+0e0 as zscore from range(16384) v(i) left join
+        """select cast(i as bigint) as kmer_idx, round(case when z is null then 0 else greatest(least(z,10),-10) end,6)+0e0 as zscore from range(16384) v(i) left join
 (select kmer_idx, arg_min(l_extendedprice/1e4-3, row(l_orderkey,l_partkey,l_linenumber,l_suppkey,l_extendedprice)) z
  from (select *, (l_orderkey*7919+l_partkey*104729+l_suppkey*31) % 16384 kmer_idx from lineitem) group by 1) o on o.kmer_idx=i""",
     ),
