@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from seqrank.catalog.inputs import Inputs
+from seqrank.session import share_code
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -31,7 +32,11 @@ def query(name: str, sql: str | None = None):
     """Register a function of :class:`Inputs`; ``sql`` is its DuckDB twin."""
 
     def keep(fn):
-        QUERIES[name] = lambda spark, folder: fn(Inputs(spark, folder))
+        def run(spark, folder):
+            share_code(spark)
+            return fn(Inputs(spark, folder))
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = steady(sql)
         return fn
