@@ -1,10 +1,137 @@
-"""The queries of this subpackage: one for each operator, over its whole table."""
+"""The queries of this subpackage: one for each operator, over its whole table, with DuckDB twins where SQL can say it."""
 
 from __future__ import annotations
 
-from seqrank.llm import simhash
+from pyspark.sql import functions as F
+
+from seqrank.llm import chat, decontaminate, quality, sentencepieces, simhash, urls, vectors, warc
 from seqrank.llm.registry import QUERIES, SQL, query, table
 
+_UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+
+#: Names in hosts whose pages the block list holds.
+LISTED_NAMES = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track")
+
+
+@query(
+    "op1_warc_seekable",
+    """
+    with p as (select page_id, url, coalesce(html,'') payload from pages),
+    d as (select page_id, url, strlen(payload) payload_bytes, sha1(payload) h, max(page_id) over (partition by payload) latest from p)
+    select page_id, payload_bytes::bigint payload_bytes,
+        array_to_string(list_transform(range(0,8), lambda i: array_to_string(list_transform([15,10,5,0], lambda s:
+            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x'||substr(h,(i*5+1)::int,5))::bigint >> s) & 31)+1)::int, 1)), '')), '') payload_digest,
+        case when page_id < latest then 'revisit' else 'response' end record_type,
+        case when page_id < latest then latest end refers_to, url
+    from d
+    """,
+)
+def op1(spark, folder):
+    return warc.archive_round_trip(table(spark, folder, "pages"))
+
+
+_PARTS = rf"""
+    a as (select page_id, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') rest from pages),
+    b as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), {_UPPER}, {_LOWER}) host,
+            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) q from a),
+    c as (select *, array_to_string(list_sort(list_filter(string_split(q,'&'), lambda p: p <> '' and not starts_with(p,'utm_'))), '&') kept from b),
+    d as (select *, case when host = '' then '' else regexp_replace(host,'^www\.','') || regexp_replace(path,'/+$','')
+            || case when kept = '' then '' else '?' || kept end end canonical from c)
+"""
+
+
+@query(
+    "op2_url_bloom",
+    f"""
+    with {_PARTS},
+    listed as (select distinct canonical from d where canonical <> '' and len(list_intersect(string_split(host,'.'), {list(LISTED_NAMES)})) > 0),
+    r as (select d.*, l.canonical is not null is_listed, case
+            when (host = 'example.net' or host like '%.example.net') and starts_with(path,'/en/') then 'example.net/en/'
+            when (host = 'example.com' or host like '%.example.com') and starts_with(path,'/de/') then 'example.com/de/'
+            when (host = 'org' or host like '%.org') and starts_with(path,'/fr/') then 'org/fr/'
+            when (host = 'net' or host like '%.net') and starts_with(path,'/') then 'net/' end rule
+        from d left join listed l using (canonical))
+    select page_id, host, path, rule, case rule when 'net/' then 'block' when 'example.com/de/' then 'block' when 'example.net/en/' then 'allow'
+        when 'org/fr/' then 'allow' else case when is_listed then 'block' else 'allow' end end verdict, is_listed from r
+    """,
+)
+def op2(spark, folder):
+    pages = table(spark, folder, "pages")
+    host, _, _ = urls.parts(F.col("url"))
+    bad = F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, LISTED_NAMES)))
+    return urls.judge(pages, pages.where(bad).select(urls.canonical(F.col("url")).alias("canonical")).distinct())
+
+
+@query("op4_sentencepiece")
+def op4(spark, folder):
+    return sentencepieces.encode_documents(table(spark, folder, "documents"))
+
+
+@query("op5_quality_gam")
+def op5(spark, folder):
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, quality.learn(docs, table(spark, folder, "labels")))
+
+
+@query(
+    "op7_vector_pivots",
+    """
+    with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings where label is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links as (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.98),
+    reach as (select a node, a least from links union select l.a, r.least from reach r join links l on l.b = r.node),
+    c as (select node, min(least) component_id from reach group by 1),
+    n as (select a, count(*) n from links group by 1)
+    select vec_id, coalesce(n.n, 0)::bigint n_links, coalesce(c.component_id, vec_id) component_id, coalesce(c.component_id, vec_id) = vec_id kept
+    from embeddings left join c on c.node = vec_id left join n on n.a = vec_id
+    """,
+)
+def op7(spark, folder):
+    return vectors.near_vectors(table(spark, folder, "embeddings"))
+
+
+_WORDS = r"list_filter(string_split_regex(translate(coalesce(text,''), {}, {}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')".format(_UPPER, _LOWER)
+
+
+@query(
+    "op8_positional_index",
+    f"""
+    with i as (select cast(item_id as varchar) item, {_WORDS} w from benchmark),
+    iw as (select distinct item, least(10, len(w)) n, array_to_string(w[at+1:at+least(10,len(w))], ' ') gram from (select item, w, unnest(range(0, len(w) - least(10,len(w)) + 1)) at from i where len(w) > 0)),
+    d as (select doc_id, {_WORDS} w from documents),
+    g as (select doc_id, n, at, array_to_string(w[at+1:at+n], ' ') gram from (select doc_id, w, n, unnest(range(0, len(w) - n + 1)) at from d, (select distinct n from iw) where len(w) >= n)),
+    m as (select doc_id, at, g.n, item from g join iw on g.n = iw.n and g.gram = iw.gram),
+    h as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(at, at+n)) p from m) group by 1),
+    t as (select doc_id, count(distinct item) n_items, string_agg(distinct item, ',' order by item) items from m group by 1)
+    select doc_id, len(w)::bigint n_words, coalesce(n_hit,0)::bigint n_hit, coalesce(n_items,0)::bigint n_items, sha256(coalesce(items,'')) items_sha256, n_hit is not null contaminated
+    from d left join h using (doc_id) left join t using (doc_id)
+    """,
+)
+def op8(spark, folder):
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+_UNSAFE = r"\\|<\|turn\|>|<\|end\|>|<\|endoftext\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|im_start\|>|<\|im_end\|>"
+
+
+@query(
+    "op9_chat_offsets",
+    rf"""
+    with r as (select conv_id, turn, coalesce(role,'') role, coalesce(text,'') text, role ro, text tx from conversations
+        union all select -1, k, role, '</s>[INST] ok [/INST]', role, 'x' from (values (0,'user'),(1,'assistant')) v(k, role))
+    select conv_id, count(*)::bigint n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, ro nulls first, tx nulls first)) turns_sha256,
+        coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars,
+        sha256(coalesce(string_agg(text, '' order by turn nulls first, tx nulls first) filter (role = 'assistant'), '')) loss_sha256,
+        sum(length(text) + length(role) + len(regexp_extract_all(text, '{_UNSAFE}')) + len(regexp_extract_all(role, '{_UNSAFE}')) + 8 + 7 + 1)::bigint formatted_chars
+    from r group by conv_id
+    """,
+)
+def op9(spark, folder):
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], rows.schema)
+    return chat.format_digests(rows.union(own)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
 
 @query("op10_simhash_anchors")
 def op10(spark, folder):
