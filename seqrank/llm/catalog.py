@@ -97,11 +97,11 @@ _WORDS = r"list_filter(string_split_regex(translate(coalesce(text,''), {}, {}),
     "op8_positional_index",
     f"""
     with i as (select cast(item_id as varchar) item, {_WORDS} w from benchmark),
-    iw as (select distinct item, least(10, len(w)) n, array_to_string(w[at+1:at+least(10,len(w))], ' ') gram from (select item, w, unnest(range(0, len(w) - least(10,len(w)) + 1)) at from i where len(w) > 0)),
+    iw as (select distinct item, least(10, len(w)) n, array_to_string(w[p0+1:p0+least(10,len(w))], ' ') gram from (select item, w, unnest(range(0, len(w) - least(10,len(w)) + 1)) p0 from i where len(w) > 0)),
     d as (select doc_id, {_WORDS} w from documents),
-    g as (select doc_id, n, at, array_to_string(w[at+1:at+n], ' ') gram from (select doc_id, w, n, unnest(range(0, len(w) - n + 1)) at from d, (select distinct n from iw) where len(w) >= n)),
-    m as (select doc_id, at, g.n, item from g join iw on g.n = iw.n and g.gram = iw.gram),
-    h as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(at, at+n)) p from m) group by 1),
+    g as (select doc_id, n, p0, array_to_string(w[p0+1:p0+n], ' ') gram from (select doc_id, w, n, unnest(range(0, len(w) - n + 1)) p0 from d, (select distinct n from iw) where len(w) >= n)),
+    m as (select doc_id, p0, g.n, item from g join iw on g.n = iw.n and g.gram = iw.gram),
+    h as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(p0, p0+n)) p from m) group by 1),
     t as (select doc_id, count(distinct item) n_items, string_agg(distinct item, ',' order by item) items from m group by 1)
     select doc_id, len(w)::bigint n_words, coalesce(n_hit,0)::bigint n_hit, coalesce(n_items,0)::bigint n_items, sha256(coalesce(items,'')) items_sha256, n_hit is not null contaminated
     from d left join h using (doc_id) left join t using (doc_id)

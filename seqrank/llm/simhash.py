@@ -138,7 +138,9 @@ def links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> Da
             if anchor:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([a.astype(np.int32) for a in anchor], [x.view(np.int64) for x in value], home)], ["anchor", "print", "home"])
 
-    placed, path = saved(prints.select("print").mapInArrow(places, "anchor int, print long, home boolean"))
+    # a print takes long next to its size: deal them out evenly, whatever their table's size
+    dealt = prints.select("print").repartition(shuffle_width(spark), "print")
+    placed, path = saved(dealt.mapInArrow(places, "anchor int, print long, home boolean"))
     # at most one row for each of the 65,536 anchors, and only for the full ones
     full = {r.anchor: -(-r.n // block) for r in placed.where("home").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).collect()}
     blocks = F.create_map(*[F.lit(x) for item in full.items() for x in item])[F.col("anchor")] if full else F.lit(None)

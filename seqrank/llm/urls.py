@@ -41,7 +41,7 @@ def canonical(url: Column) -> Column:
 def _bits(key: Column) -> list[Column]:
     """The bit of ``key`` in each long of its block: six bits of a hash for each."""
     h = F.xxhash64(key, F.lit("bits"))
-    return [F.shiftleft(F.lit(1).cast("long"), F.shiftrightunsigned(h, 7 * k).bitwiseAND(63).cast("int")) for k in range(LONGS)]
+    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 7 * k).bitwiseAND(63).cast("int")) for k in range(LONGS)]
 
 
 def bloom_filter(listed: DataFrame, key: str, blocks: int) -> DataFrame:

@@ -99,7 +99,7 @@ class _Bundle:
         self.system, path = fs.FileSystem.from_uri(folder)
         self.system.create_dir(path, recursive=True)
         self.name = name
-        self.out = self.system.open_output_stream(f"{path}/{name}")
+        self.out = self.system.open_output_stream(f"{path}/{name}", compression=None)
         self.frames: list[tuple[int, int]] = []
         self.offset = 0
         self.buffer: list[bytes] = []
