@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqrank.llm import chat, decontaminate, quality, sentencepieces, simhash, urls, vectors, warc
+from seqrank.llm import chat, decontaminate, html, licences, quality, sentencepieces, simhash, urls, vectors, warc
 from seqrank.llm.registry import QUERIES, SQL, query, table
 
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
@@ -62,6 +62,22 @@ def op2(spark, folder):
     return urls.judge(pages, pages.where(bad).select(urls.canonical(F.col("url")).alias("canonical")).distinct())
 
 
+@query(
+    "op3_html_trees",
+    # what the article elements of these pages hold: the answer, by another way
+    r"""
+    with a as (select page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '') x from pages),
+    b as (select page_id, url, regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') x from a),
+    c as (select page_id, url, replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') x from b),
+    d as (select page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) text from c)
+    select page_id, url, text, length(text)::bigint n_chars from d
+    """,
+)
+def op3(spark, folder):
+    pages = table(spark, folder, "pages")
+    return html.main_texts(pages, html.learn(pages))
+
+
 @query("op4_sentencepiece")
 def op4(spark, folder):
     return sentencepieces.encode_documents(table(spark, folder, "documents"))
@@ -73,6 +89,49 @@ def op5(spark, folder):
     return quality.score(docs, quality.learn(docs, table(spark, folder, "labels")))
 
 
+#: Where the query places a document: below its source, in a folder of 2,000 and one of 200 ids. The first ones of a folder are its licence files.
+_PATH = """concat(source, '/d', {div}(doc_id, 2000), case when doc_id % 2000 < 20 then '/LICENSE'
+    when doc_id % 200 < 20 then concat('/e', {div}(doc_id, 200), '/LICENSE') else concat('/e', {div}(doc_id, 200), '/', doc_id, '.txt') end)"""
+
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(licences.TEMPLATES))
+_TERMS = r"list_filter(string_split_regex(translate({}, {}, {}), '[^a-z0-9]+'), lambda w: w <> '')"
+_TEXT_TERMS, _DOC_TERMS = _TERMS.format("text", _UPPER, _LOWER), _TERMS.format("coalesce(text,'')", _UPPER, _LOWER)
+
+
+@query(
+    "op6_licence_scan",
+    f"""
+    with f as (select doc_id, text, {_PATH.replace("{div}(doc_id, 2000)", "doc_id // 2000").replace("{div}(doc_id, 200)", "doc_id // 200")} path from (select * from documents)),
+    t(template, licence, text) as (values {_TEMPLATES}),
+    tt as (select template, unnest({_TEXT_TERMS}) term from t),
+    vocab as (select distinct term from tt),
+    n as (select count(*)::double n from f),
+    seen as (select term, count(*) df from (select distinct doc_id, unnest({_DOC_TERMS}) term from f) join vocab using (term) group by 1),
+    idf as (select term, 1 + ln((n + 1) / (1 + coalesce(df, 0))) idf from vocab left join seen using (term), n),
+    hl as (select doc_id, unnest(list_filter(string_split_regex(coalesce(text,''), '[\r\n]+'), lambda l: regexp_matches(translate(l, {_UPPER}, {_LOWER}), '{licences.MARKS}'))) text from f),
+    l as (select distinct text from hl),
+    lt as (select text line, unnest({_TEXT_TERMS}) term from l),
+    lr as (select line, term, count(*) * coalesce(any_value(idf), 1 + ln((select n from n) + 1)) raw from lt left join idf using (term) group by 1, 2),
+    lw as (select line, term, raw / sqrt(sum(raw*raw) over (partition by line)) w from lr),
+    tr as (select template, term, count(*) * any_value(idf) raw from tt join idf using (term) group by 1, 2),
+    tw as (select template, term, raw / sqrt(sum(raw*raw) over (partition by template)) w from tr),
+    c as (select line, template, round(sum(lw.w * tw.w), 6) score from lw join tw using (term) group by 1, 2),
+    b as (select line, licence, score, row_number() over (partition by line order by score desc, licence) k from c join t using (template) where score >= {licences.LEAST_COSINE}),
+    o as (select doc_id, licence, score from (select doc_id, licence, score, row_number() over (partition by doc_id order by score desc, licence) k from hl join b on hl.text = b.line where b.k = 1) where k = 1),
+    p as (select f.doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) dir, path like '%/LICENSE' speaks, licence, score from f left join o using (doc_id)),
+    s as (select dir, licence, score from (select dir, licence, score, row_number() over (partition by dir order by score desc, licence) k from p where speaks and licence is not null) where k = 1),
+    near as (select p.doc_id, s.dir, s.licence, s.score, row_number() over (partition by p.doc_id order by length(s.dir) desc) k from p join s on p.dir = s.dir or starts_with(p.dir, s.dir || '/') where p.licence is null)
+    select p.doc_id, path, coalesce(p.licence, near.licence) licence, coalesce(p.score, near.score) score,
+        case when p.licence is not null then 'own' when near.licence is not null then 'inherited' end origin, near.dir licence_dir
+    from p left join near on p.doc_id = near.doc_id and near.k = 1
+    """,
+)
+def op6(spark, folder):
+    docs = table(spark, folder, "documents")
+    path = _PATH.replace("{div}(doc_id, 2000)", "doc_id div 2000").replace("{div}(doc_id, 200)", "doc_id div 200")
+    return licences.scan(docs.select("doc_id", "text", F.expr(path).alias("path")))
+
+
 @query(
     "op7_vector_pivots",
     """

@@ -205,6 +205,10 @@ def check_parity(data: bytes, texts: list[str]) -> list[int]:
 PROBES = ["", " ", "a", "  two  spaces ", "Hello, world! 12345", "naïve façade – “quoted” ¡olé! ß", "日本語 テキスト 한국어 русский", "🙂🙃\ttab\nline\r\n nbsp", "aaaaaaaaaaaaaaaa", "</s><s><unk>", "▁marker▁", "x" * 300, "\x00\x01\x7f", "end "]
 
 
+#: Columns that :func:`with_tokens` adds.
+NEW = ["n_tokens", "ids", "decoded", "round_trip"]
+
+
 def with_tokens(docs: DataFrame, path: str = MODEL, threads: int = 2, probe: int = 200) -> DataFrame:
     """``docs`` with its columns, and ``n_tokens``, ``ids``, ``decoded`` and ``round_trip``.
 
@@ -220,7 +224,7 @@ def with_tokens(docs: DataFrame, path: str = MODEL, threads: int = 2, probe: int
     sample = [r.text for r in docs.select(F.col("text")).where("text is not null").limit(probe).collect()] if probe else []
     if wrong := check_parity(data, [*PROBES, *sample]):
         raise ValueError(f"{len(wrong)} texts get other ids than from sentencepiece")
-    new = ["n_tokens", "ids", "decoded", "round_trip"]
+    new = NEW
     source = docs.drop(*new)
     own = docs.sparkSession.sparkContext.broadcast(data)
     names = source.columns

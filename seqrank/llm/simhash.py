@@ -246,3 +246,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     first = named.groupBy("component").agg(F.min("least").alias("component_id"))
     label = named.join(first, "component").select("print", "component_id")
     return prints.join(label, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_per_group(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``docs`` with the least doc_id of their group, all columns as they are.
+
+    Equal rows of such a document become one. Rows without an id can't be told apart by one; they stay.
+    """
+    least = near_duplicates(docs, shingle, distance).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    least, _ = saved(least)
+    single = docs.join(least.where("n = 1").select("doc_id"), "doc_id", "left_semi")
+    repeated = docs.join(least.where("n > 1").select("doc_id"), "doc_id", "left_semi").distinct()
+    return single.union(repeated).union(docs.where("doc_id is null"))
