@@ -128,7 +128,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     share = float(y.mean()) if len(y) else 0.5
     base = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     d = len(FEATURES)
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return Model([np.zeros(0)] * d, [np.zeros(1)] * d, [], [np.zeros(0)] * d, [], base)
     cuts = [_cuts(x[:, j], BINS) for j in range(d)]
     at = [np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(cuts)]
