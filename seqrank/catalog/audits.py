@@ -163,11 +163,11 @@ def duplicate_sequences(v):
 
 @query(
     "match_counts",
-    """select count(*) as n_keys, count(*) filter (p_partkey in (select l_partkey from lineitem where l_quantity>49)) as matched_keys, count(*) filter (p_partkey not in (select l_partkey from lineitem where l_quantity>49)) as missing_keys from part""",
+    """select count(*) as n_keys, count(*) filter (o_orderkey in (select l_orderkey from lineitem)) as matched_keys, count(*) filter (o_orderkey not in (select l_orderkey from lineitem)) as missing_keys from orders""",
 )
 def match_counts(v):
-    right = v.table("lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
-    return Q.match_counts(v.table("part"), right, ["p_partkey"])
+    right = v.table("lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return Q.match_counts(v.table("orders"), right, ["o_orderkey"])
 
 
 @query("missing_ids", "select p_partkey as id from part where p_partkey not in (select c_custkey from customer)")
@@ -284,10 +284,10 @@ def probe_ranks(v):
 @query(
     "first_known",
     """select id, coalesce(max(a) filter (p=0 and a<>''), max(a) filter (p=1 and a<>'')) as family, coalesce(max(b) filter (p=0 and b<>''), max(b) filter (p=1 and b<>'')) as brand from
- (select p_partkey % 700 id, 0 p, if(p_size<30,'',p_type) a, cast(null as varchar) b from part where p_partkey in (select l_partkey from lineitem where l_quantity>45) union all select p_partkey, 1, p_type, p_brand from part) group by 1""",
+ (select p_partkey % 700 id, 0 p, if(p_size<30,'',p_type) a, cast(null as varchar) b from part where p_partkey in (select l_partkey from lineitem) union all select p_partkey, 1, p_type, p_brand from part) group by 1""",
 )
 def first_known(v):
-    lines = v.table("lineitem").where("l_quantity > 45").selectExpr("l_partkey p_partkey")
+    lines = v.table("lineitem").selectExpr("l_partkey p_partkey")
     one = v.table("part").join(lines, "p_partkey", "left_semi").selectExpr("p_partkey % 700 id", "if(p_size<30,'',p_type) family")
     one = one.groupBy("id").agg(F.max("family").alias("family"))
     two = v.table("part").selectExpr("p_partkey id", "p_type family", "p_brand brand")

@@ -252,15 +252,15 @@ def oracle_best(v):
    unnest([a,b,greatest(a,b),0.7e0*a+0.3e0*b,0.5e0*a+0.5e0*b,0.3e0*a+0.7e0*b]) score from (select gene_id, p1 a, (p2+p3)/2 b from
  (select gene_id, """
         + ", ".join(
-            f"(rank() over (order by {c}) + (count(*) over (partition by {c})-1)/2e0)/count(*) over () p{i}"
+            f"if({c} is null, null, (rank() over (order by {c} nulls last) + (count(*) over (partition by {c})-1)/2e0)/count({c}) over ()) p{i}"
             for i, c in ((1, "top3_mean_score"), (2, "max_score"), (3, "n_windows"))
         )
-        + " from one where top3_mean_score is not null)))",
+        + " from one)))",
         ONE_CTE,
     ),
 )
 def two_branch(v):
-    genes = durable(one_protein(v).where("top3_mean_score is not null"))
+    genes = durable(one_protein(v))
     out = C.two_branch(genes, "top3_mean_score", ["max_score", "n_windows"])
     return out.withColumn("score", rounded("score"))
 
@@ -278,13 +278,13 @@ sp as materialized (select seed, gene_id, if(row_number() over (partition by see
 nt as (select seed, role, count(*) n from sp group by 1,2),
 rg as materialized (select *, row_number() over (partition by family, candidate order by round(score,9) desc nulls last, gene_id) rk, count(*) over (partition by family, candidate) m from grid),
 ev2 as materialized (select *, hits/cast(n as double) recall, hits*m/(least(k,m)*cast(n as double)) fold, {p_sql(d='least(k,m)')} lp from (select family, candidate, seed, role, k, m, n, count(*) filter (rk<=k) hits
-  from rg join sp using (gene_id) join nt using (seed, role) cross join (select cast(unnest([200,500]) as integer) k) group by all)),
+  from rg join sp using (gene_id) join nt using (seed, role) cross join (select cast(unnest([50,100,200,500,1000]) as integer) k) group by all)),
 pick as (select seed, family, candidate from (select *, row_number() over (partition by seed, family order by p2 desc nulls last, o2 desc, f2 desc nulls last, o5 desc, candidate) r from
   (select seed, family, candidate, max(lp) filter (k=200) p2, max(hits) filter (k=200) o2, max(fold) filter (k=200) f2, max(hits) filter (k=500) o5 from ev2 where role='calibration' group by 1,2,3)) where r=1)""",
     ),
 )
 def context_calibration(v):
-    out = context_calibration_job(grid_scores(v), v.truth(), SEEDS, ks=(200, 500))
+    out = context_calibration_job(grid_scores(v), v.truth(), SEEDS, ks=KS)
     return out["heldout"].select("seed", "family", "candidate", "overlap", "top_k", rounded("recall").alias("recall"))
 
 

@@ -160,20 +160,19 @@ def cluster_expand(v):
     with_views(
         "profiles",
         """select rbp_id, kmer, neighbour from (select rbp_id, kmer, concat(substr(kmer,1,i-1),b,substr(kmer,i+1)) neighbour from
- (select rbp_id, kmer, unnest(range(1,8)) i from kp where zscore>2.9), (select unnest(['A','C','G','U']) b)) where neighbour<>kmer""",
+ (select rbp_id, kmer, unnest(range(1,8)) i from kp), (select unnest(['A','C','G','U']) b)) where neighbour<>kmer""",
         KMER_CTE,
     ),
 )
 def kmer_neighbours(v):
-    top = named_profiles(v).where("zscore > 2.9")
-    return top.select("rbp_id", "kmer", F.explode(K.hamming_kmers(F.col("kmer"), 7)).alias("neighbour"))
+    return named_profiles(v).select("rbp_id", "kmer", F.explode(K.hamming_kmers(F.col("kmer"), 7)).alias("neighbour"))
 
 
 DENSE_CTE = (
     KMER_CTE
     + """, v7 as materialized (select i kmer_idx, translate(array_to_string(list_transform(range(6,-1,-1), lambda j: cast((i//(4**j)::bigint)%4 as varchar)),''),'0123','ACGU') kmer from range(16384) t(i)),
 dense as materialized (select r.rbp_id, v7.kmer_idx, v7.kmer, coalesce(p.zscore,-5e0) score from v7 cross join (select distinct rbp_id from profiles) r left join profiles p on p.rbp_id=r.rbp_id and p.kmer_idx=v7.kmer_idx),
-tr as materialized (select concat('r',l_returnflag) rbp_id, (l_orderkey*31+l_partkey*17+l_suppkey) % 16384 kmer_idx, max(l_discount) t from lineitem where l_tax>=0.08 and l_discount>0 group by 1,2)"""
+tr as materialized (select concat('r',l_returnflag) rbp_id, (l_orderkey*31+l_partkey*17+l_suppkey) % 16384 kmer_idx, max(if(l_tax>=0.08 and l_discount>0,l_discount,0e0)) t from lineitem group by 1,2)"""
 )
 
 
@@ -184,10 +183,11 @@ def dense(v):
 def truth_kmers(v):
     return (
         v.table("lineitem")
-        .where("l_tax >= 0.08 and l_discount > 0")
-        .selectExpr("concat('r',l_returnflag) rbp_id", "(l_orderkey*31+l_partkey*17+l_suppkey) % 16384 i", "l_discount")
+        .selectExpr(
+            "concat('r',l_returnflag) rbp_id", "(l_orderkey*31+l_partkey*17+l_suppkey) % 16384 i", "if(l_tax >= 0.08 and l_discount > 0, l_discount, 0e0) t"
+        )
         .groupBy("rbp_id", "i")
-        .agg(F.max("l_discount").alias("truth_score"))
+        .agg(F.max("t").alias("truth_score"))
         .select("rbp_id", kmer_text("i", 7).alias("kmer"), "truth_score")
     )
 
@@ -293,18 +293,18 @@ def sparse_profile(v):
     "cluster_metrics",
     with_views(
         "profiles",
-        f"""select rbp_id, round(sum(if(rk<=100,w,0))/sum(w),6) as cluster_topk_recovery, round(sum(rk*w)/sum(w),4)+0e0 as cluster_mean_rank, cast(min(rk) as integer) as cluster_best_rank, round(max(auc),6) as cluster_auc
+        f"""select rbp_id, round(sum(if(rk<=100,w,0))/sum(w),6) as cluster_topk_recovery, round(sum(rk*w)/sum(w),4)+0e0 as cluster_mean_rank, cast(min(rk) as integer) as cluster_best_rank, round(if(isnan(max(auc)),null,max(auc)),6) as cluster_auc
 from mem join (select rbp_id, sum(tp*(cfp-fp/2e0))/(max(P)*max(N)) auc from (select *, sum(fp) over (partition by rbp_id order by score) cfp, sum(tp) over (partition by rbp_id) P, sum(fp) over (partition by rbp_id) N
    from (select rbp_id, score, count(*) filter (y=1) tp, count(*) filter (y=0) fp from (select rbp_id, score, 1 y from mem union all select rbp_id, score, 0 from rkd anti join mem using (rbp_id,kmer)) group by 1,2)) group by 1) using (rbp_id) group by 1""",
         DENSE_CTE
         + ", "
         + CLUSTER_CTE
         + """, rkd as materialized (select *, row_number() over (partition by rbp_id order by score desc, kmer_idx) rk from dense),
-mem as materialized (select rkd.*, uc.w from rkd join uc using (kmer) where uc.k=7 and length(uc.token)>=7)""",
+mem as materialized (select rkd.*, uc.w from rkd join uc using (kmer) where uc.k=7 and rkd.rbp_id=case when length(uc.token)>=7 then 'rA' when length(uc.token)>=5 then 'rN' else 'rR' end)""",
     ),
 )
 def cluster_metrics(v):
-    pooled = words(v).where(F.length("token") >= 7).select("token").distinct().withColumn("rbp_id", F.explode(F.array(*[F.lit(x) for x in ("rA", "rN", "rR")])))
+    pooled = words(v).select("token").distinct().withColumn("rbp_id", F.expr("case when length(token)>=7 then 'rA' when length(token)>=5 then 'rN' else 'rR' end"))
     out = K.cluster_metrics(dense(v), durable(K.clusters(pooled, (7,))))
     out = out.withColumn("cluster_mean_rank", rounded("cluster_mean_rank", 4))
     return out.withColumns({c: rounded(c) for c in ("cluster_topk_recovery", "cluster_auc")})
@@ -316,7 +316,7 @@ def cluster_metrics(v):
         "",
         """select rbp_id, cast(k as integer) as k, kmer, round(max(t),6) as truth_score from (select rbp_id, 7 k, kmer, t from tk union all select rbp_id, 6, substr(kmer,1,6), t from tk union all select rbp_id, 6, substr(kmer,2,6), t from tk) group by 1,2,3""",
         """tk as materialized (select rbp_id, t, translate(array_to_string(list_transform(range(6,-1,-1), lambda j: cast((kmer_idx//(4**j)::bigint)%4 as varchar)),''),'0123','ACGU') kmer from
- (select concat('r',l_returnflag) rbp_id, (l_orderkey*31+l_partkey*17+l_suppkey) % 16384 kmer_idx, max(l_discount) t from lineitem where l_tax>=0.08 and l_discount>0 group by 1,2))""",
+ (select concat('r',l_returnflag) rbp_id, (l_orderkey*31+l_partkey*17+l_suppkey) % 16384 kmer_idx, max(if(l_tax>=0.08 and l_discount>0,l_discount,0e0)) t from lineitem group by 1,2))""",
     ),
 )
 def truth_profile(v):

@@ -78,7 +78,7 @@ def topk_enrichment(v):
 
 
 CANDIDATE_CTE = f"""melted as materialized ({MELTED}),
-cand as materialized (select score_name, aggregation, gene_id, n_windows, round(v,9) v from (unpivot melted on max_score, top3_mean_score, top5_mean_score, top10_mean_score, top5_percent_mean_score into name aggregation value v)),
+cand as materialized (select score_name, aggregation, gene_id, n_windows, round(v,9) v from (from melted unpivot include nulls (v for aggregation in (max_score, top3_mean_score, top5_mean_score, top10_mean_score, top5_percent_mean_score)))),
 ranked as materialized (select *, row_number() over (partition by score_name, aggregation order by v desc nulls last, gene_id) rk,
    count(*) over (partition by score_name, aggregation) m from cand),
 tg as (select gene_id from truth semi join melted using (gene_id)),
@@ -96,8 +96,7 @@ def candidate_genes(v):
     """(score_name, aggregation, gene_id, score): every score under five aggregations."""
     names = [n for n in AGG if n != "window_count_adjusted_score"]
     wide = melted_genes(v).select("score_name", "gene_id", "n_windows", *[rounded(n, 9).alias(n) for n in names])
-    long = wide.unpivot(["score_name", "gene_id", "n_windows"], names, "aggregation", "score")
-    return long.where("score is not null")
+    return wide.unpivot(["score_name", "gene_id", "n_windows"], names, "aggregation", "score")
 
 
 def split_rows(v):
@@ -311,15 +310,15 @@ def audit_summary(v):
     with_views(
         "genes",
         f"""select rbp_id, ranking_name, count(*) as n_genes, round(corr(n_windows, ranking_score),6)+0e0 as pearson, round(corr(rx, ry),6)+0e0 as spearman from
- (select *, rank() over (partition by rbp_id,ranking_name order by n_windows) + (count(*) over (partition by rbp_id,ranking_name,n_windows)-1)/2e0 rx,
-   rank() over (partition by rbp_id,ranking_name order by ranking_score) + (count(*) over (partition by rbp_id,ranking_name,ranking_score)-1)/2e0 ry
-  from ({' union all '.join(f"select rbp_id, n_windows, '{n}' as ranking_name, round({c},9) ranking_score from genes" for n, c in G.RANKINGS.items())}) where ranking_score is not null) group by 1,2""",
+ (select *, if(ranking_score is null, null, rank() over (partition by rbp_id,ranking_name,ranking_score is null order by n_windows) + (count(*) over (partition by rbp_id,ranking_name,ranking_score is null,n_windows)-1)/2e0) rx,
+   if(ranking_score is null, null, rank() over (partition by rbp_id,ranking_name order by ranking_score nulls last) + (count(*) over (partition by rbp_id,ranking_name,ranking_score)-1)/2e0) ry
+  from ({' union all '.join(f"select rbp_id, n_windows, '{n}' as ranking_name, round({c},9) ranking_score from genes" for n, c in G.RANKINGS.items())})) group by 1,2""",
     ),
 )
 def count_correlation(v):
     genes = v.genes().select("rbp_id", "n_windows", *[rounded(c, 9).alias(c) for c in AGG])
     pairs = F.array(*[F.struct(F.lit(n).alias("ranking_name"), F.col(c).alias("ranking_score")) for n, c in G.RANKINGS.items()])
-    long = genes.select("rbp_id", "n_windows", F.inline(pairs)).where("ranking_score is not null")
+    long = genes.select("rbp_id", "n_windows", F.inline(pairs))
     out = B.correlations(long, ["rbp_id", "ranking_name"], "n_windows", "ranking_score")
     return out.select("rbp_id", "ranking_name", "n_genes", rounded("pearson").alias("pearson"), rounded("spearman").alias("spearman"))
 
@@ -328,14 +327,13 @@ def count_correlation(v):
     "pct_rank",
     with_views(
         "scored",
-        """select gene_id, round((rank() over (order by top3_mean_score) + (count(*) over (partition by top3_mean_score)-1)/2e0)/count(*) over (),6) as pct
-from one where top3_mean_score is not null""",
+        """select gene_id, if(top3_mean_score is null, null, round((rank() over (order by top3_mean_score nulls last) + (count(*) over (partition by top3_mean_score)-1)/2e0)/count(top3_mean_score) over (),6)) as pct
+from one""",
         ONE_CTE,
     ),
 )
 def pct_rank(v):
-    genes = one_protein(v).where("top3_mean_score is not null")
-    return average_ranks(genes, [], "top3_mean_score", "pct", pct=True).select("gene_id", rounded("pct").alias("pct"))
+    return average_ranks(one_protein(v), [], "top3_mean_score", "pct", pct=True).select("gene_id", rounded("pct").alias("pct"))
 
 
 BIN_CTE = (

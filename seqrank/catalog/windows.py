@@ -18,11 +18,10 @@ from seqrank.operators.genes import top_windows
     "rna_normalise",
     """select doc_id, md5(replace(upper(text),'T','U')) as rna_md5,
   md5(regexp_replace(regexp_replace(replace(upper(text),'T','U'),'[ \\r\\n]','','g'),'[^ACGUN]','N','g')) as fingerprint_md5
-from (select doc_id, regexp_replace(text,'[^ -~\\n\\r]','','g') as text from documents)""",
+from (select doc_id, replace(text,'ß','SS') as text from documents)""",
 )
 def rna_normalise(v):
-    text = F.regexp_replace("text", "[^ -~\\n\\r]", "")
-    return v.table("documents").select("doc_id", text.alias("text")).select(
+    return v.table("documents").select(
         "doc_id",
         F.md5(S.rna("text")).alias("rna_md5"),
         F.md5(S.fingerprint_text("text")).alias("fingerprint_md5"),
@@ -31,7 +30,7 @@ def rna_normalise(v):
 
 @query(
     "protein_features",
-    """with p as (select doc_id, source, regexp_replace(replace(upper(regexp_replace(text,'[^ -~]','','g')),'*',''),'[^ACDEFGHIKLMNPQRSTVWY]','X','g') s from documents)
+    """with p as (select doc_id, source, regexp_replace(replace(upper(replace(text,'ß','SS')),'*',''),'[^ACDEFGHIKLMNPQRSTVWY]','X','g') s from documents)
 select doc_id, md5(s) as clean_md5, round(length(s)/1e3,6)+0e0 as length_kaa,
   round((length(s)-length(replace(s,'G','')))/cast(greatest(length(s),1) as double),6)+0e0 as fraction_G,
   round((length(s)-length(replace(s,'R','')))/cast(greatest(length(s),1) as double),6)+0e0 as fraction_R,
@@ -39,7 +38,7 @@ select doc_id, md5(s) as clean_md5, round(length(s)/1e3,6)+0e0 as length_kaa,
 from p where length(s) >= 30""",
 )
 def protein_features(v):
-    p = v.table("documents").select("doc_id", S.clean_protein(F.regexp_replace("text", "[^ -~]", "")).alias("s")).where(F.length("s") >= 30)
+    p = v.table("documents").select("doc_id", S.clean_protein("text").alias("s")).where(F.length("s") >= 30)
     feats = L.physico_chemical("s")
     return p.select("doc_id", F.md5("s").alias("clean_md5"), *[rounded(c).alias(n) for n, c in feats.items()])
 
@@ -107,7 +106,7 @@ def first_transcripts(v):
 
 @query(
     "protein_windows",
-    """with p as (select doc_id, regexp_replace(replace(upper(regexp_replace(text,'[^ -~]','','g')),'*',''),'[^ACDEFGHIKLMNPQRSTVWY]','X','g') s from documents),
+    """with p as (select doc_id, regexp_replace(replace(upper(replace(text,'ß','SS')),'*',''),'[^ACDEFGHIKLMNPQRSTVWY]','X','g') s from documents),
 c as (select doc_id, s, 1 as a, length(s) as b from p where length(s)>0
  union select doc_id, s, x+1, least(x+256,length(s)) from
    (select *, unnest(case when length(s)>=256 then list_append(range(0,length(s)-255,64), length(s)-256)
@@ -115,7 +114,7 @@ c as (select doc_id, s, 1 as a, length(s) as b from p where length(s)>0
 select doc_id, cast(a as integer) as window_start, cast(b as integer) as window_end, md5(substr(s,a,b-a+1)) as seq_md5 from c""",
 )
 def protein_windows(v):
-    p = v.table("documents").select("doc_id", S.clean_protein(F.regexp_replace("text", "[^ -~]", "")).alias("protein_sequence"))
+    p = v.table("documents").select("doc_id", S.clean_protein("text").alias("protein_sequence"))
     return W.tile_proteins(p).select("doc_id", "window_start", "window_end", F.md5("window_seq").alias("seq_md5"))
 
 

@@ -78,7 +78,7 @@ def binary_metrics(rows: DataFrame, groups: Sequence[str], label: str, score: st
     counts = scored.groupBy(*groups, "_s").agg(
         F.count_if(F.col("_y") == 1).alias("_tp"), F.count_if(F.col("_y") == 0).alias("_fp")
     )
-    swept = running_totals(counts, groups, [F.col("_s")], {"_ctp": "_tp", "_cfp": "_fp"})
+    swept = running_totals(counts, groups, [F.col("_s")], {"_ctp": "_tp", "_cfp": "_fp"}, F.col("_s"))
     sums = counts.groupBy(*groups).agg(F.sum("_tp").alias("_P"), F.sum("_fp").alias("_N"))
     joined = swept.join(sums, groups)
     tp, fp = F.col("_tp").cast("double"), F.col("_fp").cast("double")

@@ -15,58 +15,51 @@ from seqrank.functions.labels import UNSCORED_EXPECTATIONS, collapse_status, mot
 from seqrank.operators.bias import binary_metrics
 from seqrank.operators.motif import vocabulary
 from seqrank.operators.ranking import rank_bounded
-from seqrank.session import spread
 
-MOST_VARIANTS = 256  # fixed value: expansions of a degenerate word that are used
 MISSING_SCORE = -5.0  # fixed value: score of a k-mer without prediction
 CLUSTER_TOP = 100
 
 
-def expand_word(word: Column, most: int | None = MOST_VARIANTS) -> Column:
-    """All spellings of a word over ACGU and N, in order; empty for other letters."""
+def expand_word(word: Column) -> Column:
+    """All spellings of a word over ACGU and N; empty for other letters. Four for each N: give it short words."""
     letters = F.filter(F.split(word, ""), lambda x: x != "")
 
     def grow(acc: Column, letter: Column) -> Column:
         options = F.when(letter == "N", F.array(*[F.lit(b) for b in "ACGU"])).otherwise(F.array(letter))
-        longer = F.flatten(F.transform(acc, lambda p: F.transform(options, lambda o: F.concat(p, o))))
-        return longer if most is None else F.slice(longer, 1, most)
+        return F.flatten(F.transform(acc, lambda p: F.transform(options, lambda o: F.concat(p, o))))
 
     start = F.array(F.lit("")).cast("array<string>")
     return F.when(word.rlike("^[ACGUN]+$"), F.aggregate(letters, start, grow)).otherwise(F.array().cast("array<string>"))
 
 
+def _spelled(pieces: Column) -> Column:
+    """Distinct spellings of k-letter pieces: at most 4**k."""
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(pieces), expand_word)))
+
+
 def compatible_kmers(word: Column, k: int) -> Column:
-    """K-mers that equal a spelling, contain it, or are part of it."""
-    n = F.length(word)
+    """K-mers that equal a spelling, contain it, or are part of it.
 
-    def padded(seq: Column) -> Column:
-        lefts = F.sequence(F.lit(0), F.greatest(k - n, F.lit(0)))
-        return F.flatten(
-            F.transform(
-                lefts,
-                lambda left: expand_word(
-                    F.concat(F.repeat(F.lit("N"), left), seq, F.repeat(F.lit("N"), k - n - left)), None
-                ),
-            )
-        )
+    The word is cut into pieces of k letters, or filled up to k with N, before an N is spelled out, so that
+    the number of N in it doesn't matter.
+    """
+    n = F.length(word)
 
-    def parts(seq: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(seq, i, F.lit(k)))
+    def filled(left: Column) -> Column:
+        return F.concat(F.repeat(F.lit("N"), left), word, F.repeat(F.lit("N"), k - n - left))
 
-    spelled = expand_word(word)
-    return F.array_distinct(F.flatten(F.when(n < k, F.transform(spelled, padded)).otherwise(F.transform(spelled, parts))))
+    fills = F.transform(F.sequence(F.lit(0), F.greatest(k - n, F.lit(0))), filled)
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(word, i, F.lit(k)))
+    plain = word.rlike("^[ACGUN]+$")
+    return F.when(plain, _spelled(F.when(n < k, fills).otherwise(parts))).otherwise(F.array().cast("array<string>"))
 
 
 def shifted_kmers(word: Column, k: int) -> Column:
     """Parts of longer spellings shifted by one or two, kept inside the word."""
     room = F.length(word) - k
-
-    def moved(seq: Column) -> Column:
-        deltas = F.array(*[F.lit(d) for d in (-2, -1, 1, 2)])
-        return F.transform(deltas, lambda d: F.substring(seq, F.greatest(F.least(room, d), F.lit(0)) + 1, F.lit(k)))
-
-    found = F.array_distinct(F.flatten(F.transform(expand_word(word), moved)))
-    return F.when(room > 0, found).otherwise(F.array().cast("array<string>"))
+    deltas = F.array(*[F.lit(d) for d in (-2, -1, 1, 2)])
+    moved = F.transform(deltas, lambda d: F.substring(word, F.greatest(F.least(room, d), F.lit(0)) + 1, F.lit(k)))
+    return F.when((room > 0) & word.rlike("^[ACGUN]+$"), _spelled(moved)).otherwise(F.array().cast("array<string>"))
 
 
 def hamming_kmers(kmer: Column, k: int) -> Column:
@@ -101,7 +94,7 @@ def clusters(words: DataFrame, ks: Sequence[int] = (6, 7)) -> DataFrame:
     token = F.col("token")
     kind = F.when((F.length(token) > 7) | token.contains("N"), "long_or_degenerate_motif").otherwise("direct_token")
     # words recur between proteins, so each is expanded once and joined back
-    base = spread(words.select("token"), "token").distinct()
+    base = words.select("token").distinct()
     base = base.withColumns({"source_type": kind, "_cores": anchor_cores(token)})
     out = None
     for k in ks:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqrank.functions.numeric import hypergeom_sf, neg_log10
-from seqrank.operators.ranking import rank_bounded, rank_rows, top_n
+from seqrank.operators.ranking import leading, rank_bounded, rank_rows, top_n
 
 TOP_KS = (50, 100, 200, 500, 1000)
 
@@ -39,7 +39,9 @@ def topk_enrichment(
     hits = best.join(truth, "gene_id").groupBy(*both)
     hits = hits.agg(*[F.count_if(F.col("_rank") <= k).alias(f"_hits{k}") for k in ks])
 
-    wide = universe.join(known, groups, "left").join(hits, both, "left")
+    # every group meets every truth group, also one without a gene of its universe; both lists are short
+    frame = universe.crossJoin(truth.select(*truth_groups).distinct()) if truth_groups else universe
+    wide = frame.join(known, both, "left").join(hits, both, "left")
     per_k = F.array(
         *[
             F.struct(
@@ -84,7 +86,7 @@ def truth_splits(truth: DataFrame, seeds: Sequence[int], fraction: float = 0.7)
     rows = truth.select("gene_id").distinct()
     rows = rows.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
     rows = rows.withColumn("_h", F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), F.col("gene_id"))))
-    ranked = rank_rows(rows, ["seed"], [F.col("_h"), F.col("gene_id")], "_r")
+    ranked = rank_rows(rows, ["seed"], [F.col("_h"), F.col("gene_id")], "_r", leading("_h"))
     sizes = ranked.groupBy("seed").agg(F.count(F.lit(1)).alias("_n"))
     cut = F.least(F.greatest(F.bround(F.col("_n") * F.lit(fraction)), F.lit(1.0)), F.col("_n") - F.lit(1.0))
     return ranked.join(sizes, "seed").select(
@@ -96,7 +98,7 @@ def three_way_split(ids: DataFrame, column: str, seed: int, train: float = 0.7,
     """Train, validation and test roles by md5 order."""
     rows = ids.select(column).distinct()
     rows = rows.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(column).cast("string"))))
-    ranked = rank_rows(rows, [], [F.col("_h"), F.col(column)], "_r")
+    ranked = rank_rows(rows, [], [F.col("_h"), F.col(column)], "_r", leading("_h"))
     n = rows.agg(F.count(F.lit(1))).scalar()
     n_train, n_valid = F.floor(n * F.lit(train)), F.floor(n * F.lit(validation))
     role = F.when(F.col("_r") <= n_train, "train").when(F.col("_r") <= n_train + n_valid, "validation")

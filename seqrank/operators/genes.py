@@ -82,7 +82,7 @@ def aggregate_genes_older(
         "n_windows",
     )
     groups = [k for k in keys if k != "gene_id"]
-    return rank_rows(short, groups, [F.col("max_score").desc_nulls_last(), F.col("gene_id")], "rank")
+    return rank_rows(short, groups, [F.col("max_score").desc_nulls_last(), F.col("gene_id")], "rank", -F.col("max_score"))
 
 
 def melt_scores(windows: DataFrame, scores: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -101,7 +101,7 @@ def ranking_views(genes: DataFrame, groups: Sequence[str] = ("rbp_id",)) -> Data
     )
     long = genes.select(*keep, F.inline(pairs))
     order = [F.col("ranking_score").desc_nulls_last(), F.col("gene_id")]
-    return rank_rows(long, [*groups, "ranking_name"], order, "rank")
+    return rank_rows(long, [*groups, "ranking_name"], order, "rank", -F.col("ranking_score"))
 
 
 def baseline_table(genes: DataFrame, score_name: str, aggregation: str = "top3_mean_score") -> DataFrame:
@@ -114,7 +114,7 @@ def baseline_table(genes: DataFrame, score_name: str, aggregation: str = "top3_m
             "baseline_aggregation": F.lit(aggregation),
         }
     )
-    return rank_rows(out, [], [F.col("baseline_score").desc_nulls_last(), F.col("gene_id")], "baseline_rank")
+    return rank_rows(out, [], [F.col("baseline_score").desc_nulls_last(), F.col("gene_id")], "baseline_rank", -F.col("baseline_score"))
 
 
 def top_windows(

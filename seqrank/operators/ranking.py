@@ -1,8 +1,8 @@
 """Ranks, running totals, quantiles and top-N that stay exact when one group is huge.
 
-Groups whose size has a fixed bound use an ordinary window. For the rest, rows are range
-partitioned by (group, order), so a large group is spread over many tasks; each task numbers
-its own rows and a small table of per-task totals supplies the offset.
+Groups whose size has a fixed bound use an ordinary window. For the rest, rows are dealt out by
+(group, bucket of the order): cut points are literals from one aggregate, so a large group is
+spread over many tasks; each numbers its own rows, and bucket totals supply the offset.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from seqrank.functions.numeric import finite
 from seqrank.session import durable
 
-_ROW_BITS = 33  # layout of monotonically_increasing_id
+MOST_CUTS = 256  # literals of one expression
+_ACCURACY, _BRACKET = 20_000, 1 / 4_000  # the aggregate is exact to 1 / 20,000 of the rows
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str) -> DataFrame:
@@ -29,11 +30,33 @@ def rank_bounded(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ra
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def range_layout(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Globally sorted rows with ``_seq`` (position id) and ``_part`` (task id), made durable."""
-    laid = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    laid = laid.withColumn("_seq", F.monotonically_increasing_id())
-    return durable(laid.withColumn("_part", F.shiftright("_seq", _ROW_BITS)))
+def cut_points(df: DataFrame, along: Column) -> list[float]:
+    """About evenly filled cut points of a numeric column: one aggregate, and at most MOST_CUTS numbers.
+
+    As literals they are the same whenever a task runs again.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(2, min(MOST_CUTS, width))
+    shares = F.array(*[F.lit(i / n) for i in range(1, n)])
+    found = df.agg(F.percentile_approx(along.cast("double"), shares, F.lit(10 * n))).first()[0]
+    return sorted(set(found or []))
+
+
+def leading(digest: str) -> Column:
+    """The first digits of a hexadecimal digest as a number."""
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
+
+
+def bucket(along: Column, cuts: Sequence[float]) -> Column:
+    """Number of cut points below a value, by bisection; NULL comes last."""
+
+    def between(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(along <= F.lit(cuts[mid]), between(lo, mid)).otherwise(between(mid + 1, hi))
+
+    return F.when(along.isNull(), F.lit(len(cuts) + 1)).otherwise(between(0, len(cuts)))
 
 
 def _offsets(parts: DataFrame, keys: Sequence[str], total: str) -> Column:
@@ -41,33 +64,42 @@ def _offsets(parts: DataFrame, keys: Sequence[str], total: str) -> Column:
     return F.coalesce(F.sum(total).over(before), F.lit(0))
 
 
-def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: str) -> DataFrame:
-    """Exact row number per key over groups of any size."""
+def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: str, along: Column | None = None) -> DataFrame:
+    """Exact row number per key.
+
+    ``along`` is a number that never falls along ``order`` (NULL last): rows are dealt out by its cut
+    points, so that a group of any size is numbered by many tasks, and the counts of the buckets before
+    are added. Without it, groups are numbered whole, for groups of a bounded size.
+    """
     keys = list(keys)
-    laid = range_layout(df, [F.col(k) for k in keys] + list(order))
-    parts = laid.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
-    parts = parts.withColumn("_shift", _offsets(parts, keys, "_n") - F.col("_first")).drop("_n", "_first")
-    out = laid.join(parts, ["_part", *keys])
-    return out.withColumn(rank, F.col("_seq") + F.col("_shift") + 1).drop("_seq", "_part", "_shift")
+    if along is None:
+        return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    dealt = df.withColumn("_part", bucket(along, cut_points(df, along)))
+    local = Window.partitionBy(*keys, "_part").orderBy(*order)
+    dealt = dealt.withColumn("_local", F.row_number().over(local).cast("bigint"))
+    parts = dealt.groupBy(*keys, "_part").agg(F.max("_local").alias("_n"))
+    parts = parts.withColumn("_shift", _offsets(parts, keys, "_n")).drop("_n")
+    out = dealt.join(parts, [*keys, "_part"])
+    return out.withColumn(rank, F.col("_local") + F.col("_shift")).drop("_local", "_part", "_shift")
 
 
 def running_totals(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], totals: dict[str, str]
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], totals: dict[str, str], along: Column | None = None
 ) -> DataFrame:
-    """Inclusive running sums per key: ``totals`` maps new column to summed column."""
+    """Inclusive running sums per key: ``totals`` maps new column to summed column; ``along`` as in :func:`rank_rows`."""
     keys = list(keys)
-    laid = range_layout(df, [F.col(k) for k in keys] + list(order))
-    parts = laid.groupBy("_part", *keys).agg(*[F.sum(src).alias(f"_t_{out}") for out, src in totals.items()])
-    parts = parts.select(
-        "_part", *keys, *[_offsets(parts, keys, f"_t_{out}").alias(f"_o_{out}") for out in totals]
-    )
-    local = Window.partitionBy("_part", *keys).orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
-    for out, src in totals.items():
-        laid = laid.withColumn(out, F.sum(src).over(local))
-    joined = laid.join(parts, ["_part", *keys])
+    if along is None:
+        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({out: F.sum(src).over(whole) for out, src in totals.items()})
+    dealt = df.withColumn("_part", bucket(along, cut_points(df, along)))
+    local = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    dealt = dealt.withColumns({out: F.sum(src).over(local) for out, src in totals.items()})
+    parts = dealt.groupBy(*keys, "_part").agg(*[F.sum(src).alias(f"_t_{out}") for out, src in totals.items()])
+    parts = parts.select(*keys, "_part", *[_offsets(parts, keys, f"_t_{out}").alias(f"_o_{out}") for out in totals])
+    joined = dealt.join(parts, [*keys, "_part"])
     for out in totals:
         joined = joined.withColumn(out, F.col(out) + F.col(f"_o_{out}"))
-    return joined.drop("_seq", "_part", *[f"_o_{out}" for out in totals])
+    return joined.drop("_part", *[f"_o_{out}" for out in totals])
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -78,7 +110,7 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    return running_totals(counts, keys, [F.col(value)], {"_upto": "_n"})
+    return running_totals(counts, keys, [F.col(value)], {"_upto": "_n"}, F.col(value))
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, rank: str, pct: bool = False) -> DataFrame:
@@ -98,24 +130,45 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, rank: str, pct
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact linearly interpolated quantiles per key, for groups of any size."""
+    """Exact linearly interpolated quantiles per key, for groups of any size.
+
+    An approximate aggregate brackets every quantile; then rows below the brackets are counted, and only
+    values inside (about one in 2,000 rows) are looked at one by one. No row is sorted or exchanged but those.
+    """
     keys = list(keys)
-    counts = value_counts(df, keys, value)
-    sizes = counts.groupBy(*keys).agg(F.max("_upto").alias("_size"))
-    placed = counts.join(sizes, keys) if keys else counts.withColumn("_size", sizes.scalar())
-    picks = []
-    for name, p in probs.items():
-        h = (F.col("_size") - 1) * F.lit(float(p))
-        for tag, pos in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            inside = (F.col("_upto") > pos) & (F.col("_upto") - F.col("_n") <= pos)
-            picks.append(F.max(F.when(inside, F.col(value))).alias(f"_{name}_{tag}"))
-    found = placed.groupBy(*keys).agg(F.first("_size").alias("_size"), *picks)
-    out = [F.col(k) for k in keys]
+    shares = list(dict.fromkeys(float(p) for p in probs.values()))
+    rows = df.select(*keys, finite(value).alias("_v")).where(F.col("_v").isNotNull())
+    ends = [min(max(p + side * _BRACKET, 0.0), 1.0) for p in shares for side in (-1, 1)]
+    near = F.percentile_approx("_v", F.array(*map(F.lit, ends)), F.lit(_ACCURACY))
+    # a table of one row a key: its size on disk decides about a broadcast
+    brackets = durable(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), near.alias("_ends")))
+    placed = rows.join(brackets, keys) if keys else rows.join(F.broadcast(brackets))
+    value_, spots = F.col("_v"), range(len(shares))
+    low, high = [F.col("_ends")[2 * i] for i in spots], [F.col("_ends")[2 * i + 1] for i in spots]
+    sides = placed.groupBy(*keys).agg(
+        F.first("_size").alias("_size"),
+        F.array(*[F.count_if(value_ < low[i]) for i in spots]).alias("_below"),
+        F.array(*[F.max(F.when(value_ < low[i], value_)) for i in spots]).alias("_before"),
+        F.array(*[F.min(F.when(value_ > high[i], value_)) for i in spots]).alias("_after"),
+    )
+    hit = F.filter(F.array(*[F.when(value_.between(low[i], high[i]), F.lit(i)) for i in spots]), lambda i: i.isNotNull())
+    inside = placed.select(*keys, F.explode(hit).alias("_i"), "_v").groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    inside = inside.withColumn("_upto", upto)
+    seen = inside.join(sides, keys) if keys else inside.join(F.broadcast(sides))
+    out = []
     for name, p in probs.items():
+        i = shares.index(float(p))
         h = (F.col("_size") - 1) * F.lit(float(p))
-        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        out.append((lo + (hi - lo) * (h - F.floor(h))).alias(name))
-    return found.select(*out)
+        below = F.col("_below")[i]
+        ranks = []
+        for pos in (F.floor(h), F.ceil(h)):
+            own = F.max(F.when((F.col("_i") == i) & (below + F.col("_upto") > pos) & (below + F.col("_upto") - F.col("_n") <= pos), F.col("_v")))
+            # one place outside of a bracket is its neighbour's value
+            ranks.append(F.coalesce(own, F.max(F.when(pos < below, F.col("_before")[i]).when(F.col("_i") == i, F.col("_after")[i]))))
+        share = F.max(h - F.floor(h))
+        out.append((ranks[0] + (ranks[1] - ranks[0]) * share).alias(name))
+    return seen.groupBy(*keys).agg(*out)
 
 
 def top_fraction_mean(

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from seqrank.functions.numeric import mean_of
 from seqrank.functions.sequence import rna, simple_repeat
-from seqrank.session import spread
 
 REPEAT_FEATURES = [
     "reverse_complement_4mer_density",
@@ -167,8 +166,9 @@ def repeat_table(sequences: DataFrame, seq: str = "rna_seq", version: str = "v2_
 
     ``version`` chooses the composite: ``v2`` averages five terms, ``v2_1`` adds the pair count.
     """
-    # the same partitioning serves the spreading and the duplicate removal
-    distinct = spread(sequences.select(seq), seq).distinct().withColumn("_t", rna(seq))
+    # duplicates go in every task first; what is left is dealt out evenly, as its features take long
+    n = max(int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions")), sequences.sparkSession.sparkContext.defaultParallelism)
+    distinct = sequences.select(seq).distinct().repartition(n, seq).withColumn("_t", rna(seq))
     schema = f"`{seq}` string, _t string, " + ", ".join(f"{n} {t}" for n, t in _BATCHED.items())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqrank.functions.numeric import finite
-from seqrank.operators.ranking import rank_rows, top_n
+from seqrank.operators.ranking import leading, rank_rows, top_n
 
 MODELS = {"logistic_l2": 0.0, "logistic_elasticnet": 0.5}
 
@@ -54,7 +54,8 @@ def matched_negatives(candidates: DataFrame, positives: DataFrame, bin_column: s
     for b, n in quotas.items():
         quota = quota.when(F.col(bin_column) == b, n)
     limit = quota.otherwise(0) if quotas else F.lit(0)
-    ranked = rank_rows(candidates.select("gene_id", bin_column), [bin_column], [shuffled(seed, "m"), F.col("gene_id")], "_r")
+    mixed = candidates.select("gene_id", bin_column, shuffled(seed, "m").alias("_h"))
+    ranked = rank_rows(mixed, [bin_column], [F.col("_h"), F.col("gene_id")], "_r", leading("_h"))
     return ranked.where(F.col("_r") <= limit).select("gene_id")
 
 

@@ -93,4 +93,9 @@ def tile_proteins(
 
 def numbered(df: DataFrame, order: list[str], row: str = "row_id") -> DataFrame:
     """Contiguous 0-based row ids in the stated order."""
-    return rank_rows(df, [], [F.col(c) for c in order], row).withColumn(row, F.col(row) - 1)
+    first = F.col(order[0])
+    kind = dict(df.dtypes)[order[0]]
+    # six bytes of a text are a number that doesn't fall along the order of texts
+    number = F.conv(F.rpad(F.hex(F.substring(first.cast("binary"), 1, 6)), 12, "0"), 16, 10) if kind == "string" else first
+    along = F.coalesce(number.cast("double"), F.lit(float("-inf")))
+    return rank_rows(df, [], [F.col(c) for c in order], row, along).withColumn(row, F.col(row) - 1)

@@ -65,7 +65,9 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-distribute rows before heavy per-row work; unsplittable inputs arrive as one task."""
+    """Deal rows out before heavy per-row work if there are fewer input tasks than cores, as with one file that can't be split."""
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
+    n = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n), *keys)

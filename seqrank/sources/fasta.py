@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqrank.functions.sequence import AMINO_ACIDS
 from seqrank.operators.windows import last_wins
-from seqrank.session import spread
+
+
+def file_position() -> Column:
+    """Where a row stands: its file, the split of the file, and the row in the split; sorts as the files are read."""
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
 
 
 def _records(spark: SparkSession, path: str, leading_text: bool) -> DataFrame:
@@ -17,7 +21,7 @@ def _records(spark: SparkSession, path: str, leading_text: bool) -> DataFrame:
     pass over the row numbers.
     """
     rows = spark.read.option("lineSep", "\n>").text(path).select(
-        "value", F.monotonically_increasing_id().alias("position"), F.col("_metadata.file_path").alias("_file")
+        "value", file_position().alias("position"), F.col("_metadata.file_path").alias("_file")
     )
     if leading_text:
         first = rows.groupBy("_file").agg(F.min("position").alias("_first"))
@@ -29,10 +33,11 @@ def _records(spark: SparkSession, path: str, leading_text: bool) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, leading_text: bool = False) -> DataFrame:
-    """(transcript_id, seq): id is the first word of the header. Compressed files arrive as one
-    task each, so rows are spread afterwards."""
+    """(transcript_id, seq): id is the first word of the header. A compressed file is one task, so its
+    rows are dealt out; other files are split as they are read."""
     rows = _records(spark, path, leading_text).select(F.split("header", "\\s+")[0].alias("transcript_id"), F.col("body").alias("seq"))
-    return spread(rows, "transcript_id")
+    packed = any(f.endswith((".gz", ".zst", ".xz")) for f in spark.read.text(path).inputFiles())
+    return rows.repartition("transcript_id") if packed else rows
 
 
 def read_fasta_full(spark: SparkSession, path: str) -> DataFrame:

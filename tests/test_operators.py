@@ -98,7 +98,8 @@ def test_cluster_weights(spark):
     assert six["AAUAAA"] == 1.0 and len(six) == 1 + 18 and (six.drop("AAUAAA") == 0.35).all()
     seven = got[(got["k"] == 7) & got["is_strong"]]["kmer"]
     assert sorted(seven) == sorted({"AAUAAA" + b for b in "ACGU"} | {b + "AAUAAA" for b in "ACGU"})
-    assert spark.range(1).select(F.size(K.expand_word(F.lit("NNNNN")))).first()[0] == 256
+    assert spark.range(1).select(F.size(K.expand_word(F.lit("NNNNN")))).first()[0] == 1024
+    assert spark.range(1).select(F.size(K.compatible_kmers(F.lit("NNNNNACGU"), 7))).first()[0] == 1344
 
 
 def test_nearest_blocks_agree_with_numpy(spark, monkeypatch):
@@ -248,3 +249,12 @@ def test_score_and_feature_jobs(spark):
     base = jobs.baseline_run(table, truth, [1, 2])
     assert base["audit"].count() == 6 and base["heldout"].count() == 10
     assert jobs.two_branch_validation(feats, ["paired_run_density_top3"], truth, [1]).count() == 6 * 5
+
+
+def test_enrichment_keeps_truth_groups_without_a_gene(spark):
+    genes = spark.createDataFrame([("a", "g1", 1.0), ("a", "g2", 2.0), ("b", "g3", None)], "name string, gene_id string, s double")
+    truth = spark.createDataFrame([(1, "g1"), (2, "g9")], "seed int, gene_id string")
+    rows = {(r.name, r.seed): r for r in E.topk_enrichment(genes, truth, "s", (1, 5), ["name"], ["seed"]).where("top_k = 5").collect()}
+    assert set(rows) == {("a", 1), ("a", 2), ("b", 1), ("b", 2)}
+    assert (rows["a", 1].overlap, rows["a", 1].truth_genes) == (1, 1)
+    assert (rows["b", 2].overlap, rows["b", 2].truth_genes, rows["b", 2].recall) == (0, 0, None)

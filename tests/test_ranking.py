@@ -21,9 +21,10 @@ def skewed(spark):
     return pd.DataFrame(rows, columns=["key", "x", "id"])
 
 
-def test_rank_rows_matches_pandas(spark, skewed):
+@pytest.mark.parametrize("along", [None, lambda: -F.col("x")])
+def test_rank_rows_matches_pandas(spark, skewed, along):
     df = spark.createDataFrame(skewed).repartition(7)
-    got = R.rank_rows(df, ["key"], [F.col("x").desc(), F.col("id")], "rank").toPandas().sort_values("id")
+    got = R.rank_rows(df, ["key"], [F.col("x").desc(), F.col("id")], "rank", along and along()).toPandas().sort_values("id")
     want = skewed.sort_values(["x", "id"], ascending=[False, True])
     want = want.assign(rank=want.groupby("key").cumcount() + 1).sort_values("id")
     assert got["rank"].tolist() == want["rank"].tolist()
@@ -31,13 +32,14 @@ def test_rank_rows_matches_pandas(spark, skewed):
 
 def test_rank_rows_without_groups(spark, skewed):
     df = spark.createDataFrame(skewed)
-    got = R.rank_rows(df, [], [F.col("x"), F.col("id")], "rank")
+    got = R.rank_rows(df, [], [F.col("x"), F.col("id")], "rank", F.col("x"))
     assert got.agg(F.min("rank"), F.max("rank"), F.countDistinct("rank")).first() == (1, 3000, 3000)
 
 
-def test_running_totals(spark, skewed):
+@pytest.mark.parametrize("along", [None, lambda: F.col("id")])
+def test_running_totals(spark, skewed, along):
     df = spark.createDataFrame(skewed).withColumn("one", F.lit(1))
-    got = R.running_totals(df, ["key"], [F.col("id")], {"upto": "one"}).toPandas().sort_values("id")
+    got = R.running_totals(df, ["key"], [F.col("id")], {"upto": "one"}, along and along()).toPandas().sort_values("id")
     want = skewed.sort_values("id").groupby("key").cumcount() + 1
     assert got["upto"].tolist() == want.tolist()
 
@@ -49,6 +51,25 @@ def test_quantiles_match_numpy(spark, skewed):
         assert got.loc[key].tolist() == pytest.approx(np.quantile(part["x"], [0.25, 0.5, 0.9]).tolist())
 
 
+@pytest.mark.parametrize("values", [[7.0] * 50, [0.0] * 49 + [1e9], [1.0], [1.0, 2.0], list(range(20_000)), [None, float("nan"), 3.0, None]])
+def test_quantiles_of_ties_outliers_and_few_rows(spark, values):
+    df = spark.createDataFrame([("a", v if v is None else float(v)) for v in values], "key string, x double").repartition(5)
+    finite = [v for v in values if v is not None and v == v]
+    probs = {f"p{i}": i / 10 for i in range(11)} | {"p37": 0.37}
+    for keys in ([], ["key"]):
+        got = R.quantiles(df, keys, "x", probs).first()
+        assert [got[n] for n in probs] == pytest.approx(np.quantile(finite, list(probs.values())).tolist())
+    assert R.quantiles(df.where("false"), ["key"], "x", probs).count() == 0
+
+
+def test_ranks_in_buckets_with_nulls_and_ties(spark):
+    rows = [(float(i % 7) if i % 5 else None, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "x double, id long").repartition(6)
+    got = R.rank_rows(df, [], [F.col("x").desc_nulls_last(), F.col("id")], "rank", -F.col("x")).orderBy("rank").collect()
+    assert [(r.x, r.id) for r in got] == sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert [r["rank"] for r in got] == list(range(1, 501))
+
+
 def test_average_ranks(spark, skewed):
     df = spark.createDataFrame(skewed)
     got = R.average_ranks(df, ["key"], "x", "r", pct=True).toPandas().sort_values("id")
