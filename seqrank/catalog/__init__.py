@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ["windows", "scores", "ranking", "context", "motifs", "audits", "stateful"]
+TOPICS = ["windows", "scores", "ranking", "context", "motifs", "audits", "files", "stateful"]
 
 
 def _load():

@@ -2,30 +2,27 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from seqrank.catalog.inputs import with_views
 from seqrank.catalog.ranking import ONE_CTE, SEEDS, one_protein
 from seqrank.catalog.registry import query
+from seqrank.catalog.scratch import scratch
 from seqrank.functions.numeric import rounded
 from seqrank.operators import enrichment as E
 from seqrank.operators import supervised as SV
 from seqrank.operators.bias import add_bins
-from seqrank.session import durable, ensure_checkpoint_dir
+from seqrank.session import durable
 from seqrank.sources import annotation, fasta
 from seqrank.streaming.incremental import finished, stream_extremes, stream_top_n
 
 
-def scratch(v) -> str:
-    ensure_checkpoint_dir(v.spark)
-    return f"{v.spark.sparkContext.getCheckpointDir()}/run-{uuid.uuid4().hex}"
-
-
 def event_stream(v):
-    schema = v.table("events").schema
-    return v.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(v.folder)
+    """The events in five batches: a folder for every six days of a month."""
+    folder, events = scratch(v), v.table("events")
+    events.withColumn("part", F.expr("(day(ts) - 1) div 6 % 5")).repartition("part").write.partitionBy("part").parquet(folder)
+    reader = v.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+    return reader.parquet(folder)
 
 
 @query(

@@ -233,7 +233,7 @@ _EXTRA_MAXIMA = {
 
 
 def gene_feature_table(
-    scored: DataFrame, pairing: DataFrame, rich_words: Sequence[str], score: str = PRIMARY, bins: int = 20, rc_k: int = 6
+    scored: DataFrame, pairing: DataFrame, rich_words: Sequence[str], score: str = PRIMARY, bins: int = 20, rc_k: int = 4
 ) -> DataFrame:
     """The forty gene features used for supervised calibration (one protein).
 

@@ -13,7 +13,7 @@ from seqrank.operators.audit import require_columns
 
 # Accepted names of the gene column, in order of preference.
 TRUTH_COLUMNS = ["gene_id", "target_gene_id", "truth_gene_id", "gene"]
-SCORE_PREFERENCE = ["top3_mean_score", "max_score", "posthoc_score", "joint_score", "base_score"]
+SCORE_PREFERENCE = ["ranking_score", "max_score", "top3_mean_score", "top5_mean_score", "window_count_adjusted_score"]
 
 
 def read_table(
@@ -59,9 +59,9 @@ def read_truth(df: DataFrame, strict: bool = False, first_column: bool = False)
     return df.select(F.col(name).cast("string").alias("gene_id")).dropna().distinct()
 
 
-def ranking_column(df: DataFrame, preference: Sequence[str] = SCORE_PREFERENCE) -> str:
-    """First score column that the table has."""
-    for name in preference:
+def ranking_column(df: DataFrame, wanted: str | None = None, preference: Sequence[str] = SCORE_PREFERENCE) -> str:
+    """The wanted score column if the table has it, else the first that it has."""
+    for name in [wanted, *preference] if wanted else preference:
         if name in df.columns:
             return name
     raise ValueError("no ranking score column")

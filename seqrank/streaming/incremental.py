@@ -22,9 +22,22 @@ def _state(batch: DataFrame, folder: str, batch_id: int, schema) -> DataFrame |
     return batch.sparkSession.read.schema(schema).parquet(f"{folder}/batch={batch_id - 1}")
 
 
+def _batches(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the batches whose state is kept."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [f.getPath().getName() for f in found]
+    return [int(n.partition("=")[2]) for n in names if n.startswith("batch=")]
+
+
 def _run(stream: DataFrame, merge, folder: str, checkpoint: str) -> StreamingQuery:
     def step(batch: DataFrame, batch_id: int) -> None:
         merge(batch, batch_id).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        # a batch reads the state before it only
+        for old in _batches(batch.sparkSession, folder):
+            if old < batch_id - 1:
+                path = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch={old}")
+                path.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
     return (
         stream.writeStream.foreachBatch(step)
@@ -66,5 +79,4 @@ def stream_extremes(stream: DataFrame, keys: Sequence[str], value: str, folder:
 def finished(query: StreamingQuery, spark: SparkSession, folder: str) -> DataFrame:
     """Waits for the available rows and returns the state after the last batch."""
     query.awaitTermination()
-    last = max(p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0)
-    return spark.read.parquet(f"{folder}/batch={last}")
+    return spark.read.parquet(f"{folder}/batch={max(_batches(spark, folder))}")
