@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqrank.catalog.inputs import TIES, with_views
-from seqrank.catalog.ranking import KS, ONE_CTE, SEEDS, one_protein, p_sql, report_sql
+from seqrank.catalog.ranking import BIN_CTE, K_SQL, KS, ONE_CTE, SEEDS, one_protein, p_sql, report_sql
 from seqrank.catalog.registry import SQL, query
 from seqrank.catalog.scores import enrichment_report
 from seqrank.functions.numeric import rounded
@@ -326,6 +326,24 @@ def repeat_gene_means(v):
     return out.select("gene_id", *[rounded(c).alias(c) for c in out.columns if c != "gene_id"])
 
 
-@query("bias_report")
+@query(
+    "bias_report",
+    with_views(
+        "scored truth",
+        report_sql(
+            "comparison, pearson, spearman",
+            f"""select comparison, pearson, spearman, k, count(*) m, count(t.gene_id) n, count(*) filter (rk<=k and t.gene_id is not null) hits
+ from rkd join co using (comparison) cross join {K_SQL} left join truth t using (gene_id) group by 1,2,3,4""",
+        ),
+        BIN_CTE
+        + """, cmp as (select gene_id, n_windows, 'raw' comparison, top3_mean_score s from adj union all select gene_id, n_windows, 'bin_adjusted', pct from adj),
+rkd as materialized (select *, row_number() over (partition by comparison order by s desc nulls last, gene_id) rk,
+   rank() over (partition by comparison, s is null order by n_windows) + (count(*) over (partition by comparison, s is null, n_windows)-1)/2e0 rx,
+   rank() over (partition by comparison order by s nulls last) + (count(*) over (partition by comparison, s)-1)/2e0 ry from cmp),
+co as (select comparison, round(corr(n_windows,s),6)+0e0 pearson, round(corr(rx,ry) filter (s is not null),6)+0e0 spearman from rkd group by 1)""",
+    ),
+)
 def bias_report(v):
-    return jobs.bias_report(one_protein(v), v.truth())
+    out = jobs.bias_report(one_protein(v), v.truth())
+    out = out.withColumns({c: rounded(c) for c in ("pearson", "spearman")})
+    return enrichment_report(out, ["comparison", "pearson", "spearman"])

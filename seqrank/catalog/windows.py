@@ -137,14 +137,14 @@ from (select *, (select sum(case when p>0 then -p*log2(p) else 0 end) from
     ),
 )
 def composition(v):
-    return v.windows().select(
+    return features.composition(v.windows()).select(
         "transcript_id",
         "window_start",
-        *[rounded(S.letter_fraction("rna_seq", x)).alias(f"{x.lower()}_content") for x in ("U", "C", "UC", "AU", "GC")],
-        rounded(S.entropy("rna_seq")).alias("shannon_entropy"),
-        rounded(S.low_complexity("rna_seq")).alias("low_complexity_score"),
-        S.longest_u_run("rna_seq").alias("longest_u_run"),
-        S.u_word_count("rna_seq").alias("u7_count"),
+        *[rounded(f"{x}_content").alias(f"{x.lower()}_content") for x in ("U", "C", "UC", "AU", "GC")],
+        rounded("shannon_entropy").alias("shannon_entropy"),
+        rounded("low_complexity_score").alias("low_complexity_score"),
+        F.col("max_homopolymer_U_len").alias("longest_u_run"),
+        F.col("UUUUUUU_count").alias("u7_count"),
     )
 
 

@@ -96,17 +96,17 @@ def low_complexity(c: str | Column) -> Column:
     return F.when(h.isNotNull(), F.lit(1.0) - F.least(h / 2.0, F.lit(1.0)))
 
 
-def _u_runs(c: str | Column) -> Column:
+def u_runs(c: str | Column) -> Column:
     return F.transform(F.regexp_extract_all(col(c), F.lit("(U+)"), F.lit(1)), F.length)
 
 
 def longest_u_run(c: str | Column) -> Column:
-    return F.coalesce(F.array_max(_u_runs(c)), F.lit(0))
+    return F.coalesce(F.array_max(u_runs(c)), F.lit(0))
 
 
 def u_word_count(c: str | Column, k: int = 7) -> Column:
     """Overlapping occurrences of k letters U."""
-    return F.aggregate(_u_runs(c), F.lit(0), lambda acc, n: acc + F.greatest(n - (k - 1), F.lit(0)))
+    return F.aggregate(u_runs(c), F.lit(0), lambda acc, n: acc + F.greatest(n - (k - 1), F.lit(0)))
 
 
 def density_in(kmer_array: Column, words: Column) -> Column:

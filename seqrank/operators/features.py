@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqrank.functions import sequence as S
 from seqrank.functions import structure as A
 
 HAIRPIN_FEATURES = [
@@ -89,3 +90,22 @@ def gene_means(top: DataFrame, means: dict[str, Column], maxima: dict[str, Colum
     return top.groupBy(*keys).agg(
         *[F.avg(c).alias(n) for n, c in means.items()], *[F.max(c).alias(n) for n, c in maxima.items()]
     )
+
+
+def composition(df: DataFrame, seq: str = "rna_seq") -> DataFrame:
+    """Letter shares, entropy and U runs of a sequence: each letter and the runs are counted once, the rest is derived."""
+    counted = df.withColumns({f"_n{b}": S.letter_count(seq, b) for b in S.BASES} | {"_length": F.length(seq), "_runs": S.u_runs(seq)})
+    length = F.col("_length").cast("double")
+
+    def share(letters: str) -> Column:
+        n = sum((F.col(f"_n{b}") for b in letters[1:]), F.col(f"_n{letters[0]}"))
+        return F.try_divide(n.cast("double"), length)
+
+    terms = [F.when(share(b) > 0, -share(b) * F.log2(share(b))).otherwise(0.0) for b in S.BASES]
+    entropy = F.when(F.col("_length") > 0, sum(terms[1:], terms[0]))
+    out = counted.withColumns({f"{x}_content": share(x) for x in ("U", "C", "UC", "AU", "GC")} | {"shannon_entropy": entropy})
+    run = F.coalesce(F.array_max("_runs"), F.lit(0))
+    words = F.aggregate("_runs", F.lit(0), lambda acc, n: acc + F.greatest(n - 6, F.lit(0)))
+    low = F.when(F.col("shannon_entropy").isNotNull(), F.lit(1.0) - F.least(F.col("shannon_entropy") / 2.0, F.lit(1.0)))
+    out = out.withColumns({"low_complexity_score": low, "max_homopolymer_U_len": run, "UUUUUUU_count": words})
+    return out.drop(*[f"_n{b}" for b in S.BASES], "_length", "_runs")

@@ -244,17 +244,12 @@ def gene_feature_table(
     extremes = genes.window_count_features(genes.window_extremes(scored, score)).drop("n_windows")
     top = durable(genes.top_windows(scored, score, 5))
     rows = features.hairpin_columns(features.attach_pairing(top, pairing), "paired")
-    rows = add_repeat_features(rows)
+    rows = features.composition(add_repeat_features(rows))
     words = S.kmers("rna_seq", 7)
     rows = rows.withColumns(
         {
-            "U_content": S.letter_fraction("rna_seq", "U"),
-            "UC_content": S.letter_fraction("rna_seq", "UC"),
-            "AU_content": S.letter_fraction("rna_seq", "AU"),
-            "shannon_entropy": S.entropy("rna_seq"),
-            "low_complexity_score": S.low_complexity("rna_seq"),
-            "max_homopolymer_U_len": S.longest_u_run("rna_seq").cast("double"),
-            "UUUUUUU_count": S.u_word_count("rna_seq").cast("double"),
+            "max_homopolymer_U_len": F.col("max_homopolymer_U_len").cast("double"),
+            "UUUUUUU_count": F.col("UUUUUUU_count").cast("double"),
             "top_Urich_kmer_density": S.density_in(words, S.rich_words(rich_words)),
             "AU_rich_paired_density": A.rich_paired_density("rna_seq", "paired", "AU", 6),
             "U_rich_paired_density": A.rich_paired_density("rna_seq", "paired", "U", 5),
