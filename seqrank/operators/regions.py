@@ -77,8 +77,11 @@ def project_features(annotation: DataFrame, exons: DataFrame, width: int = 4096)
     return pairs.select("transcript_id", "label", begin.alias("seg_start"), (begin + hi - lo).alias("seg_end"))
 
 
-def infer_utrs(segments: DataFrame, exons: DataFrame) -> DataFrame:
-    """Segments plus UTRs around the coding part where a transcript lists none of that kind."""
+def infer_utrs(segments: DataFrame, exons: DataFrame, mark: bool = False) -> DataFrame:
+    """Segments plus UTRs around the coding part where a transcript lists none of that kind.
+
+    With ``mark`` a column ``inferred`` tells the added ones.
+    """
     length = exons.groupBy("transcript_id").agg(F.max("_upto").alias("_length"))
     coding = F.col("label") == "CDS"
     bounds = segments.groupBy("transcript_id").agg(
@@ -96,7 +99,9 @@ def infer_utrs(segments: DataFrame, exons: DataFrame) -> DataFrame:
 
     five = part("5UTR", F.lit(1), F.col("_lo") - 1, F.col("_n5"))
     three = part("3UTR", F.col("_hi") + 1, F.col("_length"), F.col("_n3"))
-    return segments.unionByName(five).unionByName(three)
+    if not mark:
+        return segments.unionByName(five).unionByName(three)
+    return segments.withColumn("inferred", F.lit(False)).unionByName(five.unionByName(three).withColumn("inferred", F.lit(True)))
 
 
 def transcript_info(annotation: DataFrame) -> DataFrame:
@@ -106,11 +111,14 @@ def transcript_info(annotation: DataFrame) -> DataFrame:
     )
 
 
-def window_regions(windows: DataFrame, segments: DataFrame, info: DataFrame, out: str = "region_type", width: int = 512) -> DataFrame:
+def window_regions(
+    windows: DataFrame, segments: DataFrame, info: DataFrame, out: str = "region_type", inferred: str | None = None, width: int = 512
+) -> DataFrame:
     """Label with the most overlapped bases per window, else ncRNA or unknown.
 
     ``windows`` has one row per (transcript_id, window_start, window_end) key after deduplication
-    here; the label is joined back to all rows.
+    here; the label is joined back to all rows. With a column name in ``inferred``, segments marked by
+    :func:`infer_utrs` count for that label only, and one join serves both.
     """
     key = ["transcript_id", "window_start", "window_end"]
     spans = windows.select(*key).distinct()
@@ -118,23 +126,28 @@ def window_regions(windows: DataFrame, segments: DataFrame, info: DataFrame, out
     b = segments.withColumnsRenamed({"seg_start": "other_start", "seg_end": "other_end"})
     pairs = overlap_join(a, b, ["transcript_id"], width)
     size = F.least("end", "other_end") - F.greatest("start", "other_start") + 1
+    kinds = {"e": ~F.col("inferred"), "a": F.lit(True)} if inferred else {"a": F.lit(True)}
     sums = pairs.groupBy(*key).agg(
-        *[F.coalesce(F.sum(F.when(F.col("label") == n, size)), F.lit(0)).alias(f"_{n}") for n in LABELS]
+        *[F.coalesce(F.sum(F.when((F.col("label") == n) & own, size)), F.lit(0)).alias(f"_{k}{n}") for k, own in kinds.items() for n in LABELS]
     )
     joined = spans.join(sums, key, "left").join(info, "transcript_id", "left")
-    most = F.greatest(*[F.col(f"_{n}") for n in LABELS])
-    label = F
-    for n in LABELS:
-        label = label.when(F.col(f"_{n}") == most, n)
     biotype = F.lower(F.coalesce("biotype", F.lit("")))
     noncoding = (F.col("has_cds") == 0) | (biotype.contains("rna") & ~biotype.contains("mrna"))
-    region = (
-        F.when(F.col("has_cds").isNull(), "unknown")
-        .when(most > 0, label.otherwise("unknown"))
-        .when(noncoding, "ncRNA")
-        .otherwise("unknown")
-    )
-    return windows.join(joined.select(*key, region.alias(out)), key, "left")
+
+    def region(kind: str) -> Column:
+        most = F.greatest(*[F.col(f"_{kind}{n}") for n in LABELS])
+        label = F
+        for n in LABELS:
+            label = label.when(F.col(f"_{kind}{n}") == most, n)
+        return (
+            F.when(F.col("has_cds").isNull(), "unknown")
+            .when(most > 0, label.otherwise("unknown"))
+            .when(noncoding, "ncRNA")
+            .otherwise("unknown")
+        )
+
+    labels = [region("e").alias(out), region("a").alias(inferred)] if inferred else [region("a").alias(out)]
+    return windows.join(joined.select(*key, *labels), key, "left")
 
 
 def region_flags(df: DataFrame, region: str = "region_type", prefix: str = "") -> DataFrame:
@@ -156,8 +169,7 @@ def annotate_windows(windows: DataFrame, annotation: DataFrame | None, enabled:
         exons = transcript_exons(annotation)
         segments = project_features(annotation, exons)
         info = transcript_info(annotation)
-        df = window_regions(windows, segments, info, "region_type")
-        df = window_regions(df, infer_utrs(segments, exons), info, "inferred_region_type")
+        df = window_regions(windows, infer_utrs(segments, exons, mark=True), info, "region_type", "inferred_region_type")
     df = region_flags(region_flags(df), "inferred_region_type", "inferred_")
     if not enabled:
         df = df.withColumns({c: F.lit(None).cast("double") for c in df.columns if "is_" in c and c not in windows.columns})
