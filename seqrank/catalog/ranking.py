@@ -367,13 +367,13 @@ def bin_adjust(v):
     with_views(
         "scored",
         """select b as window_count_bin, count(*) as n_genes, min(n_windows) as min_n_windows, max(n_windows) as max_n_windows,
-  round(avg(top3_mean_score),6) as raw_score_mean, round(median(top3_mean_score),6) as raw_score_median, round(avg(pct),6) as adjusted_percentile_mean from adj group by 1""",
+  round(avg(top3_mean_score),6) as raw_score_mean, round(median(top3_mean_score),6) as raw_score_median, round(avg(pct),6) as adjusted_percentile_mean, round(median(pct),6) as adjusted_percentile_median from adj group by 1""",
         BIN_CTE,
     ),
 )
 def bin_summary(v):
-    out = B.bin_summary(B.bin_adjust(one_protein(v), "n_windows", "top3_mean_score"), "n_windows", "top3_mean_score")
-    means = ["raw_score_mean", "raw_score_median", "adjusted_percentile_mean"]
+    out = B.bin_summary(durable(B.bin_adjust(one_protein(v), "n_windows", "top3_mean_score")), "n_windows", "top3_mean_score")
+    means = ["raw_score_mean", "raw_score_median", "adjusted_percentile_mean", "adjusted_percentile_median"]
     return out.select("window_count_bin", "n_genes", "min_n_windows", "max_n_windows", *[rounded(c).alias(c) for c in means])
 
 

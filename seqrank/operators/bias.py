@@ -44,13 +44,13 @@ def bin_adjust(genes: DataFrame, value: str, score: str, bins: int = 20) -> Data
     stats = ranked.groupBy("window_count_bin").agg(
         F.avg(score).alias("_mean"), F.nullif(F.stddev_samp(score), F.lit(0.0)).alias("_std")
     )
-    joined = ranked.join(stats, "window_count_bin", "left")
+    joined = ranked.join(F.broadcast(stats), "window_count_bin", "left")  # at most a row for each bin
     z = (F.col(score) - F.col("_mean")) / F.col("_std")
     return joined.withColumn("bin_adjusted_zscore", z).drop("_mean", "_std")
 
 
 def bin_summary(adjusted: DataFrame, value: str, score: str) -> DataFrame:
-    """Size, range, mean and exact median per bin."""
+    """Size, range, means and exact medians per bin."""
     flat = adjusted.groupBy("window_count_bin").agg(
         F.count(F.lit(1)).alias("n_genes"),
         F.min(value).alias("min_n_windows"),
@@ -59,7 +59,8 @@ def bin_summary(adjusted: DataFrame, value: str, score: str) -> DataFrame:
         F.avg("bin_adjusted_percentile").alias("adjusted_percentile_mean"),
     )
     raw = quantiles(adjusted, ["window_count_bin"], score, {"raw_score_median": 0.5})
-    return flat.join(raw, "window_count_bin", "left")
+    adapted = quantiles(adjusted, ["window_count_bin"], "bin_adjusted_percentile", {"adjusted_percentile_median": 0.5})
+    return flat.join(raw, "window_count_bin", "left").join(adapted, "window_count_bin", "left")
 
 
 def binary_metrics(rows: DataFrame, groups: Sequence[str], label: str, score: str) -> DataFrame:

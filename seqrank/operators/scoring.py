@@ -13,6 +13,7 @@ from seqrank.functions.numeric import finite, sigmoid
 from seqrank.functions.sequence import letter_fraction
 from seqrank.functions.structure import pairing_statistics, structure_signal
 from seqrank.operators.ranking import quantiles
+from seqrank.session import durable
 
 ABLATIONS = [
     "base_score",
@@ -72,7 +73,8 @@ def robust_scale(df: DataFrame, raw: str, score: str, center: str, scale: str, k
         .otherwise(1.0)
         .alias(scale),
     )
-    return df.join(stats, keys, "left").withColumn(score, (x - F.col(center)) / F.col(scale))
+    # one row a key in a table: its size is known before the windows are exchanged for the join
+    return df.join(durable(stats), keys, "left").withColumn(score, (x - F.col(center)) / F.col(scale))
 
 
 def add_pairing_statistics(df: DataFrame, paired: str = "paired", mode: str = "combined") -> DataFrame:
