@@ -29,7 +29,7 @@ class Trees:
         return total
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 50, rate: float = 0.25, prior: float = 2.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.25, prior: float = 2.0) -> Trees:
     """Logistic boosting on quantile bins; splits gain from gradients and curvature, level by level."""
     n, d = x.shape
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(d)]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from seqrank.llm.boosting import Trees, fit
 
 #: Pages whose texts the training pages are made of, and training pages for each.
-SAMPLE, VARIANTS = 150, 4
+SAMPLE, VARIANTS = 150, 6
 
 # Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -346,8 +346,10 @@ def training_page(rng: random.Random, texts: list[str], short: list[str]) -> str
 
     def body_block(text):
         kind = rng.random()
-        if kind < 0.75:
+        if kind < 0.7:
             return f"<p>{text}</p>" if chance(0.8) else f"<p><b>{text}<br>"
+        if kind < 0.77:
+            return some(f"<div>{text}</div>", f"<div><p>{text}</p></div>", f"<div><span>{text}</span></div>", f"<section><p>{text}</p></section>")
         if kind < 0.85:
             return "<ul>" + "".join(f"<li>{words(2, 12)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>"
         return some(f"<blockquote><p>{text}</p></blockquote>", f"<h2>{words(1, 5)}</h2>", f"<figure><figcaption>{words(3, 9)}</figcaption></figure>", f"<pre>{words(5, 20)}</pre>", f"<table><tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr></table>", f"<p>{words(1, 3)}.</p>")
@@ -355,11 +357,16 @@ def training_page(rng: random.Random, texts: list[str], short: list[str]) -> str
     if chance(0.2):
         texts = [f"{words(1, 8)}." for _ in range(rng.randint(1, 3))]
     blocks = [body_block(t) if len(t) > 80 or chance(0.3) else some(f"<p>{t}</p>", f"<p><b>{t}<br>") for t in texts]
-    inside = [x for x in (advert() if chance(0.35) else "", notice() if chance(0.15) else "", form() if chance(0.1) else "", sidebar() if chance(0.1) else "", off(("div",), ("share", "social-links"), links(3)) if chance(0.2) else "") if x]
+    inside = [x for x in (advert() if chance(0.35) else "", notice() if chance(0.15) else "", form() if chance(0.1) else "", sidebar() if chance(0.1) else "", off(("div",), ("share", "social-links"), links(3)) if chance(0.2) else "", off(("footer",), ("post-footer", "tags"), f"<p>{words(1, 6)}</p>") if chance(0.15) else "") if x]
     for x in inside:
         blocks.insert(rng.randint(0, len(blocks)), x)
+    if chance(0.35):  # parts of the article in elements of their own
+        name = some("", "", "", ' class="body"', ' class="text"', ' class="part"')
+        cuts = sorted({0, *(rng.randint(0, len(blocks)) for _ in range(rng.randint(0, 3))), len(blocks)})
+        tag = some("div", "section", "div")
+        blocks = [f"<{tag}{name}>{f'<h2>{words(1, 4)}</h2>' if chance(0.3) else ''}{''.join(blocks[a:b])}</{tag}>" for a, b in zip(cuts, cuts[1:], strict=False)]
     title = texts[0] if chance(0.2) else words(1, 9)
-    heading = some(f"<h1>{title}</h1>", f"<h1>{title}</h1>", f"<header><h1>{title}</h1></header>", f"<h2>{title}</h2>", "")
+    heading = some(f"<h1>{title}</h1>", f"<h1>{title}</h1>", f"<header><h1>{title}</h1>{some('', f'<p>{words(1, 4)}</p>')}</header>", f"<h2>{title}</h2>", "")
     tag = some("article", "article", "article", "main", "div", "section", "div")
     name = "" if tag in ("article", "main") and chance(0.6) else f' class="{some("article", "content", "post", "entry-content", "story-body", "main-text", "post-text")}"'
     if tag == "div" and chance(0.3):
