@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seqrank.functions.numeric import rounded
 from seqrank.operators.genes import aggregate_genes
-from seqrank.operators.scoring import ABLATIONS, ablate, linear_logit, robust_scale
+from seqrank.operators.scoring import ABLATIONS, ablate, linear_logit, robust_scales
 from seqrank.operators.windows import attach_genes, tile
 from seqrank.session import durable, spread
 
@@ -92,8 +92,8 @@ class Inputs:
     def scored(self) -> DataFrame:
         """Window scores with scaled components and all score variants, rounded for stable order."""
         df = self.window_scores()
-        df = robust_scale(df, "motif_raw", "motif_match_score", "motif_match_center", "motif_match_scale")
-        df = robust_scale(df, "structure_raw", "structure_match_score", "structure_match_center", "structure_match_scale")
+        names = [(raw, f"{n}_match_score", f"{n}_match_center", f"{n}_match_scale") for raw, n in (("motif_raw", "motif"), ("structure_raw", "structure"))]
+        df = robust_scales(df, names)
         df = ablate(df, 0.6, 0.3).withColumnRenamed("structure_raw", "structure_match_raw")
         # the scored windows are a stored table: many later steps read a few columns of it
         return durable(df.withColumns({n: rounded(n, 9) for n in ABLATIONS}))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqrank.functions.numeric import finite
-from seqrank.operators.ranking import average_ranks, bin_of, quantile_edges, quantiles, running_totals
+from seqrank.operators.ranking import average_ranks, bin_of, cut_points, quantile_edges, quantiles, running_totals
 
 
 def correlations(rows: DataFrame, groups: Sequence[str], x: str, y: str) -> DataFrame:
@@ -70,38 +70,43 @@ def binary_metrics(rows: DataFrame, groups: Sequence[str], label: str, score: st
     """
     groups = list(groups)
     base = rows.select(*groups, F.col(label).cast("int").alias("_y"), finite(score).alias("_s"))
+    known = F.col("_s").isNotNull()
     totals = base.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col("_y") == 1).alias("n_positive"),
         F.count_if(F.col("_y") == 0).alias("n_negative"),
+        F.count_if((F.col("_y") == 1) & known).alias("_P"),
+        F.count_if((F.col("_y") == 0) & known).alias("_N"),
     )
-    scored = base.where(F.col("_s").isNotNull())
+    scored = base.where(known)
     counts = scored.groupBy(*groups, "_s").agg(
         F.count_if(F.col("_y") == 1).alias("_tp"), F.count_if(F.col("_y") == 0).alias("_fp")
     )
-    swept = running_totals(counts, groups, [F.col("_s")], {"_ctp": "_tp", "_cfp": "_fp"}, F.col("_s"))
-    sums = counts.groupBy(*groups).agg(F.sum("_tp").alias("_P"), F.sum("_fp").alias("_N"))
-    joined = swept.join(sums, groups)
+    swept = running_totals(counts, groups, [F.col("_s")], {"_ctp": "_tp", "_cfp": "_fp"}, F.col("_s"), cut_points(scored, F.col("_s")))
+    joined = swept.join(totals.select(*groups, "_P", "_N"), groups)
     tp, fp = F.col("_tp").cast("double"), F.col("_fp").cast("double")
     above_tp = F.col("_P") - F.col("_ctp") + tp
     above_all = above_tp + F.col("_N") - F.col("_cfp") + fp
     both = (F.first("_P") > 0) & (F.first("_N") > 0)
+
+    def middle(total: str, upto: str, own: str) -> Column:
+        """The median of a class, from the running counts."""
+        h = (F.col(total) - 1) / F.lit(2.0)
+
+        def at(pos: Column) -> Column:
+            return F.max(F.when((F.col(upto) > pos) & (F.col(upto) - F.col(own) <= pos), F.col("_s")))
+
+        return F.when(both, at(F.floor(h)) + (at(F.ceil(h)) - at(F.floor(h))) * F.max(h - F.floor(h)))
+
     curves = joined.groupBy(*groups).agg(
         F.when(both, F.sum(tp * (F.col("_cfp") - fp + fp / 2.0)) / F.first(F.col("_P") * F.col("_N"))).alias("auroc"),
         F.when(both, F.sum(tp / F.nullif(F.col("_P"), F.lit(0)) * (above_tp / above_all))).alias("auprc"),
         F.when(both, F.sum(F.col("_s") * tp) / F.first(F.nullif(F.col("_P"), F.lit(0)))).alias("positive_mean"),
         F.when(both, F.sum(F.col("_s") * fp) / F.first(F.nullif(F.col("_N"), F.lit(0)))).alias("negative_mean"),
+        middle("_P", "_ctp", "_tp").alias("positive_median"),
+        middle("_N", "_cfp", "_fp").alias("negative_median"),
     )
-    mids = quantiles(scored.where(F.col("_y").isin(0, 1)), [*groups, "_y"], "_s", {"_mid": 0.5})
-    mids = mids.groupBy(*groups).agg(
-        F.max(F.when(F.col("_y") == 1, F.col("_mid"))).alias("positive_median"),
-        F.max(F.when(F.col("_y") == 0, F.col("_mid"))).alias("negative_median"),
-    )
-    out = totals.join(curves, groups, "left").join(mids, groups, "left")
-    one_class = F.col("auroc").isNull()
-    return out.withColumns(
-        {c: F.when(~one_class, F.col(c)) for c in ("positive_median", "negative_median")}
-    )
+    return totals.drop("_P", "_N").join(curves, groups, "left")
 
 
 def group_summary(rows: DataFrame, groups: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -61,20 +61,29 @@ def base_columns(df: DataFrame, joint: bool = False) -> DataFrame:
 
 def robust_scale(df: DataFrame, raw: str, score: str, center: str, scale: str, keys: Sequence[str] = ("rbp_id",)) -> DataFrame:
     """(x - median) / IQR per key; the spread falls back to the population deviation, then to 1."""
+    return robust_scales(df, [(raw, score, center, scale)], keys)
+
+
+def robust_scales(df: DataFrame, columns: Sequence[tuple[str, str, str, str]], keys: Sequence[str] = ("rbp_id",)) -> DataFrame:
+    """:func:`robust_scale` for several (raw, score, center, scale) columns, whose statistics are taken together."""
     keys = list(keys)
-    x = finite(raw)
-    q = quantiles(df, keys, raw, {"_q25": 0.25, "_mid": 0.5, "_q75": 0.75})
-    spread = df.groupBy(*keys).agg(F.stddev_pop(x).alias("_std"))
-    stats = q.join(spread, keys).select(
-        *keys,
-        F.col("_mid").alias(center),
-        F.when(F.col("_q75") - F.col("_q25") >= _TINY, F.col("_q75") - F.col("_q25"))
-        .when(F.col("_std") >= _TINY, F.col("_std"))
-        .otherwise(1.0)
-        .alias(scale),
+    values = F.array(*[F.struct(F.lit(raw).alias("_name"), finite(raw).alias("_x")) for raw, *_ in columns])
+    long = df.select(*keys, F.inline(values))
+    by = [*keys, "_name"]
+    q = quantiles(long, by, "_x", {"_q25": 0.25, "_mid": 0.5, "_q75": 0.75})
+    spread = long.groupBy(*by).agg(F.stddev_pop("_x").alias("_std"))
+    width = F.col("_q75") - F.col("_q25")
+    stats = q.join(spread, by).select(
+        *by, "_mid", F.when(width >= _TINY, width).when(F.col("_std") >= _TINY, F.col("_std")).otherwise(1.0).alias("_scale")
     )
+
+    def of(raw: str, column: str) -> Column:
+        return F.max(F.when(F.col("_name") == raw, F.col(column)))
+
+    wide = stats.groupBy(*keys).agg(*[of(raw, "_mid").alias(c) for raw, _, c, _ in columns], *[of(raw, "_scale").alias(s) for raw, _, _, s in columns])
     # one row a key in a table: its size is known before the windows are exchanged for the join
-    return df.join(durable(stats), keys, "left").withColumn(score, (x - F.col(center)) / F.col(scale))
+    out = df.join(durable(wide), keys, "left")
+    return out.withColumns({score: (finite(raw) - F.col(center)) / F.col(scale) for raw, score, center, scale in columns})
 
 
 def add_pairing_statistics(df: DataFrame, paired: str = "paired", mode: str = "combined") -> DataFrame:
