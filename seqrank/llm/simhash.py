@@ -255,6 +255,7 @@ def one_per_group(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
     """
     least = near_duplicates(docs, shingle, distance).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     least, _ = saved(least)
-    single = docs.join(least.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(least.where("n > 1").select("doc_id"), "doc_id", "left_semi").distinct()
+    # the list grows with the documents: merge joins at any size, which share one exchange of the documents
+    single = docs.join(least.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
+    repeated = docs.join(least.where("n > 1").select("doc_id").hint("merge"), "doc_id", "left_semi").distinct()
     return single.union(repeated).union(docs.where("doc_id is null"))
