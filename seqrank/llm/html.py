@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqrank.llm.boosting import Trees, fit
+from seqrank.llm.common import first_by_hash
 
 #: Pages whose texts the training pages are made of, and training pages for each.
 SAMPLE, VARIANTS = 150, 6
@@ -403,7 +404,7 @@ def learn(pages: DataFrame, sample: int = SAMPLE, variants: int = VARIANTS, seed
     Their blocks of text are set in many layouts with known articles: menus, adverts, notices, forms,
     sidebars, comments and footers of many tags and names around and inside. Without pages, made-up words stand in.
     """
-    rows = pages.select("page_id", "html").where("html is not null").orderBy(F.xxhash64("page_id"), "page_id", "html").limit(sample).collect()
+    rows = first_by_hash(pages.select("page_id", "html").where("html is not null"), ["page_id"], sample).collect()
     rng = random.Random(seed)
     dom = Dom()
     for row in rows or [None]:
