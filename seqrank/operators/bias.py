@@ -31,8 +31,9 @@ def bias_flags(corr: DataFrame, limit: float = 0.2) -> DataFrame:
 
 def add_bins(genes: DataFrame, value: str, bins: int, out: str = "window_count_bin") -> DataFrame:
     """Quantile bin number of a column (equal cut points merged)."""
-    edges = quantile_edges(genes, value, bins).scalar()
-    return genes.withColumn("_edges", edges).withColumn(out, bin_of(finite(value), F.col("_edges"))).drop("_edges")
+    found = quantile_edges(genes, value, bins).first()  # at most bins + 1 numbers, looked for once
+    edges = F.array(*[F.lit(float(e)) for e in (found[0] if found else []) if e is not None]).cast("array<double>")
+    return genes.withColumn(out, bin_of(finite(value), edges))
 
 
 def bin_adjust(genes: DataFrame, value: str, score: str, bins: int = 20) -> DataFrame:
