@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -33,6 +34,12 @@ def discard(spark: SparkSession, *paths: str) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written: it does so when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def first_by_hash(df: DataFrame, key: list[str], most: int) -> DataFrame:
     """At most ``most`` rows: the first in order of a hash of ``key``, then of all columns.
 

@@ -253,8 +253,12 @@ def one_per_group(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
 
     Equal rows of such a document become one. Rows without an id can't be told apart by one; they stay.
     """
-    least = near_duplicates(docs, shingle, distance).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    least, _ = saved(least)
+    return keep_least(docs, near_duplicates(docs, shingle, distance))
+
+
+def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``groups`` (doc_id, component_id) names by their least id, and those without an id."""
+    least, _ = saved(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
     # the list grows with the documents: merge joins at any size, which share one exchange of the documents
     single = docs.join(least.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
     repeated = docs.join(least.where("n > 1").select("doc_id").hint("merge"), "doc_id", "left_semi").distinct()

@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from seqrank.llm import components, simhash, vectors
-from tests.llm.helpers import awkward, docs, rows
+from seqrank.llm import components, shared_shingles, simhash, vectors
+from tests.llm.helpers import WORDS, awkward, docs, rows, sentence
 
 
 def groups(nodes, links):
@@ -178,3 +178,38 @@ def test_pivots_split_a_label_and_lose_no_link(spark, monkeypatch):
     table = [(i, (hot + rng.normal(size=6) * 0.08 if i % 3 == 0 else rng.normal(size=6)).tolist(), 7) for i in range(240)]
     frame = spark.createDataFrame(table, "vec_id long, embedding array<double>, label int")
     assert rows(vectors.near_vectors(frame)) == expected_vectors(table)
+
+
+def alike(a, b):
+    """Whether texts of five words or more have a Jaccard similarity of 0.8 of their five-word shingles."""
+    a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def test_pipeline_stage_finds_every_pair_of_similarity_four_fifths(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    line = sentence(rng, 30)
+    texts = [sentence(rng, rng.randint(60, 200)) for _ in range(40)] + [f"{sentence(rng, 25)} {line}" for _ in range(30)]
+    for base in texts[:12]:
+        for share in (0.005, 0.01, 0.02, 0.02, 0.03, 0.05):
+            texts.append(" ".join(rng.choice(WORDS) if rng.random() < share else w for w in base.split()))
+    hot = sentence(rng, 100).split()
+    texts += [" ".join(hot[:i] + ["zz", str(i)] + hot[i + 1 :]) for i in range(60)]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if alike(texts[i], texts[j])]
+    prints = [simhash.fingerprint(t.encode()) for t in texts]
+    assert sum((prints[i] ^ prints[j]).bit_count() > 4 for i, j in near) > 100  # that the distance of operator 10 misses
+    label = groups(range(len(texts)), near)
+    table = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    kept = corpus_pipeline.one_of_each(spark, docs(spark, table), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label.values()))
+
+
+def test_shared_shingles_take_awkward_rows(spark):
+    out = shared_shingles.one_per_group(docs(spark, extra=True))
+    assert out.columns == docs(spark, extra=True).columns
+    assert out.where("doc_id is null").count() == 2
+    kept = [r.doc_id for r in out.where("doc_id is not null").collect()]
+    assert len(kept) == len(set(kept)) and 25 in kept and not {26, 27, 28, 33, 35, 36, 37} & set(kept)
+    assert rows(shared_shingles.one_per_group(docs(spark, []))) == []
