@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqrank.llm import chat, decontaminate, html, licences, quality, sentencepieces, simhash, urls, vectors, warc
+from seqrank.llm import chat, content_sort, decontaminate, html, licences, quality, sentencepieces, simhash, urls, vectors, warc
 from seqrank.llm.registry import QUERIES, SQL, query, table
 
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
@@ -197,6 +197,17 @@ def op10(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query(
+    "op13_content_sort",
+    """
+    select doc_id, max(doc_id) over t keep_id, count(*) over t group_size, doc_id = max(doc_id) over t kept, sha256(coalesce(text,'')) text_sha256
+    from documents window t as (partition by coalesce(text,''))
+    """,
+)
+def op13(spark, folder):
+    return content_sort.exact_duplicates(table(spark, folder, "documents"), keep="largest")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
