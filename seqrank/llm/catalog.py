@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqrank.llm import chat, content_sort, decontaminate, html, licences, quality, sentencepieces, simhash, urls, vectors, warc
+from seqrank.llm import chat, content_sort, decontaminate, html, licences, quality, sentencepieces, simhash, spellings, urls, vectors, warc
 from seqrank.llm.registry import QUERIES, SQL, query, table
 
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
@@ -197,6 +197,33 @@ def op10(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query(
+    "op11_spelling_trees",
+    # deletion neighbourhoods instead of trees; crc32 by its table of 256 entries, which a rule gives
+    f"""
+    with recursive tab as (select list_transform(range(256), lambda i: list_reduce(list_concat([i::bigint], [0::bigint,0,0,0,0,0,0,0]),
+            lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) t),
+    r as (select doc_id::varchar || ':' || run s, run from (select doc_id,
+        unnest(regexp_extract_all(translate(text, {_UPPER}, {_LOWER}), '[A-Za-zÀ-ÿ]+')) run from documents)),
+    c as (select run, xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(strlen(s)), lambda i: ('0x' || substr(hex(encode(s)), 2*i::int+1, 2))::bigint)),
+        lambda a, b: xor(a >> 8, t[(xor(a, b) & 255)::int + 1])), 4294967295) h from r, tab),
+    d as (select case when h % 31 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end word from c),
+    w as (select word, count(*) n from d where length(word) >= 7 group by 1 having count(*) >= 2),
+    cut as (select word, n, p, substr(word, 1, p-1) || substr(word, p+1) rest from (select word, n, unnest(range(1, length(word)+1))::int p from w)),
+    near as (select a.word, b.word other from cut a join cut b on a.p = b.p and a.rest = b.rest and a.word <> b.word
+        union select cut.word, w.word from cut join w on cut.rest = w.word union select w.word, cut.word from cut join w on cut.rest = w.word),
+    best as (select near.word, count(*) n_near, max(w.n) top from near join w on w.word = near.other group by 1),
+    lead as (select near.word, min(near.other) form, any_value(top) form_n from near join best using (word) join w on w.word = near.other join w own on own.word = near.word
+        where w.n = top and top >= 10 * own.n group by 1),
+    walk as (select word, word root, 0 k from w union all select walk.word, lead.form, k + 1 from walk join lead on lead.word = walk.root),
+    ends as (select word, arg_max(root, k) root from walk group by 1)
+    select w.word, lead.form, ends.root, w.n, coalesce(n_near, 0)::bigint n_near, form_n from w join ends using (word) left join best using (word) left join lead using (word)
+    """,
+)
+def op11(spark, folder):
+    return spellings.group_variants(spellings.document_words(table(spark, folder, "documents"), damage=31))
+
+
 @query(
     "op13_content_sort",
     """
