@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqrank.llm import chat, content_sort, decontaminate, html, licences, quality, sentencepieces, simhash, spellings, urls, vectors, warc
+from seqrank.llm import alignment, chat, content_sort, decontaminate, html, licences, quality, sentencepieces, simhash, spellings, urls, vectors, warc
 from seqrank.llm.registry import QUERIES, SQL, query, table
 
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
@@ -224,6 +224,11 @@ def op11(spark, folder):
     return spellings.group_variants(spellings.document_words(table(spark, folder, "documents"), damage=31))
 
 
+@query("op12_lockstep_alignment")
+def op12(spark, folder):
+    return alignment.alignment_digests(table(spark, folder, "documents"))
+
+
 @query(
     "op13_content_sort",
     """

@@ -20,10 +20,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/llm-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame) -> tuple[DataFrame, str]:
+def saved(df: DataFrame, compression: str = "snappy") -> tuple[DataFrame, str]:
     """Write ``df`` as a table in the shared folder; later steps read that table, whatever executors are lost."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
