@@ -180,6 +180,23 @@ def test_pivots_split_a_label_and_lose_no_link(spark, monkeypatch):
     assert rows(vectors.near_vectors(frame)) == expected_vectors(table)
 
 
+def expected_alike(data):
+    """(doc_id, least doc_id of the group) of rows whose texts share 0.8 of their five-word shingles; a shorter text is one shingle."""
+
+    def parts(text):
+        words = (text or "").encode().lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [parts(r[1]) for r in data]
+    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 9 * len(a & b) >= 4 * (len(a) + len(b))]
+    label = groups(range(len(data)), near)
+    least = {}
+    for i, r in enumerate(data):
+        if r[0] is not None:
+            least[label[i]] = min(r[0], least.get(label[i], r[0]))
+    return [(r[0], least.get(label[i])) for i, r in enumerate(data)]
+
+
 def alike(a, b):
     """Whether texts of five words or more have a Jaccard similarity of 0.8 of their five-word shingles."""
     a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
@@ -206,7 +223,33 @@ def test_pipeline_stage_finds_every_pair_of_similarity_four_fifths(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label.values()))
 
 
+def test_prefix_bound_loses_no_pair():
+    """Sets with a similarity of 0.8 share so many of their first shingles that the bound lets them pass."""
+    import duckdb
+
+    rng = random.Random(6)
+    rows_ = []
+    for _ in range(3000):
+        n = rng.randint(1, 60)
+        a = set(rng.sample(range(200), n))
+        b = set(a)
+        for _ in range(rng.randint(0, max(1, n // 5))):
+            b.discard(rng.choice(sorted(a)))
+            if rng.random() < 0.5:
+                b.add(rng.randrange(200))
+        if not b or 9 * len(a & b) < 4 * (len(a) + len(b)):
+            continue
+        first = [set(sorted(x)[: shared_shingles.prefix_length(len(x))]) for x in (a, b)]
+        assert first[0] & first[1]
+        rows_.append(f"({len(a)},{len(b)},{len(first[0] & first[1])})")
+    assert len(rows_) > 1000
+    bound = shared_shingles._bound("a", "b").replace(" div ", " // ")
+    assert duckdb.sql(f"select count(*) from (values {','.join(rows_)}) t(a, b, shared) where not ({bound})").fetchall() == [(0,)]
+
+
 def test_shared_shingles_take_awkward_rows(spark):
+    found = shared_shingles.near_duplicates(docs(spark, extra=True))
+    assert rows(found) == sorted(expected_alike(awkward()), key=lambda r: tuple((v is not None, str(v)) for v in r))
     out = shared_shingles.one_per_group(docs(spark, extra=True))
     assert out.columns == docs(spark, extra=True).columns
     assert out.where("doc_id is null").count() == 2
