@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqrank.catalog.inputs import with_views
-from seqrank.catalog.ranking import ONE_CTE, SEEDS, one_protein
+from seqrank.catalog.ranking import BIN_CTE, SEEDS, candidate_genes, one_protein
 from seqrank.catalog.registry import query
+from seqrank.catalog.scores import AGG
 from seqrank.catalog.scratch import scratch
 from seqrank.functions.numeric import rounded
 from seqrank.operators import enrichment as E
 from seqrank.operators import supervised as SV
 from seqrank.operators.bias import add_bins
+from seqrank.operators.scoring import ABLATIONS
 from seqrank.session import durable
 from seqrank.sources import annotation, fasta
 from seqrank.streaming.incremental import finished, stream_extremes, stream_top_n
@@ -83,25 +85,130 @@ def annotation_round_trip(v):
     return out.select("transcript_id", "feature", "start", "end", "strand", "biotype")
 
 
-def trained(v):
+# -- training sets and calibration models
+
+_ROLES = (
+    BIN_CTE
+    + """,
+seeds as (select unnest([11,12,13,14,15]) seed),
+tg as (select gene_id from truth semi join one using (gene_id)),
+sp as materialized (select seed, gene_id, if(row_number() over (partition by seed order by md5(concat(seed,':',gene_id)), gene_id) <=
+    least(greatest(round_even(count(*) over (partition by seed)*0.7e0,0),1),count(*) over (partition by seed)-1),'calibration','heldout') as split from tg, seeds),
+g as materialized (select seed, gene_id, coalesce(b,-1) b, split from binned cross join seeds left join sp using (seed, gene_id)),
+np as (select seed, count(*) n from g where split='calibration' group by 1),
+pool as (select gene_id from one order by top3_mean_score desc nulls last, gene_id limit 1000),
+hard as materialized (select seed, gene_id from (select seed, gene_id, row_number() over (partition by seed order by md5(concat('h:',seed,':',gene_id)), gene_id) r
+    from g semi join pool using (gene_id) where split is null) join np using (seed) where r<=n),
+rest as materialized (select seed, gene_id, b from g anti join hard using (seed, gene_id) where split is null),
+av as materialized (select seed, list(b order by b) codes, list(c order by b) had from (select seed, b, cast(count(*) as bigint) c from rest group by 1,2) group by 1),
+pos as materialized (select seed, b, row_number() over (partition by seed order by gene_id) i from g where split='calibration'),
+walk as (select seed, cast(0 as bigint) i, codes, had l from av union all
+  select seed, i+1, codes, list_transform(l, lambda x, j: x - cast(j = pick as bigint)) from (select w.seed, w.i, w.codes, w.l,
+    coalesce(list_sort(list_transform(list_filter(range(1,len(l)+1), lambda j: l[j]>0), lambda j: {'d': abs(codes[j]-p.b), 'c': codes[j], 'j': j}))[1].j, 0) pick
+    from walk w join pos p on p.seed=w.seed and p.i=w.i+1)),
+quota as (select seed, unnest(codes) b, unnest(list_transform(range(1,len(had)+1), lambda j: had[j]-l[j])) q from (select seed, arg_max(l, i) l from walk group by 1) join av using (seed)),
+matched as materialized (select seed, gene_id, b from (select *, row_number() over (partition by seed, b order by md5(concat('m:',seed,':',gene_id)), gene_id) r from rest)
+    join quota using (seed, b) where r<=q),
+rnd as (select seed, gene_id from (select *, row_number() over (partition by seed order by md5(concat('r:',seed,':',gene_id)), gene_id) r
+    from rest anti join matched using (seed, gene_id)) join np using (seed) where r<=n),
+neg as (select seed, gene_id from hard union select seed, gene_id from matched union select seed, gene_id from rnd),
+roles as materialized (select seed, gene_id, case when split='calibration' then 'calibration_truth' when split='heldout' then 'heldout_truth'
+    when neg.gene_id is not null then 'train_negative' else 'unlabeled' end as role from g left join neg using (seed, gene_id))"""
+).replace("melted as", "recursive melted as", 1)
+
+
+def drawn(v):
     genes = durable(add_bins(one_protein(v), "n_windows", 20, "bin"))
-    splits = durable(E.truth_splits(E.comparable_truth(v.truth(), genes), SEEDS[:1]))
-    roles = durable(SV.training_roles(genes, splits, SEEDS[0], "top3_mean_score", "bin"))
-    return genes, roles
+    return genes, durable(E.truth_splits(E.comparable_truth(v.truth(), genes), SEEDS))
+
+
+def roles_of(v):
+    return durable(SV.training_roles(*drawn(v), "top3_mean_score", "bin"))
+
+
+def recursive(sql: str) -> str:
+    """``with`` has to say so in front of all views."""
+    return sql.replace("recursive melted", "melted", 1).replace("with ", "with recursive ", 1)
+
 
+@query("matched_negatives", recursive(with_views("scored truth", "select seed, gene_id, b as bin from matched", _ROLES)))
+def matched_negatives(v):
+    """Of genes outside the truth, the matches of each seed's positives."""
+    genes, splits = drawn(v)
+    seeds = splits.select("seed").distinct()
+    tagged = genes.select("gene_id", "bin", "top3_mean_score").crossJoin(F.broadcast(seeds)).join(splits, ["seed", "gene_id"], "left")
+    tagged = durable(tagged)
+    pool = genes.orderBy(F.col("top3_mean_score").desc_nulls_last(), "gene_id").limit(1000).select("gene_id")
+    free, positives = tagged.where("role is null"), tagged.where("role = 'calibration'")
+    hard = SV.first_per_seed(free.join(pool, "gene_id", "left_semi"), "h", positives.groupBy("seed").agg(F.count(F.lit(1)).alias("n")))
+    rest = durable(free.join(hard, ["seed", "gene_id"], "left_anti"))
+    return SV.matched_negatives(rest, positives, "bin").join(rest.select("seed", "gene_id", "bin"), ["seed", "gene_id"])
 
-@query("training_roles")
+
+@query("training_roles", recursive(with_views("scored truth", "select seed, gene_id, role from roles", _ROLES)))
 def training_roles(v):
-    return trained(v)[1]
+    return roles_of(v)
+
+
+#: Every score under every aggregation is a feature.
+FEATURES = [f"{s}__{a}" for s in ABLATIONS for a in AGG if a != "window_count_adjusted_score"]
+
+
+def trained(v):
+    """Wide gene features, roles, the numbers that scale them, and the models of all seeds."""
+    long = candidate_genes(v).select("gene_id", F.concat_ws("__", "score_name", "aggregation").alias("f"), "score")
+    wide = durable(long.groupBy("gene_id").pivot("f", FEATURES).agg(F.first("score")))
+    roles = roles_of(v)
+    rows, stats = SV.standardised(wide, roles, FEATURES)
+    return wide, roles, stats, SV.fit_models(rows, len(FEATURES))
+
+
+@query(
+    "calibration_fit",
+    recursive(
+        with_views(
+            "scored truth",
+            """select seed, feature, n_pos, n_neg, round(n/(2e0*n_pos),6) as weight_pos, round(n/(2e0*n_neg),6) as weight_neg, round(median(v),6)+0e0 as median,
+ round(stddev_pop(coalesce(v,m)),6)+0e0 as scale, 0e0 as gap_l2, 0e0 as gap_elasticnet from
+ (select seed, concat(score_name,'__',aggregation) feature, v, median(v) over (partition by seed, score_name, aggregation) m,
+   count(*) filter (role='calibration_truth') over (partition by seed, score_name, aggregation) n_pos, count(*) filter (role='train_negative') over (partition by seed, score_name, aggregation) n_neg,
+   count(*) over (partition by seed, score_name, aggregation) n from cand join roles using (gene_id) where role in ('calibration_truth','train_negative'))
+ group by seed, feature, n_pos, n_neg, n""",
+            _ROLES
+            + """,
+cand as materialized (select score_name, aggregation, gene_id, round(v,9) v from (from melted unpivot include nulls (v for aggregation in (max_score, top3_mean_score, top5_mean_score, top10_mean_score, top5_percent_mean_score))))""",
+        )
+    ),
+)
+def calibration_fit(v):
+    """Training counts, weights, medians and scales, and how far the fits are from their optimum."""
+    _, _, stats, models = trained(v)
+    gaps = v.spark.createDataFrame([(m["seed"], m["model_name"], m["gap"]) for m in models], "seed int, model_name string, gap double")
+    gaps = gaps.groupBy("seed").pivot("model_name", list(SV.MODELS)).agg(F.first("gap"))
+    n = F.col("n_pos") + F.col("n_neg")
+    return stats.join(F.broadcast(gaps), "seed").select(
+        "seed",
+        "feature",
+        "n_pos",
+        "n_neg",
+        rounded(n / (2.0 * F.col("n_pos"))).alias("weight_pos"),
+        rounded(n / (2.0 * F.col("n_neg"))).alias("weight_neg"),
+        rounded("median").alias("median"),
+        rounded("scale").alias("scale"),
+        rounded("logistic_l2").alias("gap_l2"),
+        rounded("logistic_elasticnet").alias("gap_elasticnet"),
+    )
 
 
 @query("logistic_calibration")
 def logistic_calibration(v):
-    features = ["max_score", "top3_mean_score", "top10_mean_score", "n_windows"]
-    genes, roles = trained(v)
-    out = None
-    for name in SV.MODELS:
-        model = SV.fit_model(genes, roles, features, name)
-        part = SV.predict(model, genes, features).withColumn("model_name", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out.join(roles, "gene_id")
+    """Predictions of both models for all genes and seeds, with roles."""
+    wide, roles, stats, models = trained(v)
+    return SV.predict(models, wide, stats, FEATURES).join(roles, ["seed", "gene_id"])
+
+
+@query("feature_importance")
+def feature_importance(v):
+    """Mean and median absolute coefficients over the seeds."""
+    *_, models = trained(v)
+    return SV.importance(SV.coefficients(models, v.spark, FEATURES))

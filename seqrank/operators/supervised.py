@@ -2,81 +2,149 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqrank.functions.numeric import finite
-from seqrank.operators.ranking import leading, rank_rows, top_n
+from seqrank.functions.numeric import finite, sigmoid
+from seqrank.operators.ranking import leading, quantiles, rank_rows
+from seqrank.session import durable
 
+#: Share of the l1 penalty.
 MODELS = {"logistic_l2": 0.0, "logistic_elasticnet": 0.5}
 
 
-def shuffled(seed: int, what: str) -> Column:
-    """Reproducible random order of genes."""
-    return F.md5(F.concat(F.lit(f"{what}:{seed}:"), F.col("gene_id")))
+def seeded(seed: Column, what: str) -> Column:
+    """Reproducible random order of genes, another one for each seed."""
+    return F.md5(F.concat(F.lit(f"{what}:"), seed.cast("string"), F.lit(":"), F.col("gene_id")))
 
 
-def _first(df: DataFrame, order: Column, n: int) -> DataFrame:
-    rows = top_n(df.withColumn("_g", F.lit(1)), ["_g"], [order, F.col("gene_id")], n, "_r")
-    return rows.select("gene_id")
+def first_per_seed(rows: DataFrame, what: str, sizes: DataFrame) -> DataFrame:
+    """(seed, gene_id): the first rows of each seed in random order, as many as ``sizes`` (seed, n) says."""
+    mixed = rows.select("seed", "gene_id").withColumn("_h", seeded(F.col("seed"), what))
+    ranked = rank_rows(mixed, ["seed"], [F.col("_h"), F.col("gene_id")], "_r", leading("_h"))
+    return ranked.join(sizes, "seed").where(F.col("_r") <= F.col("n")).select("seed", "gene_id")
 
 
-def nearest_bin_quotas(wanted: dict[int, int], available: dict[int, int]) -> dict[int, int]:
-    """How many genes each bin gives when every positive takes one from the nearest bin with any left."""
-    left, quota = dict(available), dict.fromkeys(available, 0)
-    for b in sorted(wanted):
-        need = wanted[b]
-        for other in sorted(left, key=lambda x: (abs(x - b), x)):
-            take = min(need, left[other])
-            left[other] -= take
-            quota[other] += take
-            need -= take
-            if not need:
-                break
-    return {b: n for b, n in quota.items() if n}
+class Shelf:
+    """What each bin has left to give, while genes take from the nearest bin with any left (ties: the lower one).
 
+    The bin that serves a gene's bin changes only when one runs out, so it is remembered until then.
+    """
+
+    def __init__(self, available: dict[int, int]):
+        self.left = {b: n for b, n in available.items() if n > 0}
+        self.given = dict.fromkeys(self.left, 0)
+        self._serves: dict[int, int | None] = {}
+
+    def serving(self, wanted: int) -> int | None:
+        if wanted not in self._serves:
+            self._serves[wanted] = min(self.left, key=lambda b: (abs(b - wanted), b), default=None)
+        return self._serves[wanted]
+
+    def give(self, bin_: int, n: int) -> None:
+        self.given[bin_] += n
+        self.left[bin_] -= n
+        if not self.left[bin_]:
+            del self.left[bin_]
+            self._serves.clear()
+
+    def serve_block(self, wanted: dict[int, int]) -> bool:
+        """Serve a block of genes, given by counts of their bins, if no bin runs out within it."""
+        need: dict[int, int] = {}
+        for b, n in wanted.items():
+            s = self.serving(b)
+            if s is not None:
+                need[s] = need.get(s, 0) + n
+        if any(n > self.left[s] for s, n in need.items()):
+            return False
+        for s, n in need.items():
+            self.give(s, n)
+        return True
+
+    def serve_runs(self, runs: Iterable[tuple[int, int]]) -> None:
+        """Serve genes in order, given as runs (bin, length) of equal bins."""
+        for b, n in runs:
+            while n and (s := self.serving(b)) is not None:
+                take = min(n, self.left[s])
+                self.give(s, take)
+                n -= take
+
+
+#: Blocks of positives in gene order whose counts per bin the driver looks at; of a block in which a bin runs out it looks at the runs.
+BLOCKS = 1024
+
+
+def bin_quotas(positives: DataFrame, available: DataFrame, bin_column: str) -> list[tuple[int, int, int]]:
+    """(seed, bin, n): how many genes each bin gives when the positives, in gene order, take one each.
+
+    Positives are numbered by gene and counted by (block, bin): the driver sees at most BLOCKS times the
+    number of bins (at most twenty) for each seed. Only where a bin runs out does the order inside a block
+    matter; that happens at most once for each bin, and then the block's runs of equal bins are read.
+    """
+    placed = rank_rows(positives.select("seed", "gene_id", bin_column), ["seed"], [F.col("gene_id")], "_r", _text_number("gene_id"))
+    totals = positives.groupBy("seed").agg(F.count(F.lit(1)).alias("_n"))
+    placed = durable(placed.join(totals, "seed").withColumn("_block", ((F.col("_r") - 1) / F.ceil(F.col("_n") / BLOCKS)).cast("int")))
+    counts: dict[int, dict[int, dict[int, int]]] = {}
+    for r in placed.groupBy("seed", "_block", bin_column).count().collect():
+        counts.setdefault(r[0], {}).setdefault(r[1], {})[r[2]] = r[3]
+    shelves = {r[0]: {} for r in available.select("seed").distinct().collect()}
+    for r in available.collect():
+        shelves[r[0]][r[1]] = r[2]
+    out = []
+    for seed, blocks in sorted(counts.items()):
+        shelf = Shelf(shelves.get(seed, {}))
+        for block, wanted in sorted(blocks.items()):
+            if not shelf.serve_block(wanted):
+                inside = placed.where((F.col("seed") == seed) & (F.col("_block") == block)).select("_r", bin_column)
+                shelf.serve_runs((r[1], 1) for r in sorted(inside.collect()))
+        out += [(seed, b, n) for b, n in sorted(shelf.given.items()) if n]
+    return out
+
+
+def _text_number(column: str) -> Column:
+    """A number that never falls along the order of a text: its first six bytes."""
+    return F.conv(F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
 
-def matched_negatives(candidates: DataFrame, positives: DataFrame, bin_column: str, seed: int) -> DataFrame:
-    """Candidates with the same window-count bins as the positives.
 
-    Only the two tables of counts per bin (at most twenty rows) are looked at on the driver.
+def matched_negatives(candidates: DataFrame, positives: DataFrame, bin_column: str) -> DataFrame:
+    """(seed, gene_id): for each positive in gene order, an unused candidate of the same seed from the nearest window-count bin.
+
+    Both tables have (seed, gene_id, ``bin_column``); a NULL bin counts as -1. Bins give their genes in random order, so
+    what a bin gives in the end is a prefix of it, whoever took which.
     """
-    wanted = {r[0]: r[1] for r in positives.groupBy(bin_column).count().collect()}
-    available = {r[0]: r[1] for r in candidates.groupBy(bin_column).count().collect()}
-    quotas = nearest_bin_quotas(wanted, available)
-    quota = F
-    for b, n in quotas.items():
-        quota = quota.when(F.col(bin_column) == b, n)
-    limit = quota.otherwise(0) if quotas else F.lit(0)
-    mixed = candidates.select("gene_id", bin_column, shuffled(seed, "m").alias("_h"))
-    ranked = rank_rows(mixed, [bin_column], [F.col("_h"), F.col("gene_id")], "_r", leading("_h"))
-    return ranked.where(F.col("_r") <= limit).select("gene_id")
-
-
-def training_roles(genes: DataFrame, splits: DataFrame, seed: int, score: str, bin_column: str, hard_pool: int = 1000) -> DataFrame:
-    """(gene_id, role): calibration_truth, heldout_truth, train_negative or unlabeled.
-
-    Negatives are hard ones (high score), ones matched by window count, and random ones, each at
-    most as many as there are positives.
+    spark = candidates.sparkSession
+    code = F.coalesce(F.col(bin_column), F.lit(-1)).cast("int").alias("_bin")
+    candidates, positives = candidates.select("seed", "gene_id", code), positives.select("seed", "gene_id", code)
+    available = candidates.groupBy("seed", "_bin").count()
+    quotas = spark.createDataFrame(bin_quotas(positives, available, "_bin"), "seed int, _bin int, _quota long")
+    mixed = candidates.withColumn("_h", seeded(F.col("seed"), "m"))
+    ranked = rank_rows(mixed, ["seed", "_bin"], [F.col("_h"), F.col("gene_id")], "_r", leading("_h"))
+    # a row for each seed and bin
+    return ranked.join(F.broadcast(quotas), ["seed", "_bin"]).where(F.col("_r") <= F.col("_quota")).select("seed", "gene_id")
+
+
+def training_roles(genes: DataFrame, splits: DataFrame, score: str, bin_column: str, hard_pool: int = 1000) -> DataFrame:
+    """(seed, gene_id, role) for every seed of ``splits``: calibration_truth, heldout_truth, train_negative or unlabeled.
+
+    Negatives are hard ones (of the ``hard_pool`` best genes, without the truth), ones matched by window count, and random
+    ones; of the first and the last at most as many as there are positives. All seeds are drawn together.
     """
-    mine = splits.where(F.col("seed") == seed).select("gene_id", F.col("role").alias("_split"))
-    tagged = genes.select("gene_id", score, bin_column).join(mine, "gene_id", "left")
+    seeds = splits.select("seed").distinct()
+    parts = splits.select("seed", "gene_id", F.col("role").alias("_split"))
+    # seeds are a short list
+    tagged = durable(genes.select("gene_id", score, bin_column).crossJoin(F.broadcast(seeds)).join(parts, ["seed", "gene_id"], "left"))
     positives = tagged.where("_split = 'calibration'")
-    n_pos = positives.count()
+    n_pos = durable(positives.groupBy("seed").agg(F.count(F.lit(1)).alias("n")))
     free = tagged.where(F.col("_split").isNull())
-    top = top_n(
-        tagged.withColumn("_g", F.lit(1)), ["_g"], [F.col(score).desc_nulls_last(), F.col("gene_id")], hard_pool, "_r"
-    )
-    hard = _first(top.where(F.col("_split").isNull()).drop("_r"), shuffled(seed, "h"), n_pos)
-    rest = free.join(hard, "gene_id", "left_anti")
-    matched = matched_negatives(rest, positives, bin_column, seed)
-    random = _first(rest.join(matched, "gene_id", "left_anti"), shuffled(seed, "r"), n_pos)
+    pool = genes.orderBy(F.col(score).desc_nulls_last(), F.col("gene_id")).limit(hard_pool).select("gene_id")
+    hard = durable(first_per_seed(free.join(pool, "gene_id", "left_semi"), "h", n_pos))
+    rest = free.join(hard, ["seed", "gene_id"], "left_anti")
+    matched = durable(matched_negatives(rest, positives, bin_column))
+    random = first_per_seed(rest.join(matched, ["seed", "gene_id"], "left_anti"), "r", n_pos)
     negatives = hard.unionByName(matched).unionByName(random).distinct().withColumn("_neg", F.lit(1))
     role = (
         F.when(F.col("_split") == "calibration", "calibration_truth")
@@ -84,48 +152,157 @@ def training_roles(genes: DataFrame, splits: DataFrame, seed: int, score: str, b
         .when(F.col("_neg") == 1, "train_negative")
         .otherwise("unlabeled")
     )
-    return tagged.join(negatives, "gene_id", "left").select("gene_id", role.alias("role"))
+    return tagged.join(negatives, ["seed", "gene_id"], "left").select("seed", "gene_id", role.alias("role"))
+
 
+def standardised(genes: DataFrame, roles: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Training rows (seed, y, weight, x) of all seeds, and (seed, feature, median, mean, scale, n_pos, n_neg).
 
-def fit_model(genes: DataFrame, roles: DataFrame, features: Sequence[str], model: str) -> PipelineModel:
-    """Median imputation, scaling and a class-balanced logistic regression."""
+    Gaps are filled with the seed's training median; then columns have mean 0 and population deviation 1 (constant ones: 0).
+    Both classes weigh half of the rows.
+    """
     features = list(features)
-    rows = genes.join(roles, "gene_id").where(F.col("role").isin("calibration_truth", "train_negative"))
-    rows = rows.withColumns({f: finite(f) for f in features})
-    rows = rows.withColumn("label", (F.col("role") == "calibration_truth").cast("double"))
-    n = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
-    total = sum(n.values())
-    weight = F.when(F.col("label") == 1.0, total / (2.0 * n[1.0])).otherwise(total / (2.0 * n[0.0]))
-    steps = [
-        Imputer(strategy="median", inputCols=features, outputCols=[f"_i_{f}" for f in features]),
-        VectorAssembler(inputCols=[f"_i_{f}" for f in features], outputCol="_x"),
-        StandardScaler(inputCol="_x", outputCol="_xs", withMean=True, withStd=True),
-        LogisticRegression(
-            featuresCol="_xs",
-            labelCol="label",
-            weightCol="_w",
-            regParam=1.0 / total,
-            elasticNetParam=MODELS[model],
-            standardization=False,
-            maxIter=500,
-        ),
-    ]
-    return Pipeline(stages=steps).fit(rows.withColumn("_w", weight))
-
-
-def predict(model: PipelineModel, genes: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(gene_id, prediction_score) for all genes."""
-    ready = genes.select("gene_id", *[finite(f).alias(f) for f in features])
-    return model.transform(ready).select("gene_id", vector_to_array("probability")[1].alias("prediction_score"))
-
-
-def coefficients(model: PipelineModel, genes: DataFrame, features: Sequence[str], seed: int, name: str) -> DataFrame:
-    """Coefficient and absolute value per feature."""
-    values = model.stages[-1].coefficients.toArray().tolist()
-    rows = [(seed, name, f, float(v), abs(float(v))) for f, v in zip(features, values, strict=True)]
-    return genes.sparkSession.createDataFrame(
-        rows, "seed int, model_name string, feature_name string, coefficient double, abs_coefficient double"
-    )
+    rows = roles.where(F.col("role").isin("calibration_truth", "train_negative")).join(genes, "gene_id")
+    rows = durable(rows.select("seed", "gene_id", (F.col("role") == "calibration_truth").cast("int").alias("y"), *[finite(f).alias(f) for f in features]))
+    medians = durable(quantiles(rows.unpivot(["seed"], features, "feature", "v"), ["seed", "feature"], "v", {"median": 0.5}))
+    # as many rows as seeds and features
+    filled = rows.unpivot(["seed", "gene_id", "y"], features, "feature", "v").join(F.broadcast(medians), ["seed", "feature"], "left")
+    filled = filled.withColumn("v", F.coalesce("v", "median", F.lit(0.0)))
+    counted = rows.groupBy("seed").agg(F.sum("y").alias("n_pos"), F.sum(1 - F.col("y")).alias("n_neg"))
+    stats = filled.groupBy("seed", "feature").agg(F.first("median").alias("median"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("scale"))
+    stats = durable(stats.withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0)).join(counted, "seed"))
+    weight = (F.col("n_pos") + F.col("n_neg")) / (2.0 * F.when(F.col("y") == 1, F.col("n_pos")).otherwise(F.col("n_neg")))
+    return durable(_scaled(rows, stats, features).join(counted, "seed").select("seed", "y", weight.alias("weight"), "x")), stats
+
+
+def _scaled(rows: DataFrame, stats: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``rows`` with x, the array of filled and scaled features by the numbers of the row's seed."""
+    known = stats.groupBy("seed").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("median", "mean", "scale")))).alias("_s"))
+    s = {f: F.col("_s")[f] for f in features}
+    x = F.array(*[(F.coalesce(finite(f), s[f]["median"], F.lit(0.0)) - s[f]["mean"]) / s[f]["scale"] for f in features])
+    return rows.join(F.broadcast(known), "seed").withColumn("x", x).drop("_s")
+
+
+def _moments(models: dict[tuple[int, str], np.ndarray]):
+    """Tasks that add up, for every model of a row's seed, loss, gradient and curvature of the weighted logistic loss."""
+
+    def run(batches):
+        sums: dict[tuple[int, str], np.ndarray] = {}
+        for batch in batches:
+            seeds = np.asarray(batch.column(0))
+            y, weight = np.asarray(batch.column(1), dtype=float), np.asarray(batch.column(2))
+            x = np.asarray(batch.column(3).flatten(), dtype=float).reshape(batch.num_rows, -1)
+            x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+            for key, beta in models.items():
+                mine = seeds == key[0]
+                if not mine.any():
+                    continue
+                a, t, w = x[mine], y[mine], weight[mine]
+                margin = a @ beta
+                p = 1.0 / (1.0 + np.exp(-margin))
+                loss = (w * (np.logaddexp(0.0, margin) - t * margin)).sum()
+                parts = np.concatenate([[loss], a.T @ (w * (p - t)), ((a.T * (w * p * (1 - p))) @ a)[np.triu_indices(a.shape[1])]])
+                sums[key] = sums.get(key, 0.0) + parts
+        for (seed, name), parts in sums.items():
+            k = len(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([seed] * k, pa.int32()), pa.array([name] * k), pa.array(np.arange(k, dtype=np.int32)), pa.array(parts)], ["seed", "model", "place", "value"])
+
+    return run
+
+
+def soft(value: float, limit: float) -> float:
+    return float(np.sign(value) * max(abs(value) - limit, 0.0))
+
+
+def penalised_step(beta: np.ndarray, gradient: np.ndarray, curvature: np.ndarray, ridge: float, lasso: float) -> np.ndarray:
+    """The minimum of the loss's quadratic approximation at ``beta`` with both penalties (the last number, the intercept, has none)."""
+    n = len(beta)
+    flat = np.append(np.full(n - 1, ridge), 0.0)
+    if not lasso:
+        return beta - np.linalg.solve(curvature + np.diag(flat), gradient + flat * beta)
+    out, slope = beta.copy(), gradient.copy()  # slope of the approximation at ``out``
+    for _ in range(10_000):
+        moved = 0.0
+        for j in range(n):
+            h = curvature[j, j]
+            target = h * out[j] - slope[j]
+            new = target / h if j == n - 1 else soft(target, lasso) / (h + ridge)
+            if new != out[j]:
+                slope += curvature[:, j] * (new - out[j])
+                moved = max(moved, abs(new - out[j]))
+                out[j] = new
+        if moved < 1e-13:
+            break
+    return out
+
+
+def optimality_gap(beta: np.ndarray, gradient: np.ndarray, ridge: float, lasso: float) -> float:
+    """How far the best subgradient of the penalised loss is from zero."""
+    slope = gradient.copy()
+    slope[:-1] += ridge * beta[:-1]
+    inner = beta[:-1] == 0
+    gap = np.where(inner, np.maximum(np.abs(slope[:-1]) - lasso, 0.0), np.abs(slope[:-1] + lasso * np.sign(beta[:-1])))
+    return float(max(gap.max(initial=0.0), abs(slope[-1])))
+
+
+def fit_models(training: DataFrame, n_features: int, steps: int = 60, tolerance: float = 1e-9) -> list[dict]:
+    """Logistic models of all seeds: minimum of the weighted loss + (1 - l1) / 2 |b|^2 + l1 |b|, intercepts free.
+
+    Every step is one pass over the rows for all models: loss, gradient and curvature are partial sums by task and number
+    ((p + 2)(p + 1) / 2 + 1 or so for a model), so only these reach the driver. Newton steps solve the ridge, coordinate descent
+    on the curvature the elastic net; a step that doesn't lower the objective is halved. Returned are seed, model, coefficients, intercept and
+    the optimality gap.
+    """
+    seeds = sorted(r[0] for r in training.select("seed").distinct().collect())
+    rows = training.select(F.col("seed").cast("int"), F.col("y").cast("double"), "weight", "x")
+    size = n_features + 1
+    state = {(s, m): {"beta": np.zeros(size), "best": None, "try": np.zeros(size)} for s in seeds for m in MODELS}
+
+    def penalties(name):
+        return 1.0 - MODELS[name], MODELS[name]
+
+    for _ in range(steps):
+        busy = {k: v["try"] for k, v in state.items() if not v.get("done")}
+        if not busy:
+            break
+        found = rows.mapInArrow(_moments(busy), "seed int, model string, place int, value double").groupBy("seed", "model", "place").agg(F.sum("value").alias("value"))
+        sums: dict[tuple[int, str], np.ndarray] = {k: np.zeros(1 + size + size * (size + 1) // 2) for k in busy}
+        for r in found.collect():
+            sums[r.seed, r.model][r.place] = r.value
+        for key, parts in sums.items():
+            own, (ridge, lasso) = state[key], penalties(key[1])
+            beta = own["try"]
+            objective = parts[0] + ridge / 2 * (beta[:-1] ** 2).sum() + lasso * np.abs(beta[:-1]).sum()
+            if own["best"] is not None and objective > own["best"] * (1 + 1e-14) + 1e-14:
+                own["try"] = (own["beta"] + beta) / 2
+                if np.abs(own["try"] - own["beta"]).max() < 1e-12:
+                    own["done"] = True
+                continue
+            gradient = parts[1 : 1 + size]
+            curvature = np.zeros((size, size))
+            curvature[np.triu_indices(size)] = parts[1 + size :]
+            curvature = curvature + curvature.T - np.diag(np.diag(curvature)) + 1e-10 * np.eye(size)
+            own.update(beta=beta, best=objective, gap=optimality_gap(beta, gradient, ridge, lasso))
+            own["try"] = penalised_step(beta, gradient, curvature, ridge, lasso)
+            own["done"] = own["gap"] < tolerance
+    return [{"seed": s, "model_name": m, "coefficients": v["beta"][:-1].tolist(), "intercept": float(v["beta"][-1]), "gap": v["gap"]} for (s, m), v in state.items()]
+
+
+def predict(models: Sequence[dict], genes: DataFrame, stats: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(seed, model_name, gene_id, prediction_score) for all genes under all models."""
+    spark = genes.sparkSession
+    own = spark.createDataFrame([(m["seed"], m["model_name"], m["coefficients"], m["intercept"]) for m in models], "seed int, model_name string, _b array<double>, _b0 double")
+    seeds = own.select("seed").distinct()
+    # a row for each seed, and for each model
+    scaled = _scaled(genes.crossJoin(F.broadcast(seeds)), stats, list(features)).select("seed", "gene_id", "x").join(F.broadcast(own), "seed")
+    margin = F.aggregate(F.zip_with("x", "_b", lambda x, b: x * b), F.col("_b0"), lambda total, t: total + t)
+    return scaled.select("seed", "model_name", "gene_id", sigmoid(margin).alias("prediction_score"))
+
+
+def coefficients(models: Sequence[dict], spark: SparkSession, features: Sequence[str]) -> DataFrame:
+    """Coefficient and absolute value per seed, model and feature."""
+    rows = [(m["seed"], m["model_name"], f, float(b), abs(float(b))) for m in models for f, b in zip(features, m["coefficients"], strict=True)]
+    return spark.createDataFrame(rows, "seed int, model_name string, feature_name string, coefficient double, abs_coefficient double")
 
 
 def importance(coef: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ to the checkpoint folder and read back, so that nothing upstream is computed twi
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -277,25 +278,27 @@ def feature_calibration(
     score: str = "top3_mean_score",
     ks: Sequence[int] = enrichment.TOP_KS,
 ) -> dict[str, DataFrame]:
-    """Per seed and model: predictions for all genes, enrichment on both truth parts, coefficients."""
+    """Per seed and model: predictions for all genes, enrichment on both truth parts, coefficients and their importance.
+
+    All seeds and both models are drawn, fitted and evaluated together.
+    """
     table = durable(table)
     splits = durable(enrichment.truth_splits(enrichment.comparable_truth(truth, table), seeds))
-    out: dict[str, DataFrame] = {}
-
-    def add(name: str, df: DataFrame) -> None:
-        out[name] = df if name not in out else out[name].unionByName(df)
-
-    for seed in seeds:
-        roles = durable(supervised.training_roles(table, splits, seed, score, "n_windows_bin_code"))
-        mine = splits.where(F.col("seed") == seed)
-        for name in supervised.MODELS:
-            model = supervised.fit_model(table, roles, feature_names, name)
-            scores = supervised.predict(model, table, feature_names).withColumn("model_name", F.lit(name))
-            add("metrics", enrichment.topk_enrichment(scores, mine, "prediction_score", ks, ["model_name"], ["seed", "role"]))
-            add("predictions", scores.join(roles, "gene_id").withColumn("seed", F.lit(int(seed))))
-            add("coefficients", supervised.coefficients(model, table, feature_names, seed, name))
-    out["importance"] = supervised.importance(out["coefficients"])
-    return out
+    roles = durable(supervised.training_roles(table, splits, score, "n_windows_bin_code"))
+    rows, stats = supervised.standardised(table, roles, feature_names)
+    models = supervised.fit_models(rows, len(feature_names))
+    scores = durable(supervised.predict(models, table, stats, feature_names))
+    # a model's scores meet its own seed's truth parts only
+    per_seed = [
+        enrichment.topk_enrichment(scores.where(F.col("seed") == s).drop("seed"), splits.where(F.col("seed") == s), "prediction_score", ks, ["model_name"], ["seed", "role"]) for s in seeds
+    ]
+    coefficients = supervised.coefficients(models, table.sparkSession, feature_names)
+    return {
+        "metrics": reduce(DataFrame.unionByName, per_seed),
+        "predictions": scores.join(roles, ["seed", "gene_id"]),
+        "coefficients": coefficients,
+        "importance": supervised.importance(coefficients),
+    }
 
 
 def two_branch_validation(

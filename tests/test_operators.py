@@ -14,7 +14,6 @@ from seqrank.operators import enrichment as E
 from seqrank.operators import genes as G
 from seqrank.operators import neighbours as N
 from seqrank.operators import regions as R
-from seqrank.operators import supervised as SV
 from seqrank.operators import windows as W
 from seqrank.plans import jobs
 from seqrank.sources import annotation, fasta, tables
@@ -114,11 +113,6 @@ def test_nearest_blocks_agree_with_numpy(spark, monkeypatch):
     assert got["reference_id"].tolist() == np.argsort(-sims, axis=1)[:, :3].ravel().tolist()
 
 
-def test_quotas_spill_to_the_nearest_bin():
-    assert SV.nearest_bin_quotas({0: 2, 5: 3}, {1: 1, 4: 1, 6: 10}) == {1: 1, 4: 1, 6: 3}
-    assert SV.nearest_bin_quotas({0: 5}, {0: 2}) == {0: 2}
-
-
 GTF = """#c
 1\ts\ttranscript\t1\t300\t.\t-\t.\tgene_id "G1"; transcript_id "T1"; transcript_biotype "protein_coding";
 1\ts\texon\t1\t100\t.\t-\t.\tgene_id "G1"; transcript_id "T1";
