@@ -12,6 +12,8 @@ from seqrank.operators import audit as Q
 from seqrank.operators import neighbours as N
 from seqrank.operators.bias import value_table, zero_fraction
 from seqrank.operators.motif import extremes
+from seqrank.operators.ranking import rank_rows, text_number
+from seqrank.session import durable
 
 KEY = ["transcript_id", "window_start"]
 
@@ -312,3 +314,34 @@ def sequence_coverage(v):
     docs = v.table("documents").select("doc_id", F.lit(1).alias("quality"), F.col("text").alias("protein_sequence"))
     out = Q.sequence_coverage(v.table("labels").select("doc_id", "quality"), docs, ["doc_id", "quality"])
     return out.select("doc_id", "quality", "sequence_found", F.length("protein_sequence").alias("n"))
+
+
+@query(
+    "ordered_digest",
+    with_views(
+        "windows",
+        # blocks of a thousand row numbers, then of a thousand blocks, as long as there is more than one
+        """select (select count(*) from l0) as n_rows, case when (select count(*) from l1)<=1 then (select coalesce(max(h),sha256('')) from l1)
+ when (select count(*) from l2)=1 then (select max(h) from l2) else (select max(h) from l3) end as digest""",
+        """l0 as materialized (select row_number() over (order by transcript_id, window_start)-1 pos, sha256(rna_seq) h from windows),
+l1 as materialized (select pos//1000 pos, sha256(string_agg(h,'' order by pos)) h from l0 group by 1),
+l2 as materialized (select pos//1000 pos, sha256(string_agg(h,'' order by pos)) h from l1 group by 1),
+l3 as materialized (select pos//1000 pos, sha256(string_agg(h,'' order by pos)) h from l2 group by 1)""",
+    ),
+)
+def ordered_digest(v):
+    return Q.window_digest(v.windows())
+
+
+@query("paired_by_position", with_views("pairing", "select transcript_id, window_start, window_end, round(list_sum(paired),6)+0e0 as paired_sum from pairing"))
+def paired_by_position(v):
+    """Vectors are stored by row number, with the digest of the windows that they were made for."""
+    windows = durable(v.windows())
+    along = text_number("transcript_id")
+    order = [F.col("transcript_id"), F.col("window_start")]
+    numbered = rank_rows(v.pairing(windows).withColumn("_along", along), [], order, "r", F.col("_along"))
+    vectors = durable(numbered.select((F.col("r") - 1).alias("position"), "paired"))
+    kept = Q.window_digest(windows).first().digest
+    out = Q.pair_by_position(windows, vectors, kept)
+    total = F.aggregate("paired", F.lit(0.0), lambda a, x: a + x)
+    return out.select("transcript_id", "window_start", "window_end", rounded(total).alias("paired_sum"))

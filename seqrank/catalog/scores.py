@@ -460,3 +460,37 @@ def profile_override(v):
     )
     out = M.align_profile(M.vocabulary(v.spark, 7), override)
     return out.select("kmer_idx", rounded("zscore").alias("zscore"))
+
+
+_BRANDS = [f"Brand#{i}" for i in range(25, 0, -1)]
+_MATRIX = """cells as materialized (select p_brand, (p_partkey*7919) % 4096 x, min(p_retailprice/1e3-1) z from part where p_size<>50 group by 1,2),
+meta as materialized (select * from (select p_brand, repeat(upper(translate(p_name,' ','*')),1+p_partkey%6) aa, p_type tax, row_number() over (partition by p_brand order by p_size desc, p_partkey) r from part) where r=1),
+kept as materialized (select *, row_number() over (order by cast(substr(p_brand,7) as int) desc)-1 place from (select *, regexp_replace(replace(aa,'*',''),'[^ACDEFGHIKLMNPQRSTVWY]','X','g') seq from meta) where length(seq)>=30)"""
+
+
+def brand_matrix(v):
+    """A wide 6-mer matrix with a column for each brand, from the last to the first."""
+    cells = v.table("part").where("p_size <> 50").selectExpr("p_brand", "(p_partkey*7919) % 4096 x", "p_retailprice/1e3-1 zscore")
+    cells = cells.groupBy("p_brand", "x").agg(F.min("zscore").alias("zscore")).withColumn("kmer", kmer_text("x", 6))
+    return M.long_to_wide(cells, _BRANDS, "p_brand")
+
+
+def brand_metadata(v):
+    """Several rows a brand; stop marks and letters outside the alphabet in the sequences."""
+    rows = v.table("part").selectExpr("p_brand", "repeat(upper(translate(p_name,' ','*')), cast(1+p_partkey%6 as int)) aa", "p_type tax_name", "p_size", "p_partkey")
+    return M.profile_metadata(brand_matrix(v), rows, "p_brand", "aa", F.struct(-F.col("p_size"), "p_partkey"))
+
+
+@query("profile_metadata", f"with {_MATRIX} select cast(place as integer) as place, p_brand as profile_id, seq as protein_sequence, cast(length(seq) as integer) as protein_length, tax as tax_name from kept")
+def profile_metadata(v):
+    return brand_metadata(v).select("place", "profile_id", "protein_sequence", "protein_length", "tax_name")
+
+
+@query(
+    "placed_profiles",
+    f"""with {_MATRIX} select cast(place as integer) as place, p_brand as profile_id, x as kmer_place, round(coalesce(z,0e0),6)+0e0 as zscore, z is not null as is_finite
+ from kept cross join (select distinct x from cells) left join cells using (p_brand, x)""",
+)
+def placed_profiles(v):
+    out = M.placed_profiles(brand_matrix(v), brand_metadata(v))
+    return out.select("place", "profile_id", "kmer_place", rounded("zscore").alias("zscore"), "is_finite")

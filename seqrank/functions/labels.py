@@ -18,19 +18,22 @@ ANIMAL_SPECIES = ["HUMAN", "MOUSE", "DROME", "CAEEL", "DANRE", "XENLA"]
 KINGDOM_NAMES = {0: "animal", 1: "plant", 2: "fungi", 3: "other"}
 UC_PROBES = ["CUUCUCU", "UUUCUCU", "CUCUCUU", "UCUCUCU", "UUCUCUU", "CUCUUCU"]
 G_PROBES = ["UGGAGUG", "UAGAACG", "AGUAGGA", "GAUUGGA", "GGAUGGA", "GAUGGAA"]
-MOTIF_GROUPS = [
-    "U-rich",
-    "UC-rich",
-    "A_rich_polyA",
-    "UGUA_like_CFIm",
-    "PUF_like_UGUA_UUGA",
-    "A-rich",
-    "G-rich",
-    "Other",
-]
 CONTROL_FAMILIES = ["PPR_control", "dsRNA_control", "AGO_control", "DICER_control", "other_control"]
 CONTROL_PROTEINS = ["AtGRP7", "AtGRP8", "w5"]
 VALIDATION_PROTEINS = ["w6", "AtAPUM23"]
+HARD_FAILURE = "w5"
+RETAINED_PROTEINS = ["w1", "w2", "w3", "w4", "w6"]
+PUMILIO_PROTEINS = ["AtAPUM5", "AtAPUM6", "AtAPUM23"]
+REPORTED_PROTEIN = "AtCPSF30"
+FAILURE_MODES = {
+    "PUF/APUM": "main failure family; prior fallback improves but leave-family-out remains weak",
+    "polyA_processing": "truth shortage and complex-level signal ambiguity",
+    "PPR_control": "control family not suitable for strict linear motif loss",
+    "dsRNA_control": "control family not suitable for strict linear motif loss",
+    "AGO_control": "control family not suitable for strict linear motif loss",
+    "DICER_control": "control family not suitable for strict linear motif loss",
+}
+OTHER_FAILURE = "mixed"
 FAMILY_MARKS = [
     (["APUM", "PUF"], "PUF/APUM"),
     (["CPSF", "CFIM", "FIP1", "FPA", "HLP1", "polyA"], "polyA_processing"),

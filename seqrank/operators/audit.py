@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqrank.functions.numeric import finite
 from seqrank.functions.sequence import fingerprint_text
-from seqrank.operators.ranking import top_n
+from seqrank.operators.ranking import rank_rows, text_number, top_n
 
 
 def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
@@ -41,6 +41,49 @@ def fingerprint(windows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+#: Rows of a block of the ordered digest, and block digests of a digest of the next level.
+DIGEST_ROWS = 1000
+
+
+def ordered_digest(rows: DataFrame, order: Sequence[str], text: Column, along: Column, width: int = DIGEST_ROWS) -> DataFrame:
+    """(n_rows, digest): one sha-256 for the rows' texts in their order, the same for any number of tasks.
+
+    Rows are numbered along ``order`` (``along`` as in :func:`rank_rows`); each block of ``width`` numbers has the digest of its rows'
+    digests in order, and so on with the blocks until one is left. ``order`` must be total. Without rows, the digest is that of nothing.
+    """
+    at, joined = F.col("_at"), F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("_at", "_d"))), lambda x: x["_d"]))
+    numbered = rank_rows(rows.select(*order, F.sha2(F.coalesce(text, F.lit("")), 256).alias("_d"), along.alias("_along")), [], [F.col(c) for c in order], "_at", F.col("_along"))
+    level = numbered.select((at - 1).alias("_at"), "_d")
+    n = size = rows.count()
+    while True:
+        level = level.groupBy(F.floor(at / width).alias("_at")).agg(F.sha2(joined, 256).alias("_d"))
+        size = -(-size // width)
+        if size <= 1:
+            break
+    nothing = F.sha2(F.lit(""), 256)
+    return level.agg(F.lit(n).cast("bigint").alias("n_rows"), F.coalesce(F.max("_d"), nothing).alias("digest"))
+
+
+def window_digest(windows: DataFrame) -> DataFrame:
+    """The ordered digest of normalised window sequences by transcript and start."""
+    return ordered_digest(windows, ["transcript_id", "window_start"], fingerprint_text("rna_seq"), text_number("transcript_id"))
+
+
+def pair_by_position(windows: DataFrame, vectors: DataFrame, digest: str | None = None) -> DataFrame:
+    """Windows with the vector at their row number; ``vectors`` has (position from 0, paired).
+
+    A stored array of vectors carries no keys, so a changed row order would pair wrongly unseen: with the ``digest`` kept when it
+    was made (:func:`window_digest`), another order or another sequence raises. So does another number of rows, or a position that is missing or doubled.
+    """
+    n, found = windows.count(), vectors.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("position").alias("d"), F.min("position").alias("lo"), F.max("position").alias("hi")).first()
+    if found.n != n or found.d != n or (n and (found.lo, found.hi) != (0, n - 1)):
+        raise ValueError(f"{n} windows, but {found.n} vectors at {found.d} positions")
+    if digest is not None and window_digest(windows).first().digest != digest:
+        raise ValueError("the windows are not in the order of the vectors")
+    numbered = rank_rows(windows.withColumn("_along", text_number("transcript_id")), [], [F.col("transcript_id"), F.col("window_start")], "_row", F.col("_along"))
+    return numbered.withColumn("position", F.col("_row") - 1).drop("_row", "_along").join(vectors.select("position", "paired"), "position").drop("position")
+
+
 def fingerprint_parts(windows: DataFrame, key: str) -> DataFrame:
     """Digest per key that any SQL engine can repeat: count and smallest and largest sha-256."""
     d = F.sha2(fingerprint_text("rna_seq"), 256)

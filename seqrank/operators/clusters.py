@@ -11,7 +11,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqrank.functions.labels import UNSCORED_EXPECTATIONS, collapse_status, motif_group
+from seqrank.functions.labels import (
+    FAILURE_MODES,
+    HARD_FAILURE,
+    OTHER_FAILURE,
+    PUMILIO_PROTEINS,
+    REPORTED_PROTEIN,
+    RETAINED_PROTEINS,
+    UNSCORED_EXPECTATIONS,
+    VALIDATION_PROTEINS,
+    collapse_status,
+    is_control,
+    motif_group,
+)
 from seqrank.operators.bias import binary_metrics
 from seqrank.operators.motif import vocabulary
 from seqrank.operators.ranking import rank_bounded
@@ -266,6 +278,119 @@ def collapse_summary(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
     )
 
 
+def training_flags(proteins: DataFrame, truth: DataFrame, key: str = "rbp_id") -> DataFrame:
+    """(key, protein_family, control_only, strict_train, split, class_pool) of every protein of (key, protein_family).
+
+    A protein is strict if it is no control and a row of ``truth`` (key, use_for_training) may be trained on. Strict ones are
+    for training or, if they are on the fixed list, for validation; all proteins of a known family but these are in the class pool.
+    """
+    usable = truth.where("use_for_training = 1").select(key).distinct().withColumn("_usable", F.lit(True))
+    control = is_control("protein_family", key)
+    rows = proteins.select(key, "protein_family").distinct().join(usable, key, "left")
+    strict = ~control & F.coalesce("_usable", F.lit(False))
+    chosen = F.col(key).isin(VALIDATION_PROTEINS)
+    return rows.select(
+        key,
+        "protein_family",
+        control.cast("int").alias("control_only"),
+        strict.cast("int").alias("strict_train"),
+        F.when(strict & chosen, "validation").when(strict, "train").otherwise("none").alias("split"),
+        ((F.col("protein_family") != "unknown") & ~(strict & chosen)).cast("int").alias("class_pool"),
+    )
+
+
+def chosen_k(truth: DataFrame, key: str = "rbp_id") -> DataFrame:
+    """(key, metric_k): 7 for proteins with a 7-mer of positive truth, else 6."""
+    seven = (F.col("k") == 7) & (F.col("truth_score") > 0)
+    return truth.groupBy(key).agg(F.when(F.bool_or(seven), 7).otherwise(6).alias("metric_k"))
+
+
+def evaluate_models(scores: DataFrame, truth: DataFrame, proteins: DataFrame) -> DataFrame:
+    """A row for each model and protein: metrics over the protein's k, predicted group, collapse status and flags.
+
+    ``scores`` is dense (model_version, rbp_id, k, kmer_idx, kmer, score), ``truth`` (rbp_id, k, kmer, truth_score), ``proteins`` (rbp_id,
+    protein_family, expected_motif_type). Only scores and truth of the chosen k are compared; groups always come from the 7-mers.
+    """
+    models = scores.select("model_version").distinct()
+    k = chosen_k(truth)
+    meta = proteins.join(k, "rbp_id", "left").withColumn("metric_k", F.coalesce("metric_k", F.lit(6))).crossJoin(F.broadcast(models))
+    pair = F.struct("model_version", "rbp_id").alias("pair")
+    meta = meta.select(pair, "*")
+    own = scores.join(meta.select("model_version", "rbp_id", "metric_k"), ["model_version", "rbp_id"])
+    rated = own.where("k = metric_k").select(pair, "kmer_idx", "kmer", "score")
+    known = truth.join(meta.select("pair", "model_version", "rbp_id", F.col("metric_k").alias("k")), ["rbp_id", "k"]).select("pair", "kmer", "truth_score")
+    dominant = dominant_group(own.where("k = 7").select(pair, "kmer_idx", "kmer", "score"), "pair")
+    rows = evaluation_rows(profile_metrics(rated, known, "pair"), dominant, meta, "pair")
+    return rows.withColumn("hard_failure_tracking", (F.col("rbp_id") == HARD_FAILURE).cast("int")).drop("pair")
+
+
+def cluster_metrics_over_k(scores: DataFrame, clustered: DataFrame, keys: Sequence[str] = ("rbp_id",)) -> DataFrame:
+    """Cluster measures of each k, averaged over the k that have clusters (of the best rank, the least).
+
+    ``scores`` has (keys, k, kmer_idx, kmer, score), ``clustered`` (rbp_id, k, token, kmer, weight).
+    """
+    key = F.struct(*keys, "k").alias("_key")
+    rows = scores.select(key, "kmer_idx", "kmer", "score")
+    members = scores.select(*keys, "k").distinct().join(clustered, ["rbp_id", "k"]).select(key, "token", "kmer", "weight")
+    each = cluster_metrics(rows, members, "_key")
+    return each.groupBy(*[F.col(f"_key.{c}").alias(c) for c in keys]).agg(
+        F.avg("cluster_topk_recovery").alias("cluster_topk_recovery"),
+        F.avg("cluster_mean_rank").alias("cluster_mean_rank"),
+        F.min("cluster_best_rank").alias("cluster_best_rank"),
+        F.avg("cluster_auc").alias("cluster_auc"),
+    )
+
+
+def _judged() -> Column:
+    return ~F.col("expected_motif_type").isin(["U-rich", "UC-rich", *UNSCORED_EXPECTATIONS[:3]])
+
+
+def _retained() -> Column:
+    kept = F.col("predicted_motif_group").isin("U-rich", "UC-rich").cast("double")
+    return F.when(F.col("rbp_id").isin(RETAINED_PROTEINS), kept)
+
+
+def family_summary(rows: DataFrame, flags: DataFrame, models: Sequence[str], retained_by: str) -> DataFrame:
+    """A row for each family: sizes, and collapse and recovery rate of each model as columns, in one pass over the rows.
+
+    ``good_case_retention`` is that of the model ``retained_by``, for the laboratory's family only.
+    """
+    collapsed = (F.col("collapse_status") == "collapsed_to_U_UC").cast("double")
+    figures = []
+    for m in models:
+        mine = F.col("model_version") == m
+        figures.append(F.avg(F.when(mine, collapsed)).alias(f"{m}_collapse_rate"))
+        figures.append(F.avg(F.when(mine & _judged(), F.col("non_u_uc_recovery").cast("double"))).alias(f"{m}_non_u_recovery_rate"))
+    good = F.avg(F.when(F.col("model_version") == retained_by, _retained())).alias("_good")
+    rates = rows.groupBy("protein_family").agg(F.countDistinct("rbp_id").alias("n_rbps"), *figures, good)
+    strict = flags.groupBy("protein_family").agg(F.sum("strict_train").alias("n_strict_truth"))
+    modes = F.create_map(*[F.lit(x) for item in FAILURE_MODES.items() for x in item])
+    return rates.join(strict, "protein_family", "left").select(
+        "protein_family",
+        "n_rbps",
+        F.col("n_rbps").alias("n_with_embedding"),
+        F.coalesce("n_strict_truth", F.lit(0)).cast("bigint").alias("n_strict_truth"),
+        *[c for c in rates.columns if c.endswith("_rate")],
+        F.when(F.col("protein_family") == "RBNS_lab", F.col("_good")).alias("good_case_retention"),
+        F.coalesce(F.try_element_at(modes, F.col("protein_family")), F.lit(OTHER_FAILURE)).alias("major_failure_mode"),
+    )
+
+
+def model_comparison(rows: DataFrame, cluster_rows: DataFrame) -> DataFrame:
+    """A row for each model: collapse and recovery among judged proteins, retention, and figures of named proteins."""
+    collapsed = (F.col("collapse_status") == "collapsed_to_U_UC").cast("double")
+    named = F.array_sort(F.collect_list(F.when(F.col("rbp_id") == REPORTED_PROTEIN, F.col("predicted_motif_group"))))
+    out = rows.groupBy("model_version").agg(
+        F.count(F.lit(1)).alias("n_eval_rbps"),
+        F.avg(F.when(_judged(), collapsed)).alias("u_uc_rich_collapse_rate"),
+        F.avg(F.when(_judged(), F.col("non_u_uc_recovery").cast("double"))).alias("non_u_uc_recovery_rate"),
+        F.avg(_retained()).alias("good_case_retention_rate"),
+        F.concat_ws(",", named).alias("reported_protein_group"),
+    )
+    pumilio = cluster_rows.where(F.col("rbp_id").isin(PUMILIO_PROTEINS)).groupBy("model_version").agg(F.avg("cluster_auc").alias("pumilio_mean_cluster_auc"))
+    return out.join(pumilio, "model_version", "left")
+
+
 def reconstruction_metrics(pairs: DataFrame, key: str = "profile_id") -> DataFrame:
     """Smooth-L1 over masked cells and the mean per-profile correlation (constant profiles skipped).
 

@@ -6,13 +6,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqrank.functions.labels import G_PROBES, UC_PROBES
 from seqrank.functions.numeric import clamp_finite, finite
-from seqrank.functions.sequence import kmer_index, kmer_text, rna
-from seqrank.operators.ranking import top_n
+from seqrank.functions.sequence import clean_protein, kmer_index, kmer_text, rna
+from seqrank.operators.ranking import rank_bounded, top_n
 from seqrank.operators.windows import first_wins
 
 PROFILE_BYTES = 256 * 1024 * 1024  # most profile data held by one task at a time
@@ -30,6 +30,42 @@ def wide_to_long(matrix: DataFrame, kmer: str = "kmer") -> DataFrame:
     return long.unpivot("kmer", profiles, "profile_id", "zscore").withColumn("kmer_idx", kmer_index("kmer"))
 
 
+def profile_metadata(matrix: DataFrame, metadata: DataFrame, profile: str, sequence: str, position: Column, kmer: str = "kmer", least: int = 30) -> DataFrame:
+    """(place, profile_id, protein_sequence, protein_length, other columns of ``metadata``) of the profiles of a wide matrix.
+
+    Of several rows of a profile the first by ``position`` counts; rows of other profiles are left out. Profiles come in the order of the
+    matrix's columns: ``place`` counts those that stay, from 0, as proteins of fewer than ``least`` letters are left out.
+    A profile without metadata raises.
+    """
+    names = [c for c in matrix.columns if c != kmer]
+    columns = matrix.sparkSession.createDataFrame(list(enumerate(names)), "_column int, profile_id string")
+    known = top_n(metadata.withColumn("_position", position), [profile], [F.col("_position")], 1, "_r").drop("_r", "_position").withColumnRenamed(profile, "profile_id")
+    # as many rows as the matrix has columns
+    rows = F.broadcast(columns).join(known.withColumn("_known", F.lit(True)), "profile_id", "left")
+    unknown = F.raise_error(F.concat(F.lit("no metadata for profile "), F.col("profile_id"))).cast("string")
+    rows = rows.withColumn("protein_sequence", F.when(F.col("_known"), clean_protein(sequence)).otherwise(unknown))
+    rows = rows.withColumn("protein_length", F.coalesce(F.length("protein_sequence"), F.lit(0)))
+    kept = rank_bounded(rows.where(F.col("protein_length") >= least), [], [F.col("_column")], "place")
+    others = [c for c in kept.columns if c not in ("place", "profile_id", "protein_sequence", "protein_length", "_column", "_known", sequence)]
+    return kept.select((F.col("place") - 1).alias("place"), "profile_id", "protein_sequence", "protein_length", *others)
+
+
+def placed_profiles(matrix: DataFrame, metadata: DataFrame, kmer: str = "kmer") -> DataFrame:
+    """(place, profile_id, kmer_place, kmer, zscore, is_finite): the kept profiles of a wide matrix, in one pass over it.
+
+    The unpivot carries each column's place; ``metadata`` (place, profile_id) is joined on the profile. ``kmer_place`` is the row's own ``row`` if the
+    matrix has that column, else its k-mer's number. Scores that are missing or not finite become 0, with ``is_finite`` false.
+    """
+    names = [c for c in matrix.columns if c not in (kmer, "row")]
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("profile_id"), F.col(c).cast("double").alias("z")) for c in names]))
+    word = rna(F.trim(kmer))
+    place = F.col("row") if "row" in matrix.columns else kmer_index(word)
+    long = matrix.select(place.alias("kmer_place"), word.alias("kmer"), cells.alias("_c")).select("kmer_place", "kmer", "_c.*")
+    # as many rows as the matrix has columns
+    kept = long.join(F.broadcast(metadata.select("place", "profile_id")), "profile_id")
+    return kept.select("place", "profile_id", "kmer_place", "kmer", F.coalesce(finite("z"), F.lit(0.0)).alias("zscore"), finite("z").isNotNull().alias("is_finite"))
+
+
 def long_to_wide(profiles: DataFrame, ids: Sequence[str], id_column: str = "profile_id") -> DataFrame:
     """One row per k-mer and one column per named profile."""
     return profiles.groupBy("kmer").pivot(id_column, list(ids)).agg(F.first("zscore"))

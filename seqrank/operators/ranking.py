@@ -49,6 +49,11 @@ def leading(digest: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
 
 
+def text_number(column: str) -> Column:
+    """A number that never falls along the order of a text: its first six bytes."""
+    return F.conv(F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
 def bucket(along: Column, cuts: Sequence[float]) -> Column:
     """Number of cut points below a value, by bisection; NULL comes last."""
 

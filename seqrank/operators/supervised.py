@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqrank.functions.numeric import finite, sigmoid
-from seqrank.operators.ranking import leading, quantiles, rank_rows
+from seqrank.operators.ranking import leading, quantiles, rank_rows, text_number
 from seqrank.session import durable
 
 #: Share of the l1 penalty.
@@ -85,7 +85,7 @@ def bin_quotas(positives: DataFrame, available: DataFrame, bin_column: str) -> l
     number of bins (at most twenty) for each seed. Only where a bin runs out does the order inside a block
     matter; that happens at most once for each bin, and then the block's runs of equal bins are read.
     """
-    placed = rank_rows(positives.select("seed", "gene_id", bin_column), ["seed"], [F.col("gene_id")], "_r", _text_number("gene_id"))
+    placed = rank_rows(positives.select("seed", "gene_id", bin_column), ["seed"], [F.col("gene_id")], "_r", text_number("gene_id"))
     totals = positives.groupBy("seed").agg(F.count(F.lit(1)).alias("_n"))
     placed = durable(placed.join(totals, "seed").withColumn("_block", ((F.col("_r") - 1) / F.ceil(F.col("_n") / BLOCKS)).cast("int")))
     counts: dict[int, dict[int, dict[int, int]]] = {}
@@ -105,11 +105,6 @@ def bin_quotas(positives: DataFrame, available: DataFrame, bin_column: str) -> l
     return out
 
 
-def _text_number(column: str) -> Column:
-    """A number that never falls along the order of a text: its first six bytes."""
-    return F.conv(F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
-
-
 def matched_negatives(candidates: DataFrame, positives: DataFrame, bin_column: str) -> DataFrame:
     """(seed, gene_id): for each positive in gene order, an unused candidate of the same seed from the nearest window-count bin.
 
