@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,7 +21,7 @@ SAMPLE, VARIANTS = 150, 6
 
 # Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template svg math object".split())
+RAW = frozenset("script style title textarea iframe noembed noframes template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var img wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table ul".split())
 #: A new element of these closes an open one of those, unless a list or table that it belongs to comes first.
@@ -44,7 +45,10 @@ TOKENS = (
 _TOKEN = {token: 1 << i for i, tokens in enumerate(TOKENS) for token in tokens.split()}
 HIDDEN = 1 << len(TOKENS)
 
-_TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)>|!--(?:>|->|.*?(?:--!?>|$))|[!?][^>]*(?:>|$)|/[^a-zA-Z][^>]*(?:>|$))", re.DOTALL)
+# No alternative begins like another and none gives back what it took: a look at one place takes time in proportion to what it reads.
+_TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$))*+)>|!--(?:>|->|.*?(?:--!?>|$))|[!?][^>]*+(?:>|$)|/[^a-zA-Z][^>]*+(?:>|$))", re.DOTALL)
+_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_STARTS_TAG = re.compile(r"</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _MARKS: dict[str, int] = {}
@@ -66,7 +70,8 @@ def marks(attributes: str) -> int:
                 known |= HIDDEN
         if len(_MARKS) > 100_000:
             _MARKS.clear()
-        _MARKS[attributes] = known
+        if len(attributes) < 500:
+            _MARKS[attributes] = known
     return known
 
 
@@ -86,53 +91,69 @@ class Dom:
     page: list[int] = field(default_factory=list)  # first element of every page
 
     def read(self, source: str) -> None:
-        """Add a page. Elements that may be left open or closed early are treated as browsers do."""
+        """Add a page, in time that grows in proportion to it. Elements that may be left open or closed early are treated as browsers do.
+
+        An attribute's quote that never ends is none, from there to the end of the page; what opens a tag without
+        any ``>`` behind it is text.
+        """
         first = len(self.tag)
         self.page.append(first)
         self._open("html", "", -1, 0)
         stack, links = [first], 0
-        inline: list[str] = []  # open inline elements that are no nodes; None marks their block
-        at = 0
+        inline: Counter[str] = Counter()  # open inline elements that are no nodes
+        places: dict[str, list[int]] = {}  # where in the stack the elements of a name are open
+        at = seek = 0
+        quotes = True
         length = len(source)
 
         def text(piece: str) -> None:
             if piece:
                 piece = entities.unescape(piece) if "&" in piece else piece
                 self.text.append((stack[-1], piece))
-                if "a" in inline:
+                if inline["a"]:
                     self.links[stack[-1]] += len(piece.strip())
 
         def pop(to: int) -> None:
             """Close elements until ``to`` are open."""
             while len(stack) > to:
                 closed = stack.pop()
+                if stack:
+                    places[self.tag[closed]].pop()
                 self.end[closed] = len(self.tag)
                 if self.tag[closed] not in INLINE:
                     self.text.append(None)
 
         def find(tags, stops) -> int:
-            for k in range(len(stack) - 1, 0, -1):
-                t = self.tag[stack[k]]
-                if t in tags:
-                    return k
-                if t in stops:
-                    return -1
-            return -1
+            """Where the innermost open element of ``tags`` is, if none of ``stops`` is open inside it."""
+            k = max((places[t][-1] for t in tags if places.get(t)), default=-1)
+            return k if k > 0 and k > max((places[t][-1] for t in stops if t not in tags and places.get(t)), default=-1) else -1
 
         while at < length:
-            m = _TAG.search(source, at)
-            if m is None:
+            start = source.find("<", seek)
+            if start < 0:
                 text(source[at:])
                 break
-            text(source[at : m.start()])
-            at = m.end()
+            m = (_TAG if quotes else _LOOSE_TAG).match(source, start)
+            if m is None and not quotes:
+                m = None if _STARTS_TAG.match(source, start) else _TAG.match(source, start)
+            elif m is None and _STARTS_TAG.match(source, start):
+                quotes = False
+                m = _LOOSE_TAG.match(source, start)
+            if m is None:
+                if _STARTS_TAG.match(source, start):
+                    text(source[at:])
+                    break
+                seek = start + 1
+                continue
+            text(source[at:start])
+            at = seek = m.end()
             if m[2] is None:
                 continue
             name = m[2].lower()
             if m[1]:  # an end tag
                 if name in INLINE:
-                    if name in inline:
-                        inline.remove(name)
+                    if inline[name]:
+                        inline[name] -= 1
                     elif (k := find({name}, CLOSES_P | SCOPE)) > 0:
                         pop(k)
                 elif name == "br":
@@ -145,7 +166,7 @@ class Dom:
             if name in RAW:
                 if not attributes.rstrip().endswith("/"):
                     stop = re.compile(rf"</{re.escape(name)}\s*/?>", re.IGNORECASE).search(source, at)
-                    at = stop.end() if stop else length
+                    at = seek = stop.end() if stop else length
                 continue
             if name in VOID:
                 if name in ("br", "hr"):
@@ -165,17 +186,18 @@ class Dom:
                 pop(k)
                 inline.clear()
             if name in INLINE and not (mark := marks(attributes)):
-                inline.append(name)
+                inline[name] += 1
                 continue
             if name in INLINE:
                 if name == "a":
-                    inline.append(name)
+                    inline[name] += 1
                     continue
             else:
                 self.text.append(None)
                 inline.clear()
                 if name in ("button", "select"):
                     self.fields[stack[-1]] += 1
+            places.setdefault(name, []).append(len(stack))
             stack.append(self._open(name, attributes, stack[-1], len(stack)))
         pop(0)
 
@@ -220,8 +242,9 @@ class Dom:
         six = tags[:, [0, 1, 2, 3, 4, 5]]
         flags = np.concatenate([mark, six], axis=1)
         depth = np.array(self.depth)
-        for level in range(1, int(depth.max()) + 1):
-            at = np.flatnonzero(depth == level)
+        by_depth = np.argsort(depth, kind="stable")
+        for at in np.split(by_depth, np.flatnonzero(np.diff(depth[by_depth])) + 1)[1:]:
+            at = at[parent[at] >= 0]
             up[at] = np.maximum(up[parent[at]], flags[parent[at]])
         text, links = below(own), below(np.array(self.links, dtype=float))
         whole = np.maximum(text[page], 1)

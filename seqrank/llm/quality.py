@@ -184,13 +184,15 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     """
     chosen = labels.where(F.col(label).isin(0, 1) & (fold(F.col("doc_id")) != 1)).select("doc_id", F.col(label).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)  # the bound of the sample
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # one row for each chosen label, also where documents are repeated
+    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
 
     def numbers(batches):
         for batch, x in _measured(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
 
-    rows = texts.mapInArrow(numbers, "label int, x array<double>").limit(2 * most).toPandas()
+    rows = texts.mapInArrow(numbers, "label int, x array<double>").toPandas()
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(len(rows), len(FEATURES))
     y = rows["label"].to_numpy(dtype=np.float64)
     order = np.lexsort((*x.T, y))  # the fit doesn't depend on the order of arrival

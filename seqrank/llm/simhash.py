@@ -138,20 +138,22 @@ def links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> Da
             if anchor:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([a.astype(np.int32) for a in anchor], [x.view(np.int64) for x in value], home)], ["anchor", "print", "home"])
 
-    # a print takes long next to its size: deal them out evenly, whatever their table's size
-    dealt = prints.select("print").repartition(shuffle_width(spark), "print")
+    # a print takes long next to its size: deal them out evenly, whatever their table's size. They come dealt by print; by its hash they are dealt anew
+    dealt = prints.select("print").repartition(shuffle_width(spark), F.xxhash64("print"))
     placed, path = saved(dealt.mapInArrow(places, "anchor int, print long, home boolean"))
     # at most one row for each of the 65,536 anchors, and only for the full ones
-    full = {r.anchor: -(-r.n // block) for r in placed.where("home").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).collect()}
-    blocks = F.create_map(*[F.lit(x) for item in full.items() for x in item])[F.col("anchor")] if full else F.lit(None)
-    n = F.coalesce(blocks.cast("int"), F.lit(1))
+    full, full_path = saved(placed.where("home").groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1"))
+    any_full = full.limit(1).count() > 0
+    if any_full:
+        placed = placed.join(F.broadcast(full), "anchor", "left")
+    n = F.coalesce("blocks", F.lit(1)) if any_full else F.lit(1)
     own = F.pmod(F.xxhash64("print"), n).cast("int")
     dealt = placed.select("anchor", "print", "home", n.alias("n"), own.alias("own"))
-    dealt = dealt.select("anchor", "print", F.explode(F.when(F.col("home"), F.sequence("own", F.col("n") - 1)).otherwise(F.sequence(F.lit(0), F.col("n") - 1))).alias("block"), (F.col("home") & (F.col("own") == F.col("block"))).alias("_own"), "home", "own") if full else dealt.select("anchor", "print", F.lit(0).alias("block"), F.col("home").alias("_own"))
+    dealt = dealt.select("anchor", "print", F.explode(F.when(F.col("home"), F.sequence("own", F.col("n") - 1)).otherwise(F.sequence(F.lit(0), F.col("n") - 1))).alias("block"), (F.col("home") & (F.col("own") == F.col("block"))).alias("_own"), "home", "own") if any_full else dealt.select("anchor", "print", F.lit(0).alias("block"), F.col("home").alias("_own"))
     dealt = dealt.select("anchor", "block", "print", F.when(F.col("_own"), 0).otherwise(1).alias("role"))
     sorted_ = dealt.repartition(shuffle_width(spark), "anchor", "block").sortWithinPartitions("anchor", "block", "role")
     found, found_path = saved(sorted_.mapInArrow(lambda batches: _compare(batches, distance), "a long, b long").distinct())
-    discard(spark, path)
+    discard(spark, path, full_path)
     return found
 
 

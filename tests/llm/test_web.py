@@ -256,3 +256,29 @@ def test_binary_search_finds_the_tokens_of_spans():
         mask, covered = chat.loss_mask(offsets, np.array([[a, b], [c, d]]))
         assert mask.tolist() == [any(x < t and s < y for s, t in ((a, b), (c, d))) for x, y in offsets.tolist()]
         assert covered.tolist() == [[a, b], [c, d]]
+
+
+@pytest.mark.parametrize("junk", ["<a ", "<div>", "<ul><li>", "<b>x", '<a "', "<p><button>", "<td>", "<", "<p>x<span class=nav>"])
+def test_a_megabyte_of_junk_is_read_in_time(junk):
+    """Reading takes time in proportion to the page, whatever never ends in it."""
+    import time
+
+    began = time.time()
+    dom = html.Dom()
+    dom.read(junk * (1_000_000 // len(junk)))
+    x, _ = dom.features()
+    dom.decode(x[:, 0])
+    dom.main_text(np.ones(len(dom.tag), dtype=bool))
+    assert time.time() - began < 60
+
+
+def test_quotes_that_never_end_and_formulas():
+    def read(source):
+        dom = html.Dom()
+        dom.read(source)
+        return dom.main_text(np.ones(len(dom.tag), dtype=bool))
+
+    assert read('<p>one</p><a title="open><p>two</p><i>three') == ["one two three"]
+    assert read("<p>one</p>1 < 2 <a href=x") == ["one 1 < 2 <a href=x"]
+    assert read("<p>E is <math><mi>m</mi></math></p><script>x</script><textarea>y</textarea>")[0].split() == ["E", "is", "m"]
+    assert "label" in read("<p>and <svg><text>label</text></svg></p>")[0] and "raw" in read("<xmp>raw</xmp>")[0]
