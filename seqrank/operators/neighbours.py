@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from seqrank.functions.numeric import finite
 from seqrank.operators.ranking import top_n
+from seqrank.session import durable
 
 QUERY_ROWS = 20000  # most query vectors in one task
 REFERENCE_ROWS = 5000  # most reference vectors in one task
+MOST_CENTRES = 4096  # centres that every task holds
+ROUNDS = (1, 8, MOST_CENTRES + 1)  # centres that a query may have looked at after each round
 
 
 def standardise(vectors: DataFrame, reference: DataFrame, column: str = "embedding", limit: float = 10.0) -> DataFrame:
@@ -32,45 +35,80 @@ def standardise(vectors: DataFrame, reference: DataFrame, column: str = "embeddi
     return table.withColumn(column, F.zip_with(column, "_stats", scaled)).drop("_stats")
 
 
-def nearest(
-    queries: DataFrame,
-    references: DataFrame,
-    k: int,
-    query_id: str = "query_id",
-    reference_id: str = "reference_id",
-    vector: str = "embedding",
-) -> DataFrame:
-    """The ``k`` references of highest cosine per query, exactly: (query_id, reference_id, cosine, rank).
+def _unit(rows: Sequence) -> np.ndarray:
+    m = np.stack(rows).astype(float)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norm == 0, 1.0, norm)
+
 
-    References and queries are cut into blocks of bounded size; a task multiplies one block pair
-    and passes on its best ``k`` per query only, and a last step picks from those.
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
+
+
+def _centred(references: DataFrame, reference_id: str, vector: str, n: int) -> tuple[DataFrame, np.ndarray]:
+    """References with the number of their nearest centre and their angle to it, and the centres: ``n`` references in order of a hash.
+
+    Vectors without length have a centre of their own, the last number.
     """
-    n_ref = max(1, -(-references.count() // REFERENCE_ROWS))
-    n_query = max(1, -(-queries.count() // QUERY_ROWS))
-    kinds = dict(queries.dtypes)[query_id], dict(references.dtypes)[reference_id]
-    left = queries.select(query_id, vector).withColumns(
-        {
-            "_q": F.pmod(F.xxhash64(query_id), F.lit(n_query)).cast("int"),
-            "_r": F.explode(F.sequence(F.lit(0), F.lit(n_ref - 1))),
-        }
-    )
-    right = references.select(reference_id, vector).withColumns(
-        {
-            "_r": F.pmod(F.xxhash64(reference_id), F.lit(n_ref)).cast("int"),
-            "_q": F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))),
-        }
-    )
+    chosen = references.select(vector, reference_id).where(F.aggregate(vector, F.lit(0.0), lambda t, x: t + x * x) > 0)
+    centres = _unit([r[0] for r in chosen.orderBy(F.xxhash64(reference_id), reference_id).limit(n).collect()] or [[1.0]])
+
+    def place(batches):
+        for frame in batches:
+            if frame.empty:
+                continue
+            x = _unit(frame[vector].to_numpy())
+            none = np.linalg.norm(x, axis=1) == 0
+            angle = _angles(x, centres) if not none.all() else np.zeros((len(x), len(centres)))
+            near = angle.argmin(axis=1)
+            yield frame.assign(_centre=np.where(none, len(centres), near).astype(np.int32), _angle=np.where(none, np.pi, angle[np.arange(len(x)), near]))
+
+    rows = references.select(reference_id, vector)
+    return durable(rows.mapInPandas(place, rows.withColumns({"_centre": F.lit(0), "_angle": F.lit(0.0)}).schema)), centres
+
+
+def _visits(queries: DataFrame, query_id: str, vector: str, centres: np.ndarray, known: np.ndarray, radius: np.ndarray, seen: int, upto: int) -> DataFrame:
+    """(query_id, vector, _centre): the centres that a query has to look at next, in the order of their upper bounds.
+
+    No reference of a centre has a higher cosine than that of the query's angle to the centre less the centre's radius. Those
+    that can't reach the query's ``_least``, its k-th best cosine so far, are left out, as are the ``seen`` ones of before.
+    """
+    names = queries.columns
+    points = np.concatenate([centres, np.zeros((1, centres.shape[1]))])[known]
+
+    def look(batches):
+        for frame in batches:
+            if frame.empty:
+                continue
+            bound = np.cos(np.maximum(_angles(_unit(frame[vector].to_numpy()), points) - radius, 0.0))
+            order = np.argsort(-bound, axis=1, kind="stable")[:, seen:upto]
+            # cosines are compared at nine digits
+            at, place = np.nonzero(np.take_along_axis(bound, order, axis=1) >= frame["_least"].to_numpy()[:, None] - 1e-8)
+            yield frame.iloc[at].drop(columns="_least").assign(_centre=known[order[at, place]].astype(np.int32))
+
+    return queries.mapInPandas(look, queries.select(*[c for c in names if c != "_least"], F.lit(0).alias("_centre")).schema)
+
+
+def _compare(visits: DataFrame, placed: DataFrame, sizes: DataFrame, k: int, query_id: str, reference_id: str, vector: str) -> DataFrame:
+    """The best ``k`` references of each visit: a centre's references in blocks of bounded size meet its visitors, in slices of bounded size."""
+    kinds = dict(visits.dtypes)[query_id], dict(placed.dtypes)[reference_id]
+    guests = visits.groupBy("_centre").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("_slices"))
+    known = durable(sizes.join(guests, "_centre").select("_centre", "_blocks", "_slices"))  # a row for each centre
 
-    def unit(frame: pd.DataFrame) -> np.ndarray:
-        m = np.stack(frame[vector].to_numpy()).astype(float)
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(norm == 0, 1.0, norm)
+    def part(id_: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(id_), n).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    left = visits.join(F.broadcast(known), "_centre").select(query_id, vector, "_centre", part(query_id, "_slices").alias("_slice"), every("_blocks").alias("_block"))
+    right = placed.join(F.broadcast(known), "_centre").select(reference_id, vector, "_centre", part(reference_id, "_blocks").alias("_block"), every("_slices").alias("_slice"))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({query_id: [], reference_id: [], "cosine": []})
         b = b.sort_values(reference_id).reset_index(drop=True)
-        sims = np.round(unit(a) @ unit(b).T, 9)
+        sims = np.round(_unit(a[vector].to_numpy()) @ _unit(b[vector].to_numpy()).T, 9)
         order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
         rows = np.arange(len(a))[:, None]
         return pd.DataFrame(
@@ -81,9 +119,56 @@ def nearest(
             }
         )
 
-    schema = f"{query_id} {kinds[0]}, {reference_id} {kinds[1]}, cosine double"
-    pairs = left.groupBy("_q", "_r").cogroup(right.groupBy("_q", "_r")).applyInPandas(best, schema)
-    return top_n(pairs, [query_id], [F.col("cosine").desc(), F.col(reference_id)], k, "rank")
+    key = ["_centre", "_block", "_slice"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(best, f"{query_id} {kinds[0]}, {reference_id} {kinds[1]}, cosine double")
+
+
+def nearest(
+    queries: DataFrame,
+    references: DataFrame,
+    k: int,
+    query_id: str = "query_id",
+    reference_id: str = "reference_id",
+    vector: str = "embedding",
+    visited: list | None = None,
+) -> DataFrame:
+    """The ``k`` references of highest cosine per query, exactly: (query_id, reference_id, cosine, rank).
+
+    Branch and bound: references gather around centres, each with the largest angle of its references. A query looks at the
+    centre with the highest upper bound first, then at the next few, then at all others that can still reach its k-th best
+    cosine, and is sent to no further one. If there are no more references than a task may hold, there is
+    one centre and one round. Ties go to the lesser id. ``visited`` receives the number of (query, centre) visits of each round.
+    """
+    total = references.count()
+    n = min(MOST_CENTRES, total // REFERENCE_ROWS + 1)
+    order = [F.col("cosine").desc(), F.col(reference_id)]
+    if n == 1:
+        rows, sizes = references.select(reference_id, vector, F.lit(0).alias("_centre")), references.sparkSession.createDataFrame([(0, 1)], "_centre int, _blocks int")
+        return top_n(_compare(queries.select(query_id, vector, F.lit(0).alias("_centre")), rows, sizes, k, query_id, reference_id, vector), [query_id], order, k, "rank")
+    placed, centres = _centred(references, reference_id, vector, n)
+    figures = placed.groupBy("_centre").agg(F.max("_angle").alias("_radius"), F.ceil(F.count(F.lit(1)) / REFERENCE_ROWS).cast("int").alias("_blocks"))
+    figures = durable(figures)
+    table = sorted((r[0], r[1]) for r in figures.collect())  # at most MOST_CENTRES + 1 rows
+    known, radius = np.array([c for c, _ in table]), np.array([r for _, r in table])
+    asked, found, seen = durable(queries.select(query_id, vector).withColumn("_least", F.lit(-2.0))), None, 0
+    for upto in ROUNDS:
+        visits = durable(_visits(asked, query_id, vector, centres, known, radius, seen, upto))
+        size = visits.count()
+        if visited is not None:
+            visited.append(size)
+        if size:
+            fresh = _compare(visits, placed, figures.select("_centre", "_blocks"), k, query_id, reference_id, vector)
+            rows = fresh if found is None else fresh.unionByName(found)
+            found = durable(top_n(rows, [query_id], order, k, "rank").drop("rank"))
+        seen = upto
+        if found is None or seen >= len(known):
+            break
+        least = found.groupBy(query_id).agg(F.when(F.count(F.lit(1)) >= k, F.min("cosine")).otherwise(-2.0).alias("_least"))
+        asked = durable(queries.select(query_id, vector).join(least, query_id, "left").withColumn("_least", F.coalesce("_least", F.lit(-2.0))))
+    if found is None:
+        kinds = dict(queries.dtypes)[query_id], dict(references.dtypes)[reference_id]
+        found = queries.sparkSession.createDataFrame([], f"{query_id} {kinds[0]}, {reference_id} {kinds[1]}, cosine double")
+    return top_n(found, [query_id], order, k, "rank")
 
 
 def blend_profiles(predicted: DataFrame, prior: DataFrame, group_prior: DataFrame | None = None) -> DataFrame:

@@ -101,16 +101,32 @@ def test_cluster_weights(spark):
     assert spark.range(1).select(F.size(K.compatible_kmers(F.lit("NNNNNACGU"), 7))).first()[0] == 1344
 
 
-def test_nearest_blocks_agree_with_numpy(spark, monkeypatch):
+@pytest.mark.parametrize("spread", [0.15, 3.0])
+def test_nearest_agrees_with_numpy_and_skips_blocks(spark, monkeypatch, spread):
+    """Clustered references: most centres are never looked at. Evenly spread ones: all may be, and the result is the same."""
     monkeypatch.setattr(N, "QUERY_ROWS", 7)
     monkeypatch.setattr(N, "REFERENCE_ROWS", 5)
+    monkeypatch.setattr(N, "ROUNDS", (1, 4, 10_000))
     rng = np.random.default_rng(0)
-    q, r = rng.normal(size=(20, 4)), rng.normal(size=(23, 4))
+    middle = rng.normal(size=(12, 6))
+    q = middle[rng.integers(0, 12, 25)] + rng.normal(size=(25, 6)) * spread
+    r = middle[rng.integers(0, 12, 150)] + rng.normal(size=(150, 6)) * spread
+    r[:20] = r[20]  # a hot block of equal vectors
+    r[30], q[3] = 0, 0
     qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id int, embedding array<double>")
     rs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r)], "reference_id int, embedding array<double>")
-    got = N.nearest(qs, rs, 3).toPandas().sort_values(["query_id", "rank"])
-    sims = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (r / np.linalg.norm(r, axis=1, keepdims=True)).T
-    assert got["reference_id"].tolist() == np.argsort(-sims, axis=1)[:, :3].ravel().tolist()
+    visited = []
+    got = N.nearest(qs, rs, 3, visited=visited).toPandas().sort_values(["query_id", "rank"])
+
+    def unit(m):
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    sims = np.round(unit(q) @ unit(r).T, 9)
+    assert got["reference_id"].tolist() == np.argsort(-sims, axis=1, kind="stable")[:, :3].ravel().tolist()
+    assert visited[0] == 25
+    if spread < 1:
+        assert sum(visited) < 25 * 31 / 2
+    assert N.nearest(qs.limit(0), rs, 3).count() == 0 and N.nearest(qs, rs.limit(0), 3).count() == 0
 
 
 GTF = """#c
