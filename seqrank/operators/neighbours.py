@@ -101,14 +101,14 @@ def _compare(visits: DataFrame, placed: DataFrame, sizes: DataFrame, k: int, que
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    left = visits.join(F.broadcast(known), "_centre").select(query_id, vector, "_centre", part(query_id, "_slices").alias("_slice"), every("_blocks").alias("_block"))
-    right = placed.join(F.broadcast(known), "_centre").select(reference_id, vector, "_centre", part(reference_id, "_blocks").alias("_block"), every("_slices").alias("_slice"))
+    left = visits.join(F.broadcast(known), "_centre").select(query_id, F.col(vector).alias(vector), F.col("_centre").alias("_centre"), part(query_id, "_slices").alias("_slice"), every("_blocks").alias("_block"))
+    right = placed.join(F.broadcast(known), "_centre").select(reference_id, F.col(vector).alias("_point"), F.col("_centre").alias("_at"), part(reference_id, "_blocks").alias("_block"), every("_slices").alias("_slice"))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({query_id: [], reference_id: [], "cosine": []})
         b = b.sort_values(reference_id).reset_index(drop=True)
-        sims = np.round(_unit(a[vector].to_numpy()) @ _unit(b[vector].to_numpy()).T, 9)
+        sims = np.round(_unit(a[vector].to_numpy()) @ _unit(b["_point"].to_numpy()).T, 9)
         order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
         rows = np.arange(len(a))[:, None]
         return pd.DataFrame(
@@ -119,8 +119,8 @@ def _compare(visits: DataFrame, placed: DataFrame, sizes: DataFrame, k: int, que
             }
         )
 
-    key = ["_centre", "_block", "_slice"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(best, f"{query_id} {kinds[0]}, {reference_id} {kinds[1]}, cosine double")
+    # both tables may come from one: the references' columns have names of their own
+    return left.groupBy("_centre", "_block", "_slice").cogroup(right.groupBy("_at", "_block", "_slice")).applyInPandas(best, f"{query_id} {kinds[0]}, {reference_id} {kinds[1]}, cosine double")
 
 
 def nearest(
