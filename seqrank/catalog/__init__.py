@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ["windows", "scores", "ranking", "context", "motifs", "evaluation", "audits", "files", "stateful"]
+TOPICS = ["windows", "scores", "ranking", "context", "jobs", "motifs", "evaluation", "audits", "files", "stateful"]
 
 
 def _load():

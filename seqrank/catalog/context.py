@@ -244,27 +244,6 @@ def oracle_best(v):
     return best.select("family", "candidate", "overlap")
 
 
-@query(
-    "two_branch",
-    with_views(
-        "scored",
-        """select gene_id, score_variant, round(score,6) as score from (select gene_id, unnest(['A_branch_score','B_branch_score','final_score_max','final_score_0.7A_0.3B','final_score_0.5A_0.5B','final_score_0.3A_0.7B']) score_variant,
-   unnest([a,b,greatest(a,b),0.7e0*a+0.3e0*b,0.5e0*a+0.5e0*b,0.3e0*a+0.7e0*b]) score from (select gene_id, p1 a, (p2+p3)/2 b from
- (select gene_id, """
-        + ", ".join(
-            f"if({c} is null, null, (rank() over (order by {c} nulls last) + (count(*) over (partition by {c})-1)/2e0)/count({c}) over ()) p{i}"
-            for i, c in ((1, "top3_mean_score"), (2, "max_score"), (3, "n_windows"))
-        )
-        + " from one)))",
-        ONE_CTE,
-    ),
-)
-def two_branch(v):
-    genes = durable(one_protein(v))
-    out = C.two_branch(genes, "top3_mean_score", ["max_score", "n_windows"])
-    return out.withColumn("score", rounded("score"))
-
-
 @query(
     "context_calibration",
     with_views(

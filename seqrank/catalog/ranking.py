@@ -214,18 +214,14 @@ def select_objective(v):
     return best.select("seed", "objective", "score_name", "aggregation", "top200_overlap")
 
 
-@query(
-    "calibration_summary",
-    with_views(
-        "scored truth",
-        """select score_name, aggregation, k as top_k, count(distinct seed) as n_selected, round(avg(hits),6) as mean_overlap,
+SQL_SUMMARY = """select score_name, aggregation, k as top_k, count(distinct seed) as n_selected, round(avg(hits),6) as mean_overlap,
   round(median(hits),6) as median_overlap, min(hits) as min_overlap, max(hits) as max_overlap, round(avg(prec),6) as mean_precision,
   round(avg(recall),6) as mean_recall, round(avg(fold),6) as mean_fold_enrichment from pv join
  (select seed, score_name, aggregation from (select *, row_number() over (partition by seed order by p1000 desc nulls last, o1000 desc, f1000 desc nulls last, o500 desc, p500 desc nulls last, score_name, aggregation) r from wide) where r=1)
- using (seed, score_name, aggregation) where role='heldout' group by 1,2,3""",
-        WIDE_CTE,
-    ),
-)
+ using (seed, score_name, aggregation) where role='heldout' group by 1,2,3"""
+
+
+@query("calibration_summary", with_views("scored truth", SQL_SUMMARY, WIDE_CTE))
 def calibration_summary(v):
     rows = steady_p(split_rows(v))
     best = E.best_by_top1000(rows.where("role = 'calibration'"), ["seed"], ["score_name", "aggregation"])

@@ -243,13 +243,14 @@ def diagnostic_candidates(components: DataFrame, betas: Sequence[float], k: int)
 
 
 def two_branch(genes: DataFrame, a: str, b_features: Sequence[str]) -> DataFrame:
-    """Percentile rank of ``a`` (A), mean percentile rank of the features (B) and four blends, long."""
-    ranked = average_ranks(genes.withColumn("_a", finite(a)), [], "_a", "A", pct=True)
-    for i, f in enumerate(b_features):
-        ranked = average_ranks(ranked.withColumn("_f", finite(f)), [], "_f", f"_p{i}", pct=True).drop("_f")
-    known = F.array_compact(F.array(*[F.col(f"_p{i}") for i in range(len(b_features))]))
-    b = F.try_divide(F.aggregate(known, F.lit(0.0), lambda acc, x: acc + x), F.size(known).cast("double"))
-    ranked = ranked.withColumn("B", b)
+    """Percentile rank of ``a`` (A), mean percentile rank of the features (B) and four blends, long.
+
+    All columns are ranked in one pass over the unpivoted table.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("_i"), finite(f).alias("_x")) for i, f in enumerate([a, *b_features])])
+    ranked = average_ranks(genes.select("gene_id", F.inline(cells)), ["_i"], "_x", "_p", pct=True)
+    first = F.col("_i") == 0
+    ranked = ranked.groupBy("gene_id").agg(F.max(F.when(first, F.col("_p"))).alias("A"), F.avg(F.when(~first, F.col("_p"))).alias("B"))
     A, B = F.col("A"), F.col("B")
     # Blends of the two branches.
     blends = {

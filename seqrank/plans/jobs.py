@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seqrank.functions import sequence as S
 from seqrank.functions import structure as A
-from seqrank.functions.numeric import finite
+from seqrank.functions.numeric import finite, rounded
 from seqrank.operators import bias, candidates, enrichment, features, genes, regions, scoring, supervised
 from seqrank.operators.motif import scan_windows
 from seqrank.operators.repeats import add_repeat_features
@@ -187,13 +187,22 @@ def context_calibration(
 
 
 def calibration_run(
-    scored: DataFrame, scores: Sequence[str], truth: DataFrame, seeds: Sequence[int], ks: Sequence[int] = enrichment.TOP_KS
+    scored: DataFrame,
+    scores: Sequence[str],
+    truth: DataFrame,
+    seeds: Sequence[int],
+    ks: Sequence[int] = enrichment.TOP_KS,
+    ties: Sequence[str] = genes.TIES,
+    digits: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Scores times aggregations on random truth splits, selected at Top1000, with a held-out summary."""
-    long = genes.melt_scores(scored, scores, ["gene_id", *genes.TIES])
-    table = durable(genes.aggregate_genes(long, "score", ["score_name", "gene_id"], best=("transcript_id",)))
+    """Scores times aggregations on random truth splits, selected at Top1000, with a held-out summary.
+
+    With ``digits``, gene scores are compared at that many decimals, so that no rank hangs on the last bits of a mean.
+    """
+    long = genes.melt_scores(scored, scores, ["gene_id", *ties])
+    table = durable(genes.aggregate_genes(long, "score", ["score_name", "gene_id"], ties, best=("transcript_id",)))
     names = [c for c in genes.RANKINGS.values() if c != "window_count_adjusted_score"]
-    grid = durable(table.unpivot(["score_name", "gene_id"], names, "aggregation", "score"))
+    grid = durable(_at_digits(table.unpivot(["score_name", "gene_id"], names, "aggregation", "score"), digits))
     splits = enrichment.truth_splits(enrichment.comparable_truth(truth, table), seeds)
     rows = durable(enrichment.topk_enrichment(grid, splits, "score", ks, ["score_name", "aggregation"], ["seed", "role"]))
     keys = ["score_name", "aggregation"]
@@ -301,11 +310,15 @@ def feature_calibration(
     }
 
 
+def _at_digits(rows: DataFrame, digits: int | None) -> DataFrame:
+    return rows if digits is None else rows.withColumn("score", rounded("score", digits))
+
+
 def two_branch_validation(
-    table: DataFrame, structure_features: Sequence[str], truth: DataFrame, seeds: Sequence[int], ks: Sequence[int] = enrichment.TOP_KS
+    table: DataFrame, structure_features: Sequence[str], truth: DataFrame, seeds: Sequence[int], ks: Sequence[int] = enrichment.TOP_KS, digits: int | None = None
 ) -> DataFrame:
-    """Held-out enrichment of the six two-branch scores."""
-    variants = durable(candidates.two_branch(table, "top3_mean_score", structure_features))
+    """Held-out enrichment of the six two-branch scores; ``digits`` as in :func:`calibration_run`."""
+    variants = durable(_at_digits(candidates.two_branch(table, "top3_mean_score", structure_features), digits))
     splits = enrichment.truth_splits(enrichment.comparable_truth(truth, table), seeds)
     return enrichment.fixed_score_validation(variants, "score", splits, ks, ["score_variant"])
 
