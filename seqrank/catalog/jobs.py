@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seqrank.catalog.inputs import TIES, with_views
 from seqrank.catalog.ranking import BIN_CTE, K_SQL, KS, SEEDS, SQL_SUMMARY, WIDE_CTE, one_protein, report_sql
-from seqrank.catalog.registry import query
+from seqrank.catalog.registry import SQL, query
 from seqrank.catalog.scores import enrichment_report
 from seqrank.functions.numeric import rounded
 from seqrank.operators import candidates as C
@@ -95,3 +95,30 @@ def calibration_run(v):
     out = jobs.calibration_run(v.scored(), SC.ABLATIONS, v.truth(), SEEDS, KS, TIES, digits=9)["summary"]
     means = ["mean_overlap", "median_overlap", "mean_precision", "mean_recall", "mean_fold_enrichment"]
     return out.select("score_name", "aggregation", "top_k", "n_selected", "min_overlap", "max_overlap", *[rounded(c).alias(c) for c in means])
+
+
+_DIAGNOSTIC_REPEATS = ("self_complementarity_score", "inverted_repeat_score", "simple_repeat_score", "simple_repeat_penalty_score", "reverse_complement_4mer_density", "reverse_complement_5mer_density", "reverse_complement_6mer_density")
+_DIAGNOSTIC_PAIRING = ("paired_architecture_score", "stem_like_score", "paired_run_density", "max_local_paired_mean_31nt", "max_local_paired_mean_41nt", "max_local_paired_mean_81nt", "longest_high_paired_run")
+
+
+@query(
+    "diagnostic_features",
+    with_views(
+        "tx_scores",
+        "select gene_id, k as top_window_k, "
+        + ", ".join(f"round(avg({n}),6)+0e0 as topk_{n}_mean" for n in (*_DIAGNOSTIC_REPEATS, *_DIAGNOSTIC_PAIRING))
+        + ", round(avg(if(paired_architecture_score>=0.6e0,1e0,0e0)),6) as fraction_high_paired_architecture_windows, round(max(paired_architecture_score),6) as max_paired_architecture_score"
+        + f""" from t20 join (select cast(unnest([3,10,20]) as integer) k) on window_rank<=k join ({SQL['repeat_features'].replace('window_rank <= 3', 'window_rank <= 20')}) h on h.seq_md5=md5(rna_seq)
+ join ({SQL['hairpin_features']}) p using (transcript_id, window_start) group by 1,2""",
+        "t20 as materialized (select * from (select *, row_number() over (partition by gene_id order by base_score desc, transcript_id, window_start) window_rank from tx_scores) where window_rank<=20)",
+    ),
+)
+def diagnostic_features(v):
+    """Repeat and pairing features of the 3, 10 and 20 best windows of real sequences."""
+    scores = durable(v.tx_scores())
+    top = durable(G.top_windows(scores, "base_score", 20, ties=("transcript_id", "window_start")))
+    modules = jobs.window_modules(top, None, v.pairing(top).select("transcript_id", "window_start", "window_end", "paired"), region=False)
+    modules = modules.withColumns({c: rounded(c) for c in (*_DIAGNOSTIC_REPEATS, *_DIAGNOSTIC_PAIRING)})
+    out = jobs.diagnostic_features(modules, top.select("gene_id").distinct(), (3, 10, 20))
+    names = [f"topk_{n}_mean" for n in (*_DIAGNOSTIC_REPEATS, *_DIAGNOSTIC_PAIRING)] + ["fraction_high_paired_architecture_windows", "max_paired_architecture_score"]
+    return out.select("gene_id", "top_window_k", *[rounded(c).alias(c) for c in names])

@@ -176,21 +176,28 @@ def annotate_windows(windows: DataFrame, annotation: DataFrame | None, enabled:
     return df
 
 
-def region_summary(top: DataFrame, prefix: str = "top3", keys: tuple[str, ...] = ("gene_id",)) -> DataFrame:
-    """Region of the best window and region shares over the kept windows of a gene."""
-    best = ["region_type", "inferred_region_type"] + [
-        f"{p}is_{n}" for p in ("", "inferred_") for n in ("CDS", "5UTR", "3UTR", "ncRNA", "unknown")
-    ]
+def region_shares(prefix: str) -> dict[str, Column]:
+    """Region shares by name: means of these over windows."""
     shares = {}
     for p in ("", "inferred_"):
         shares[f"{prefix}_{p}CDS_fraction"] = F.col(f"{p}is_CDS")
         shares[f"{prefix}_{p}UTR_fraction"] = F.col(f"{p}is_5UTR") + F.col(f"{p}is_3UTR")
         shares[f"{prefix}_{p}ncRNA_fraction"] = F.col(f"{p}is_ncRNA")
         shares[f"{prefix}_{p}unknown_fraction"] = F.col(f"{p}is_unknown")
-    return top.groupBy(*keys).agg(
-        *[F.min_by(c, "window_rank").alias(f"best_window_{c}") for c in best],
-        *[F.avg(c).alias(n) for n, c in shares.items()],
-    )
+    return shares
+
+
+def best_window_region() -> list[Column]:
+    """Region columns of a gene's best window."""
+    best = ["region_type", "inferred_region_type"] + [
+        f"{p}is_{n}" for p in ("", "inferred_") for n in ("CDS", "5UTR", "3UTR", "ncRNA", "unknown")
+    ]
+    return [F.min_by(c, "window_rank").alias(f"best_window_{c}") for c in best]
+
+
+def region_summary(top: DataFrame, prefix: str = "top3", keys: tuple[str, ...] = ("gene_id",)) -> DataFrame:
+    """Region of the best window and region shares over the kept windows of a gene."""
+    return top.groupBy(*keys).agg(*best_window_region(), *[F.avg(c).alias(n) for n, c in region_shares(prefix).items()])
 
 
 def region_diagnostic(top: DataFrame, genes: DataFrame, groups: DataFrame) -> DataFrame:

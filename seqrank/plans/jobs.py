@@ -134,30 +134,45 @@ def context_features(modules: DataFrame, base: DataFrame) -> DataFrame:
     return base.join(regions.region_summary(top), "gene_id", "left").join(means, "gene_id", "left")
 
 
-def diagnostic_features(modules: DataFrame, base: DataFrame, k: int) -> DataFrame:
-    """Baseline genes with the wider feature set over their ``k`` best windows."""
-    top = modules.where(F.col("window_rank") <= k)
-    names = [
-        "self_complementarity_score",
-        "inverted_repeat_score",
-        "simple_repeat_score",
-        "simple_repeat_penalty_score",
-        "reverse_complement_4mer_density",
-        "reverse_complement_5mer_density",
-        "reverse_complement_6mer_density",
-        "paired_architecture_score",
-        "stem_like_score",
-        "paired_run_density",
-        "max_local_paired_mean_31nt",
-        "max_local_paired_mean_41nt",
-        "max_local_paired_mean_81nt",
-        "longest_high_paired_run",
-    ]
-    means = {f"topk_{n}_mean": F.col(n) for n in names}
+_DIAGNOSTIC_MEANS = (
+    "self_complementarity_score",
+    "inverted_repeat_score",
+    "simple_repeat_score",
+    "simple_repeat_penalty_score",
+    "reverse_complement_4mer_density",
+    "reverse_complement_5mer_density",
+    "reverse_complement_6mer_density",
+    "paired_architecture_score",
+    "stem_like_score",
+    "paired_run_density",
+    "max_local_paired_mean_31nt",
+    "max_local_paired_mean_41nt",
+    "max_local_paired_mean_81nt",
+    "longest_high_paired_run",
+)
+
+
+def diagnostic_features(modules: DataFrame, base: DataFrame, ks: int | Sequence[int]) -> DataFrame:
+    """Baseline genes with the wider feature set over their ``k`` best windows, a row for each gene and k.
+
+    The best windows of a smaller k are among those of a larger one: one pass over the windows fills the sums of every k.
+    """
+    ks = [ks] if isinstance(ks, int) else list(ks)
+    means = {**regions.region_shares("topk"), **{f"topk_{n}_mean": F.col(n) for n in _DIAGNOSTIC_MEANS}}
     means["fraction_high_paired_architecture_windows"] = F.col("is_high_paired_architecture_window")
-    table = features.gene_means(top, means, {"max_paired_architecture_score": F.col("paired_architecture_score")})
-    out = base.join(regions.region_summary(top, "topk"), "gene_id", "left").join(table, "gene_id", "left")
-    return out.withColumn("top_window_k", F.lit(int(k)))
+    figures = []
+    for k in ks:
+        inside = F.col("window_rank") <= k
+        figures += [F.avg(F.when(inside, c)).alias(f"_{k}_{n}") for n, c in means.items()]
+        figures.append(F.max(F.when(inside, F.col("paired_architecture_score"))).alias(f"_{k}_max_paired_architecture_score"))
+    best = regions.best_window_region()
+    wide = modules.where(F.col("window_rank") <= max(ks)).groupBy("gene_id").agg(*best, *figures)
+    names = [*means, "max_paired_architecture_score"]
+    per_k = F.array(*[F.struct(F.lit(int(k)).alias("top_window_k"), *[F.col(f"_{k}_{n}").alias(n) for n in names]) for k in ks])
+    kept = [c for c in wide.columns if c.startswith("best_window_")]
+    long = wide.select("gene_id", *kept, F.inline(per_k))
+    genes_by_k = base.withColumn("top_window_k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
+    return genes_by_k.join(long, ["gene_id", "top_window_k"], "left")
 
 
 def context_calibration(
