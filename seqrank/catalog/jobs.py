@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from seqrank.catalog.inputs import TIES, with_views
 from seqrank.catalog.ranking import BIN_CTE, K_SQL, KS, SEEDS, SQL_SUMMARY, WIDE_CTE, one_protein, report_sql
 from seqrank.catalog.registry import SQL, query
-from seqrank.catalog.scores import enrichment_report
+from seqrank.catalog.scores import KMER_CTE, enrichment_report, named_profiles
 from seqrank.functions.numeric import rounded
 from seqrank.operators import candidates as C
 from seqrank.operators import genes as G
+from seqrank.operators import motif as M
 from seqrank.operators import scoring as SC
 from seqrank.plans import jobs
 from seqrank.session import durable
@@ -122,3 +123,44 @@ def diagnostic_features(v):
     out = jobs.diagnostic_features(modules, top.select("gene_id").distinct(), (3, 10, 20))
     names = [f"topk_{n}_mean" for n in (*_DIAGNOSTIC_REPEATS, *_DIAGNOSTIC_PAIRING)] + ["fraction_high_paired_architecture_windows", "max_paired_architecture_score"]
     return out.select("gene_id", "top_window_k", *[rounded(c).alias(c) for c in names])
+
+
+@query(
+    "fp_audit",
+    with_views(
+        "tx_scores tx_truth profiles",
+        f"""select g as audit_group, cast(r as bigint) as audit_rank, gene_id, transcript_id, round(top3,6) as ranking_score, n_windows, ws as best_window_start, we as best_window_end, rna_seq as best_window_seq,
+ c.u_content, c.shannon_entropy, c.low_complexity_score, c.longest_u_run, c.u7_count, rp.reverse_complement_4mer_density, h.longest_high_paired_run, h.high_paired_run_count, h.paired_run_density, h.max_local_paired_mean_41nt,
+ d.au_rich_paired_density, d.u_rich_paired_density, round(len(list_filter(range(1,195), lambda i: list_contains(wl, substr(rna_seq,i,7))))/194e0,6) as top_urich_kmer_density, cast(null as varchar) as region_annotation, cast(null as varchar) as mirna_annotation
+from fo join (select transcript_id, window_start ws, rna_seq from tx_scores) using (transcript_id, ws) cross join rich
+ join ({SQL['composition']}) c on c.transcript_id=fo.transcript_id and c.window_start=ws join ({SQL['hairpin_features']}) h on h.transcript_id=fo.transcript_id and h.window_start=ws
+ join ({SQL['au_paired_density']}) d on d.transcript_id=fo.transcript_id and d.window_start=ws join ({SQL['repeat_features']}) rp on rp.seq_md5=md5(rna_seq)""",
+        """gg as (select gene_id, round(avg(base_score) filter (rn<=3),9) top3, count(*) n_windows, max(transcript_id) filter (rn=1) transcript_id, max(window_start) filter (rn=1) ws, max(window_end) filter (rn=1) we
+ from (select *, row_number() over (partition by gene_id order by base_score desc nulls last, transcript_id, window_start) rn from tx_scores) group by 1),
+fo as materialized (select * from (select *, case when r<=100 and t then 'Top100 true positives' when r<=100 then 'Top100 false positives' when t then 'truth outside Top100' end g from
+ (select *, row_number() over (order by top3 desc nulls last, gene_id) r, gene_id in (select gene_id from tx_truth) t from gg)) where g is not null),
+"""
+        + KMER_CTE
+        + """, pos as (select kmer, zscore, r, (7-length(translate(kmer,'UC','')))/7e0>=0.71 and (7-length(replace(kmer,'U','')))/7e0>=0.43 ok from (select *, row_number() over (order by zscore desc nulls last, kmer) r from kp where rbp_id='rA') where r<=25),
+rich as (select list(kmer) wl from (select kmer from pos where ok or not exists (select 1 from pos where ok) order by zscore desc nulls last, r limit 20))""",
+    ),
+)
+def fp_audit(v):
+    """Audited genes of real sequences with the features of their best windows."""
+    scores = durable(v.tx_scores())
+    table = G.aggregate_genes(scores, "base_score", ["gene_id"], ("transcript_id", "window_start")).withColumn("top3_mean_score", rounded("top3_mean_score", 9))
+    pairing = v.pairing(scores).select("transcript_id", "window_start", "window_end", "paired")
+    top = M.extremes(named_profiles(v).where("rbp_id = 'rA'"))
+    out = jobs.false_positive_audit(durable(table), v.tx_truth(), scores, pairing, top, 100)
+    plain = ["audit_group", "audit_rank", "gene_id", "transcript_id", "n_windows", "best_window_start", "best_window_end", "best_window_seq", "longest_high_paired_run", "high_paired_run_count"]
+    named = {"U_content": "u_content", "AU_rich_paired_density": "au_rich_paired_density", "U_rich_paired_density": "u_rich_paired_density", "top_Urich_kmer_density": "top_urich_kmer_density"}
+    figures = ["ranking_score", "shannon_entropy", "low_complexity_score", "reverse_complement_4mer_density", "paired_run_density", "max_local_paired_mean_41nt"]
+    return out.select(
+        *plain,
+        *[rounded(c).alias(c) for c in figures],
+        *[rounded(c).alias(n) for c, n in named.items()],
+        F.col("max_homopolymer_U_len").alias("longest_u_run"),
+        F.col("UUUUUUU_count").alias("u7_count"),
+        "region_annotation",
+        "mirna_annotation",
+    )

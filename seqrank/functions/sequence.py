@@ -109,8 +109,12 @@ def u_word_count(c: str | Column, k: int = 7) -> Column:
     return F.aggregate(u_runs(c), F.lit(0), lambda acc, n: acc + F.greatest(n - (k - 1), F.lit(0)))
 
 
-def density_in(kmer_array: Column, words: Column) -> Column:
-    """Share of k-mers that belong to the array ``words``; NULL when either is empty."""
+def density_in(kmer_array: Column, words: Column | Sequence[str]) -> Column:
+    """Share of k-mers that are among ``words``; NULL when either is empty. A list of words is looked up by hash, an array one by one."""
+    if not isinstance(words, Column):
+        words = list(words)
+        hits = F.size(F.filter(kmer_array, lambda x: x.isin(words))) if words else F.lit(None)
+        return F.try_divide(hits.cast("double"), F.size(kmer_array).cast("double"))
     hits = F.size(F.filter(kmer_array, lambda x: F.array_contains(words, x)))
     return F.when(F.size(words) > 0, F.try_divide(hits.cast("double"), F.size(kmer_array).cast("double")))
 

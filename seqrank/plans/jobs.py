@@ -16,7 +16,7 @@ from seqrank.functions import sequence as S
 from seqrank.functions import structure as A
 from seqrank.functions.numeric import finite, rounded
 from seqrank.operators import bias, candidates, enrichment, features, genes, regions, scoring, supervised
-from seqrank.operators.motif import scan_windows
+from seqrank.operators.motif import rich_u_kmers, scan_windows
 from seqrank.operators.repeats import add_repeat_features
 from seqrank.operators.windows import attach_genes, tile
 from seqrank.session import durable
@@ -338,6 +338,36 @@ def two_branch_validation(
     return enrichment.fixed_score_validation(variants, "score", splits, ks, ["score_variant"])
 
 
+#: Annotations of the audit that no job fills: typed columns without a value.
+UNFILLED = ("region_annotation", "repeat_annotation", "utr_annotation", "intron_annotation", "mirna_annotation")
+
+
+def false_positive_audit(
+    table: DataFrame, truth: DataFrame, windows: DataFrame, pairing: DataFrame, top_kmers: DataFrame, k: int = 1000, score: str = "top3_mean_score"
+) -> DataFrame:
+    """True and false positives among the ``k`` best genes, and missed truth, with features of each gene's best window.
+
+    ``table`` has the genes with transcript_id, best_window_start and best_window_end, ``windows`` the sequences, ``top_kmers`` the protein's
+    k-mers with direction, zscore and rank, from which the U-rich words are taken. A best window without a vector has NULL pairing features.
+    Only audited genes' windows are measured.
+    """
+    ranked = genes.rank_rows(table, [], [F.col(score).desc_nulls_last(), F.col("gene_id")], "audit_rank", -F.col(score))
+    audited = enrichment.audit_groups(ranked, truth, score, k).where("audit_group <> 'background'").withColumnRenamed(score, "ranking_score")
+    key = {"window_start": F.col("best_window_start"), "window_end": F.col("best_window_end")}
+    rows = durable(audited.withColumns(key).join(windows.select("transcript_id", "window_start", "window_end", "rna_seq"), ["transcript_id", "window_start", "window_end"], "left"))
+    words = [r.kmer for r in rich_u_kmers(top_kmers).collect()]  # twenty at most
+    rows = features.hairpin_columns(features.attach_pairing(rows, pairing), "paired")
+    rows = features.composition(add_repeat_features(rows)).withColumns(
+        {
+            "top_Urich_kmer_density": S.density_in(S.kmers("rna_seq", 7), words),
+            "AU_rich_paired_density": A.rich_paired_density("rna_seq", "paired", "AU", 6),
+            "U_rich_paired_density": A.rich_paired_density("rna_seq", "paired", "U", 5),
+            **{c: F.lit(None).cast("string") for c in UNFILLED},
+        }
+    )
+    return rows.drop("paired", "window_start", "window_end", "top_k_group").withColumnRenamed("rna_seq", "best_window_seq")
+
+
 def bias_report(table: DataFrame, truth: DataFrame, score: str = "top3_mean_score", bins: int = 20, ks: Sequence[int] = enrichment.TOP_KS) -> DataFrame:
     """Enrichment and window-count correlation before and after the bin adjustment."""
     adjusted = durable(bias.bin_adjust(table, "n_windows", score, bins))
