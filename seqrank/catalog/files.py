@@ -13,11 +13,14 @@ from seqrank.operators import genes as G
 from seqrank.operators import windows as W
 from seqrank.sources import fasta, tables
 
-_LETTERS = "regexp_replace(text,'[^A-Za-z]','','g')"
+#: What the readers take from a whole text: letters and stop marks.
+_LETTERS = "regexp_replace(text,'[^A-Za-z*]','','g')"
 
 
-def _letters(v):
-    return v.table("documents").select("doc_id", "source", F.regexp_replace("text", "[^A-Za-z]", "").alias("seq"))
+def _bodies(v):
+    """Whole texts over several lines, as they are; only a mark that would open a record at the start of a line is left out."""
+    body = F.regexp_replace(F.concat(F.lit("\n"), "text"), "\n>+", "\n")
+    return v.table("documents").select("doc_id", "source", body.alias("seq"))
 
 
 @query(
@@ -26,7 +29,7 @@ def _letters(v):
 )
 def fasta_full_headers(v):
     path = scratch(v)
-    fasta.write_fasta(_letters(v).select(F.concat(F.lit("tx"), "doc_id", F.lit(" src="), "source").alias("header"), "seq"), path, "header", "seq")
+    fasta.write_fasta(_bodies(v).select(F.concat(F.lit("tx"), "doc_id", F.lit(" src="), "source").alias("header"), "seq"), path, "header", "seq")
     return fasta.read_fasta_full(v.spark, path).select("header", F.md5("sequence").alias("seq_md5"))
 
 
@@ -34,20 +37,20 @@ def fasta_full_headers(v):
     "fasta_protein_letters",
     f"select concat('p',doc_id) as header, md5(regexp_replace(upper({_LETTERS}),'[^ACDEFGHIKLMNPQRSTVWY]','X','g')) as seq_md5 from documents",
 )
-def fasta_protein_letters(v):
+def fasta_protein_bodies(v):
     path = scratch(v)
-    fasta.write_fasta(_letters(v).select(F.concat(F.lit("p"), "doc_id").alias("header"), "seq"), path, "header", "seq")
+    fasta.write_fasta(_bodies(v).select(F.concat(F.lit("p"), "doc_id").alias("header"), "seq"), path, "header", "seq")
     return fasta.read_fasta_protein(v.spark, path).select("header", F.md5("sequence").alias("seq_md5"))
 
 
 @query(
     "accession_records",
-    f"""select concat('r',doc_id % 7) as rbp, concat('sp',doc_id % 3) as species, acc, md5(regexp_replace(upper({_LETTERS}),'[^ACDEFGHIKLMNPQRSTVWY]','X','g')) as seq_md5
+    f"""select concat('r',doc_id % 7) as rbp, concat('sp',doc_id % 3) as species, acc, md5(regexp_replace(replace(upper({_LETTERS}),'*',''),'[^ACDEFGHIKLMNPQRSTVWY]','X','g')) as seq_md5
 from (select *, unnest(case when doc_id % 5 = 0 then [concat('A',doc_id)] else [concat('A',doc_id), concat('B',doc_id)] end) acc from documents)""",
 )
 def accession_records(v):
     path = scratch(v)
-    rows = _letters(v).withColumn(
+    rows = _bodies(v).withColumn(
         "header",
         F.expr("concat('r', doc_id % 7, '|sp', doc_id % 3, '|resolved=A', doc_id, '|requested=', if(doc_id % 5 = 0, 'A', 'B'), doc_id, ' more words')"),
     )
