@@ -50,6 +50,32 @@ def test_gene_aggregate_edges(spark):
     assert all(r["max_score"] is None or r["top3_mean_score"] <= r["max_score"] for r in got.values())
 
 
+def test_scores_side_by_side(spark, monkeypatch):
+    """Windows are exchanged once with all scores; a gene of any size is dealt out, with the same results."""
+    rows = [(f"g{i % 7 if i % 3 else 0}", f"t{i:04}", None if i % 11 == 0 else float(i * 37 % 101), float("nan") if i % 13 == 0 else -float(i % 29)) for i in range(900)]
+    df = spark.createDataFrame([*rows, ("none", "t", None, None)], "gene_id string, transcript_id string, a double, b double")
+    whole = G.aggregate_scores(df, ["a", "b"])
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "Expand" not in plan and plan.index("Generate") < plan.index("Repartition")
+    monkeypatch.setattr(G, "MOST_GATHERED", 40)
+    dealt = G.aggregate_scores(df, ["a", "b"])
+    one = {s: G.aggregate_genes(df, s, ["gene_id"], ["transcript_id"], ["transcript_id"]) for s in ("a", "b")}
+    for table in (whole, dealt):
+        got = {(r["score_name"], r["gene_id"]): r for r in table.collect()}
+        assert len(got) == 16
+        for (score, gene), r in got.items():
+            values = [x[2 if score == "a" else 3] for x in rows if x[0] == gene]
+            kept = sorted((v for v in values if v is not None and v == v), reverse=True)
+            assert r["n_windows"] == max(len(values), 1)
+            for name, n in (("max_score", 1), ("top3_mean_score", 3), ("top10_mean_score", 10), ("top5_percent_mean_score", max(int(np.ceil(len(kept) * 0.05)), 1))):
+                assert r[name] == (pytest.approx(np.mean(kept[:n])) if kept else None)
+    for i, score in ((2, "a"), (3, "b")):
+        for r in one[score].collect():
+            mine = [x for x in rows if x[0] == r["gene_id"]]
+            first = min(mine, key=lambda x: (x[i] is None or x[i] != x[i], -(x[i] or 0.0) if x[i] == x[i] else 0, x[1]), default=(0, "t"))
+            assert r["transcript_id"] == first[1]
+
+
 def test_tile_edges(spark):
     df = spark.createDataFrame([("a", "A" * 9), ("b", "A" * 10), ("c", "A" * 17)], "transcript_id string, seq string")
     got = sorted((r["transcript_id"], r["window_start"], r["window_end"]) for r in W.tile(df, 10, 5).collect())
