@@ -26,3 +26,16 @@ def test_more_hits_than_draws(spark):
     part = pd.DataFrame({"p_brand": ["big"] * 12_100 + ["small"] * 50, "p_size": [1] * 12_150})
     mine, theirs, _ = beside_sql(spark, "hypergeom", part=part)
     assert mine == theirs and {r[0]: r[-1] for r in mine}["big"] == 0.0
+
+
+def test_windows_are_added_up_before_they_meet_queries(spark):
+    """A protein's windows are not expanded to all of its queries."""
+    lines = pd.DataFrame([(o, o % 40, o % 30, o % 7 + 1, 1.0 + o, 100.0 + o * 7 % 13, "ANR"[o % 3 if o % 5 else 0]) for o in range(600)])
+    lines.columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"]
+    names = pd.DataFrame([(k, f"s{k % 25}") for k in range(30)], columns=["s_suppkey", "s_name"])
+    mine, theirs, df = beside_sql(spark, "restrict_to_proteins", lineitem=lines, supplier=names)
+    assert mine == theirs
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("base_logit")  # of the plan's lines, those further down run first
+    joins = [x for x in plan.splitlines() if "Join" in x]
+    assert not any("base_logit" in x for x in plan.splitlines()[: plan.splitlines().index(joins[0])])
