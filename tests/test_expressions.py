@@ -137,6 +137,33 @@ def test_rich_paired_density_keeps_positions(spark):
     assert got[0] == pytest.approx(2 / 7) and got[1] is None and got[2] is None
 
 
+def test_pairing_numbers_come_in_batches(spark):
+    """Vectors of any lengths with gaps, NaN and infinities, without an interpreted loop over each vector."""
+    rng, nan, inf = random.Random(5), float("nan"), float("inf")
+    draw = lambda: rng.choice([None, nan, 0.7, 0.9, rng.random(), rng.random()])
+    rows = [(i, "".join(rng.choice("ACGUé") for _ in range(rng.choice([0, 6, 7, 30]))), [draw() for _ in range(rng.choice([0, 5, 7, 30, 45]))]) for i in range(60)]
+    rows += [(98, "UUUUUUUU", [inf] + [0.8] * 7), (99, None, [0.9] * 9), (100, "UUUUUUU", None)]
+    df = spark.createDataFrame(rows, "i int, s string, p array<double>")
+    out = hairpin_columns(df, "p").withColumn("rich", A.rich_paired_density("s", "p", "U", 2))
+    assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for r in out.collect():
+        seen = [x for x in r["p"] or [] if x is not None and x == x]
+        for name in ("longest_high_paired_run", "high_paired_run_count", "paired_run_density", "paired_unpaired_boundary_count") if seen else ():
+            assert r[name] == pytest.approx(hairpin_brute(seen)[name])
+        if seen and inf not in seen:
+            assert r["max_local_paired_mean_31nt"] == pytest.approx(hairpin_brute(seen)["max_local_paired_mean_31nt"])
+        text = r["s"] or ""
+        if len(text) < 7 or not seen:
+            assert r["rich"] is None
+            continue
+        hits = 0
+        for k in range(min(len(text), len(r["p"])) - 6):
+            known = [x for x in r["p"][k : k + 7] if x is not None]
+            mean = sum(known) / len(known) if known else 0.0
+            hits += text[k : k + 7].count("U") >= 2 and (mean >= 0.7 or mean != mean)
+        assert r["rich"] == pytest.approx(hits / (len(text) - 6))
+
+
 def test_hypergeom_published_values(spark):
     rows = [(55382, 283, 50, 4, 1.2775e-4), (55382, 283, 200, 16, 1.0297934227e-14), (55382, 283, 1000, 48, 7.0377247908e-32)]
     df = spark.createDataFrame(rows, "m bigint, n bigint, d bigint, k bigint, want double")
