@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,7 @@ QUERY_ROWS = 20000  # most query vectors in one task
 REFERENCE_ROWS = 5000  # most reference vectors in one task
 MOST_CENTRES = 4096  # centres that every task holds
 ROUNDS = (1, 8, MOST_CENTRES + 1)  # centres that a query may have looked at after each round
+MOST_PAIRS = 2**18  # pairs of vectors whose cosines or angles a task holds at once
 
 
 def standardise(vectors: DataFrame, reference: DataFrame, column: str = "embedding", limit: float = 10.0) -> DataFrame:
@@ -45,6 +46,29 @@ def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
 
 
+def _pieces(n: int, partners: int) -> Iterator[slice]:
+    """Slices of ``n`` rows, so that a slice has at most MOST_PAIRS pairs with its ``partners``."""
+    step = max(1, MOST_PAIRS // max(partners, 1))
+    return (slice(at, at + step) for at in range(0, n, step))
+
+
+def _best(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``a``, row of ``b``, cosine) of the ``k`` rows of ``b`` with the highest cosine; ties go to the earlier row of ``b``."""
+    a, b = _unit(a), _unit(b)
+    found = []
+    for piece in _pieces(len(a), len(b)):
+        sims = np.round(a[piece] @ b.T, 9)
+        far = np.where(np.isnan(sims), np.inf, -sims)
+        least = np.partition(far, k - 1, axis=1)[:, k - 1 : k] if k < len(b) else np.inf
+        row, place = np.nonzero(far <= least)
+        order = np.lexsort((far[row, place], row))  # stable: places stay in order
+        row, place = row[order], place[order]
+        first = np.searchsorted(row, row)
+        kept = np.arange(len(row)) - first < k
+        found.append((row[kept] + piece.start, place[kept], sims[row[kept], place[kept]]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 def _centred(references: DataFrame, reference_id: str, vector: str, n: int) -> tuple[DataFrame, np.ndarray]:
     """References with the number of their nearest centre and their angle to it, and the centres: ``n`` references in order of a hash.
 
@@ -59,9 +83,11 @@ def _centred(references: DataFrame, reference_id: str, vector: str, n: int) -> t
                 continue
             x = _unit(frame[vector].to_numpy())
             none = np.linalg.norm(x, axis=1) == 0
-            angle = _angles(x, centres) if not none.all() else np.zeros((len(x), len(centres)))
-            near = angle.argmin(axis=1)
-            yield frame.assign(_centre=np.where(none, len(centres), near).astype(np.int32), _angle=np.where(none, np.pi, angle[np.arange(len(x)), near]))
+            near, angle = np.zeros(len(x), dtype=np.int32), np.full(len(x), np.pi)
+            for piece in _pieces(len(x), len(centres)) if not none.all() else ():
+                all_ = _angles(x[piece], centres)
+                near[piece], angle[piece] = all_.argmin(axis=1), all_.min(axis=1)
+            yield frame.assign(_centre=np.where(none, len(centres), near).astype(np.int32), _angle=np.where(none, np.pi, angle))
 
     rows = references.select(reference_id, vector)
     return durable(rows.mapInPandas(place, rows.withColumns({"_centre": F.lit(0), "_angle": F.lit(0.0)}).schema)), centres
@@ -80,11 +106,13 @@ def _visits(queries: DataFrame, query_id: str, vector: str, centres: np.ndarray,
         for frame in batches:
             if frame.empty:
                 continue
-            bound = np.cos(np.maximum(_angles(_unit(frame[vector].to_numpy()), points) - radius, 0.0))
-            order = np.argsort(-bound, axis=1, kind="stable")[:, seen:upto]
-            # cosines are compared at nine digits
-            at, place = np.nonzero(np.take_along_axis(bound, order, axis=1) >= frame["_least"].to_numpy()[:, None] - 1e-8)
-            yield frame.iloc[at].drop(columns="_least").assign(_centre=known[order[at, place]].astype(np.int32))
+            for piece in _pieces(len(frame), len(points)):
+                part = frame.iloc[piece]
+                bound = np.cos(np.maximum(_angles(_unit(part[vector].to_numpy()), points) - radius, 0.0))
+                order = np.argsort(-bound, axis=1, kind="stable")[:, seen:upto]
+                # cosines are compared at nine digits
+                at, place = np.nonzero(np.take_along_axis(bound, order, axis=1) >= part["_least"].to_numpy()[:, None] - 1e-8)
+                yield part.iloc[at].drop(columns="_least").assign(_centre=known[order[at, place]].astype(np.int32))
 
     return queries.mapInPandas(look, queries.select(*[c for c in names if c != "_least"], F.lit(0).alias("_centre")).schema)
 
@@ -108,16 +136,8 @@ def _compare(visits: DataFrame, placed: DataFrame, sizes: DataFrame, k: int, que
         if a.empty or b.empty:
             return pd.DataFrame({query_id: [], reference_id: [], "cosine": []})
         b = b.sort_values(reference_id).reset_index(drop=True)
-        sims = np.round(_unit(a[vector].to_numpy()) @ _unit(b["_point"].to_numpy()).T, 9)
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        rows = np.arange(len(a))[:, None]
-        return pd.DataFrame(
-            {
-                query_id: np.repeat(a[query_id].to_numpy(), order.shape[1]),
-                reference_id: b[reference_id].to_numpy()[order.ravel()],
-                "cosine": sims[rows, order].ravel(),
-            }
-        )
+        row, place, cosine = _best(a[vector].to_numpy(), b["_point"].to_numpy(), k)
+        return pd.DataFrame({query_id: a[query_id].to_numpy()[row], reference_id: b[reference_id].to_numpy()[place], "cosine": cosine})
 
     # both tables may come from one: the references' columns have names of their own
     return left.groupBy("_centre", "_block", "_slice").cogroup(right.groupBy("_at", "_block", "_slice")).applyInPandas(best, f"{query_id} {kinds[0]}, {reference_id} {kinds[1]}, cosine double")
@@ -136,7 +156,7 @@ def nearest(
 
     Branch and bound: references gather around centres, each with the largest angle of its references. A query looks at the
     centre with the highest upper bound first, then at the next few, then at all others that can still reach its k-th best
-    cosine, and is sent to no further one. If there are no more references than a task may hold, there is
+    cosine, and is sent to no further one. A task compares at most MOST_PAIRS pairs at once. If there are no more references than a task may hold, there is
     one centre and one round. Ties go to the lesser id. ``visited`` receives the number of (query, centre) visits of each round.
     """
     total = references.count()

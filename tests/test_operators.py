@@ -1,5 +1,6 @@
 import gzip
 import tempfile
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -127,6 +128,23 @@ def test_cluster_weights(spark):
     assert spark.range(1).select(F.size(K.compatible_kmers(F.lit("NNNNNACGU"), 7))).first()[0] == 1344
 
 
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_best_references_need_little_memory(k):
+    """A slice of queries and a block of references are compared piece by piece, with ties as in a stable sort."""
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(-2, 3, (3000, 4)).astype(float), rng.integers(-2, 3, (1000, 4)).astype(float)
+    tracemalloc.start()
+    row, place, cosine = N._best(list(a), list(b), k)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6 < len(a) * len(b) * 8 * 2
+    sims = np.round(N._unit(a) @ N._unit(b).T, 9)
+    order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+    assert (row == np.repeat(np.arange(len(a)), k)).all() and (place.reshape(order.shape) == order).all()
+    assert (cosine == np.take_along_axis(sims, order, axis=1).ravel()).all()
+    assert len(N._best(list(a[:5]), list(b[:2]), k)[0]) == 5 * min(k, 2)
+
+
 @pytest.mark.parametrize("spread", [0.15, 3.0])
 def test_nearest_agrees_with_numpy_and_skips_blocks(spark, monkeypatch, spread):
     """Clustered references: most centres are never looked at. Evenly spread ones: all may be, and the result is the same."""
