@@ -339,8 +339,9 @@ def paired_by_position(v):
     windows = durable(v.windows())
     along = text_number("transcript_id")
     order = [F.col("transcript_id"), F.col("window_start")]
-    numbered = rank_rows(v.pairing(windows).withColumn("_along", along), [], order, "r", F.col("_along"))
-    vectors = durable(numbered.select((F.col("r") - 1).alias("position"), "paired"))
+    # keys are numbered before they get their vectors, which are not sorted
+    numbered = rank_rows(windows.select(*order, along.alias("_along")), [], order, "r", F.col("_along"))
+    vectors = durable(v.pairing(numbered).select((F.col("r") - 1).alias("position"), "paired"))
     kept = Q.window_digest(windows).first().digest
     out = Q.pair_by_position(windows, vectors, kept)
     total = F.aggregate("paired", F.lit(0.0), lambda a, x: a + x)

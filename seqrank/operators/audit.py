@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seqrank.functions.numeric import finite
 from seqrank.functions.sequence import fingerprint_text
 from seqrank.operators.ranking import rank_rows, text_number, top_n
+from seqrank.session import durable
 
 
 def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
@@ -51,17 +52,19 @@ def ordered_digest(rows: DataFrame, order: Sequence[str], text: Column, along: C
     Rows are numbered along ``order`` (``along`` as in :func:`rank_rows`); each block of ``width`` numbers has the digest of its rows'
     digests in order, and so on with the blocks until one is left. ``order`` must be total. Without rows, the digest is that of nothing.
     """
-    at, joined = F.col("_at"), F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("_at", "_d"))), lambda x: x["_d"]))
-    numbered = rank_rows(rows.select(*order, F.sha2(F.coalesce(text, F.lit("")), 256).alias("_d"), along.alias("_along")), [], [F.col(c) for c in order], "_at", F.col("_along"))
+    at, joined = F.col("_at"), F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("_at", "_d"))), lambda x: F.lower(F.hex(x["_d"]))))
+    # numbering reads the rows several times: they are a stored table of digests
+    brief = durable(rows.select(*order, F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("_d"), along.alias("_along")))
+    numbered = rank_rows(brief, [], [F.col(c) for c in order], "_at", F.col("_along"))
     level = numbered.select((at - 1).alias("_at"), "_d")
-    n = size = rows.count()
+    n = size = brief.count()
     while True:
-        level = level.groupBy(F.floor(at / width).alias("_at")).agg(F.sha2(joined, 256).alias("_d"))
+        level = level.groupBy(F.floor(at / width).alias("_at")).agg(F.unhex(F.sha2(joined, 256)).alias("_d"))
         size = -(-size // width)
         if size <= 1:
             break
     nothing = F.sha2(F.lit(""), 256)
-    return level.agg(F.lit(n).cast("bigint").alias("n_rows"), F.coalesce(F.max("_d"), nothing).alias("digest"))
+    return level.agg(F.lit(n).cast("bigint").alias("n_rows"), F.coalesce(F.lower(F.hex(F.max("_d"))), nothing).alias("digest"))
 
 
 def window_digest(windows: DataFrame) -> DataFrame:

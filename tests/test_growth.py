@@ -1,11 +1,17 @@
 """Queries on tables shaped like larger ones, beside their SQL."""
 
 import tempfile
+import time
 
 import duckdb
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from seqrank.catalog import audits
+from seqrank.operators import audit as Q
+from seqrank.operators import windows as W
 
 
 def beside_sql(spark, name, **tables):
@@ -39,3 +45,42 @@ def test_windows_are_added_up_before_they_meet_queries(spark):
     assert plan.index("Join") < plan.index("base_logit")  # of the plan's lines, those further down run first
     joins = [x for x in plan.splitlines() if "Join" in x]
     assert not any("base_logit" in x for x in plan.splitlines()[: plan.splitlines().index(joins[0])])
+
+
+@pytest.mark.parametrize("n", [199, 200, 201, 1750, 1799, 1800, 1801, 1849, 1850, 1851, 5000, 51_399, 51_400, 51_401, 53_000])
+def test_windows_around_the_ends_of_pieces(spark, n):
+    """Long transcripts are cut into pieces first: windows are the same as those of the whole."""
+    text = "".join("ACGTé"[(i * i + i // 7) % 5] for i in range(n))
+    starts = list(dict.fromkeys([*range(0, n - 199, 50), n - 200])) if n >= 200 else []
+    rows = W.tile(spark.createDataFrame([("t", text), ("none", None)], "transcript_id string, seq string")).collect()
+    theirs = [("t", s + 1, s + 200, text[s : s + 200].upper().replace("T", "U")) for s in starts]
+    assert sorted(map(tuple, rows)) == sorted(theirs)
+
+
+def test_long_transcripts_take_time_in_proportion(spark):
+    """A window's cost doesn't grow with the letters before it."""
+    rows = spark.range(1).select(F.lit("t").alias("transcript_id"), F.repeat(F.lit("ACGTACGT"), 500_000).alias("seq"))
+    start = time.time()
+    assert W.tile(rows).agg(F.count("rna_seq"), F.max(F.length("rna_seq"))).first()[:] == (79_997, 200)
+    assert time.time() - start < 25
+
+
+def test_digests_read_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for frame in batches:
+            seen.add(len(frame))
+            yield frame
+
+    rows = spark.range(2500).selectExpr("concat('t',id) transcript_id", "1 window_start", "'ACGU' rna_seq")
+    assert Q.window_digest(rows.mapInPandas(count, rows.schema)).first().n_rows == 2500
+    assert seen.value == 2500
+
+
+def test_vectors_are_not_sorted_to_be_numbered(spark, monkeypatch):
+    numbered, rank = [], audits.rank_rows
+    monkeypatch.setattr(audits, "rank_rows", lambda df, *a: numbered.append(df.columns) or rank(df, *a))
+    docs = pd.DataFrame([(i, "acgt" * (60 + i)) for i in range(30)], columns=["doc_id", "text"])
+    mine, theirs, _ = beside_sql(spark, "paired_by_position", documents=docs)
+    assert mine == theirs and numbered and not any("paired" in c for c in numbered)
