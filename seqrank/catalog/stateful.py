@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqrank.catalog.inputs import with_views
-from seqrank.catalog.ranking import BIN_CTE, SEEDS, candidate_genes, one_protein
+from seqrank.catalog.ranking import BIN_CTE, SEEDS, one_protein
 from seqrank.catalog.registry import query
 from seqrank.catalog.scores import AGG
 from seqrank.catalog.scratch import scratch
 from seqrank.functions.numeric import rounded
 from seqrank.operators import enrichment as E
+from seqrank.operators import genes as G
 from seqrank.operators import supervised as SV
 from seqrank.operators.bias import add_bins
 from seqrank.operators.scoring import ABLATIONS
@@ -117,13 +118,13 @@ roles as materialized (select seed, gene_id, case when split='calibration' then
 ).replace("melted as", "recursive melted as", 1)
 
 
-def drawn(v):
-    genes = durable(add_bins(one_protein(v), "n_windows", 20, "bin"))
+def drawn(v, genes=None):
+    genes = durable(add_bins(one_protein(v) if genes is None else genes, "n_windows", 20, "bin"))
     return genes, durable(E.truth_splits(E.comparable_truth(v.truth(), genes), SEEDS))
 
 
-def roles_of(v):
-    return durable(SV.training_roles(*drawn(v), "top3_mean_score", "bin"))
+def roles_of(v, genes=None):
+    return durable(SV.training_roles(*drawn(v, genes), "top3_mean_score", "bin"))
 
 
 def recursive(sql: str) -> str:
@@ -156,9 +157,12 @@ FEATURES = [f"{s}__{a}" for s in ABLATIONS for a in AGG if a != "window_count_ad
 
 def trained(v):
     """Wide gene features, roles, the numbers that scale them, and the models of all seeds."""
-    long = candidate_genes(v).select("gene_id", F.concat_ws("__", "score_name", "aggregation").alias("f"), "score")
-    wide = durable(long.groupBy("gene_id").pivot("f", FEATURES).agg(F.first("score")))
-    roles = roles_of(v)
+    # windows are aggregated once, to a row a gene, and the genes' roles are drawn by one of the features
+    scores = G.wide_scores(v.scored(stored=False), ABLATIONS)
+    wide = durable(scores.select("gene_id", "n_windows", *[rounded(F.col(".".join(f.split("__"))), 9).alias(f) for f in FEATURES]))
+    leading = F.col("inverted_base_motif_structure_score__top3_mean_score").alias("top3_mean_score")
+    roles = roles_of(v, wide.select("gene_id", "n_windows", leading))
+    wide = wide.drop("n_windows")
     rows, stats = SV.standardised(wide, roles, FEATURES)
     return wide, roles, stats, SV.fit_models(rows, len(FEATURES))
 

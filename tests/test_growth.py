@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from seqrank.catalog import audits
+from seqrank.catalog import audits, ranking, stateful
+from seqrank.catalog.inputs import Inputs
 from seqrank.operators import audit as Q
+from seqrank.operators import genes as G
 from seqrank.operators import windows as W
 
 
@@ -84,3 +86,20 @@ def test_vectors_are_not_sorted_to_be_numbered(spark, monkeypatch):
     docs = pd.DataFrame([(i, "acgt" * (60 + i)) for i in range(30)], columns=["doc_id", "text"])
     mine, theirs, _ = beside_sql(spark, "paired_by_position", documents=docs)
     assert mine == theirs and numbered and not any("paired" in c for c in numbered)
+
+
+def test_calibration_features_are_aggregated_once(spark, monkeypatch):
+    """Roles and features come from one row a gene, the same as every score's own aggregates."""
+    gathered, given, gather = [], [], G._gathered
+    monkeypatch.setattr(G, "_gathered", lambda *a: gathered.append(a[1]) or gather(*a))
+    monkeypatch.setattr(stateful, "roles_of", lambda v, *genes: given.extend(genes or [ranking.one_protein(v)]))
+    monkeypatch.setattr(stateful.SV, "standardised", lambda wide, *_: (wide, None))
+    monkeypatch.setattr(stateful.SV, "fit_models", lambda *_: [])
+    v = Inputs(spark, "/root/testdata/sf0.001")
+    wide, *_ = stateful.trained(v)
+    assert gathered == [["gene_id"]] and wide.columns == ["gene_id", *stateful.FEATURES]
+    cells = {(r.gene_id, f): r[f] for r in wide.collect() for f in stateful.FEATURES}
+    theirs = {(r.gene_id, f"{r.score_name}__{r.aggregation}"): r.score for r in ranking.candidate_genes(v).collect()}
+    assert cells == theirs
+    names = ["gene_id", "n_windows", "top3_mean_score"]
+    assert sorted(given[0].select(*names).collect()) == sorted(ranking.one_protein(v).select(*names).collect())
