@@ -1,5 +1,6 @@
 """Queries on tables shaped like larger ones, beside their SQL."""
 
+import re
 import tempfile
 import time
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from seqrank.catalog import audits, ranking, stateful
+from seqrank.catalog import audits, ranking, scores, stateful
 from seqrank.catalog.inputs import Inputs
 from seqrank.operators import audit as Q
 from seqrank.operators import genes as G
@@ -103,3 +104,25 @@ def test_calibration_features_are_aggregated_once(spark, monkeypatch):
     assert cells == theirs
     names = ["gene_id", "n_windows", "top3_mean_score"]
     assert sorted(given[0].select(*names).collect()) == sorted(ranking.one_protein(v).select(*names).collect())
+
+
+def test_flagship_stores_numbers(spark, monkeypatch):
+    """A window is stored once for each profile, without its text."""
+    stored, keep = [], scores.durable
+    monkeypatch.setattr(scores, "durable", lambda df: stored.append(df.columns) or keep(df))
+    lines = pd.DataFrame([(o, o % 40, o % 30, 100.0 + o * 7 % 13 + o / 100, "ANR"[o % 3]) for o in range(3000)])
+    lines.columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag"]
+    docs = pd.DataFrame([(i, "".join(chr(65 + (i * j + j * j // 3) % 26) for j in range(190 + 23 * i)) + " é9") for i in range(60)], columns=["doc_id", "text"])
+    labels = pd.DataFrame([(i, i % 4 // 3) for i in range(60)], columns=["doc_id", "toxic"])
+    mine, theirs, _ = beside_sql(spark, "flagship_enrichment", documents=docs, lineitem=lines, labels=labels)
+    assert mine == theirs and len(mine) == 15
+    assert stored and not any("rna_seq" in c for c in stored)
+
+
+def test_bases_of_any_text(spark):
+    texts = ["Abc xyZ", "ßäöÅ é AıK漢字b", "", None, "\x00[`{@Zz\n"]
+    docs = pd.DataFrame(list(enumerate(texts)), columns=["doc_id", "text"])
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    theirs = [None if t is None else "".join("ACGU"[(ord(c) - 65) % 4] for c in re.sub("[^A-Za-z]", "", t).upper()) for t in texts]
+    assert {r.transcript_id: r.seq for r in Inputs(spark, folder).tx().collect()} == {f"tx{i}": t for i, t in enumerate(theirs)}
