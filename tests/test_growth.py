@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from seqrank.catalog import audits, ranking, scores, stateful
+from seqrank.catalog import audits, inputs, ranking, scores, stateful
 from seqrank.catalog.inputs import Inputs
 from seqrank.operators import audit as Q
 from seqrank.operators import genes as G
@@ -126,3 +126,19 @@ def test_bases_of_any_text(spark):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
     theirs = [None if t is None else "".join("ACGU"[(ord(c) - 65) % 4] for c in re.sub("[^A-Za-z]", "", t).upper()) for t in texts]
     assert {r.transcript_id: r.seq for r in Inputs(spark, folder).tx().collect()} == {f"tx{i}": t for i, t in enumerate(theirs)}
+
+
+def test_region_diagnostic_stores_no_scores(spark, monkeypatch):
+    """Windows are scaled once, and neither they nor the annotation of other transcripts are stored."""
+    entry.queries()  # loads the modules that this one takes SQL from
+    from seqrank.catalog import context
+
+    scaled, stored, placed, scale, keep = [], [], [], inputs.robust_scales, inputs.durable
+    monkeypatch.setattr(inputs, "robust_scales", lambda *a: scaled.append(a) or scale(*a))
+    monkeypatch.setattr(inputs, "durable", lambda df: stored.append(df.columns) or keep(df))
+    annotate = context.R.annotate_windows
+    monkeypatch.setattr(context.R, "annotate_windows", lambda top, annotation: placed.append((top, annotation)) or annotate(top, annotation))
+    assert context.region_diagnostic(Inputs(spark, "/root/testdata/sf0.001")).count() > 10
+    assert len(scaled) == 1 and not any("structure_only_score" in c for c in stored)
+    top, annotation = (df.select("transcript_id").distinct() for df in placed[0])
+    assert annotation.join(top, "transcript_id", "left_anti").count() == 0 and annotation.count() > 0
