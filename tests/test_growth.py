@@ -15,6 +15,7 @@ from seqrank.catalog.inputs import Inputs
 from seqrank.operators import audit as Q
 from seqrank.operators import genes as G
 from seqrank.operators import windows as W
+from seqrank.plans import jobs
 
 
 def beside_sql(spark, name, **tables):
@@ -142,3 +143,18 @@ def test_region_diagnostic_stores_no_scores(spark, monkeypatch):
     assert len(scaled) == 1 and not any("structure_only_score" in c for c in stored)
     top, annotation = (df.select("transcript_id").distinct() for df in placed[0])
     assert annotation.join(top, "transcript_id", "left_anti").count() == 0 and annotation.count() > 0
+
+
+def test_grid_is_stored_once_and_splits_are_dealt_out(spark, monkeypatch):
+    entry.queries()  # loads the modules that this one takes SQL from
+    from seqrank.catalog import context
+    from seqrank.operators import enrichment
+
+    stored, splits, keep, split = [], [], jobs.durable, enrichment.truth_splits
+    for module in (context, jobs):
+        monkeypatch.setattr(module, "durable", lambda df: stored.append(df.columns) or keep(df))
+    monkeypatch.setattr(enrichment, "truth_splits", lambda *a: splits.append(split(*a)) or splits[0])
+    assert context.context_calibration(Inputs(spark, "/root/testdata/sf0.001")).count() > 0
+    assert stored.count(["gene_id", "family", "candidate", "score"]) == 1
+    # an exchange with a number of its own isn't made smaller for a few short rows
+    assert "REPARTITION_BY_NUM" in splits[0]._jdf.queryExecution().executedPlan().toString()
