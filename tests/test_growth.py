@@ -14,6 +14,7 @@ from seqrank.catalog import audits, inputs, ranking, scores, stateful
 from seqrank.catalog.inputs import Inputs
 from seqrank.operators import audit as Q
 from seqrank.operators import genes as G
+from seqrank.operators import repeats
 from seqrank.operators import windows as W
 from seqrank.plans import jobs
 
@@ -158,3 +159,10 @@ def test_grid_is_stored_once_and_splits_are_dealt_out(spark, monkeypatch):
     assert stored.count(["gene_id", "family", "candidate", "score"]) == 1
     # an exchange with a number of its own isn't made smaller for a few short rows
     assert "REPARTITION_BY_NUM" in splits[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distinct_sequences_are_dealt_out(spark):
+    """The exchange after the one of ``distinct`` stays in the plan, though it has as many parts."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = repeats.repeat_table(spark.range(9).selectExpr("repeat('ACGU', cast(id as int)) rna_seq"))
+    assert "REPARTITION_BY_NUM" in table._jdf.queryExecution().executedPlan().toString() and n == spark.sparkContext.defaultParallelism
