@@ -223,6 +223,25 @@ def test_pipeline_stage_finds_every_pair_of_similarity_four_fifths(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label.values()))
 
 
+def test_near_copies_that_are_not_linked_meet_in_tiles(spark, monkeypatch):
+    """Of a family, most of whose pairs are just too different, few pairs are compared on their own; cells of several slices lose no link."""
+    rng = random.Random(4)
+    base = sentence(rng, 150).split()
+    texts = []
+    for i in range(60):
+        changed = set(rng.sample(range(150), 1 + i % 6))
+        texts.append(" ".join(f"q{i}x{k}" if k in changed else w for k, w in enumerate(base)))
+    data = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    asked, confirm = [], shared_shingles._confirmed
+    monkeypatch.setattr(shared_shingles, "_confirmed", lambda pairs, *a: asked.append(pairs.count()) or confirm(pairs, *a))
+    monkeypatch.setattr(shared_shingles, "SLICE", 7, raising=False)
+    found = shared_shingles.near_duplicates(docs(spark, data))
+    theirs = expected_alike(data)
+    assert sorted((r.doc_id, r.component_id) for r in found.collect()) == sorted(theirs)
+    assert 20 < len({c for _, c in theirs}) < 60
+    assert sum(asked) < 60
+
+
 def test_prefix_bound_loses_no_pair():
     """Sets with a similarity of 0.8 share so many of their first shingles that the bound lets them pass."""
     import duckdb
