@@ -234,6 +234,7 @@ def test_near_copies_that_are_not_linked_meet_in_tiles(spark, monkeypatch):
     data = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
     asked, confirm = [], shared_shingles._confirmed
     monkeypatch.setattr(shared_shingles, "_confirmed", lambda pairs, *a: asked.append(pairs.count()) or confirm(pairs, *a))
+    monkeypatch.setattr(shared_shingles, "CELL", 16, raising=False)
     monkeypatch.setattr(shared_shingles, "SLICE", 7, raising=False)
     found = shared_shingles.near_duplicates(docs(spark, data))
     theirs = expected_alike(data)
