@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most labelled rows that a fit reads; with FEATURES numbers each they stay below 10 MB on the driver.
-MOST_LABELLED = 20_000
+from seqrank.llm.common import discard, saved
+from seqrank.operators.quantiles import array_quantiles, numbers
+
 BINS, PAIR_BINS, PAIRS = 32, 8, 12
 ROUNDS, PAIR_ROUNDS, RATE, PRIOR = 120, 60, 0.15, 1.0
+#: Rounds of boosting between two passes over the rows.
+PER_PASS = 20
+#: Sums are whole multiples of 2^-30, added up exactly, so that they don't depend on how rows are dealt; rows of one sum.
+_UNIT, _ROWS = 2.0**30, 1 << 14
 
 FEATURES = (
     "log_chars", "upper_share", "digit_share", "space_share", "symbol_share", "shout_share", "stop_share", "bar_share", "other_share",
@@ -58,18 +64,17 @@ class Model:
     pair_tables: list[np.ndarray]
     base: float
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def total(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.base)
         for j, cuts in enumerate(self.cuts):
             total += self.tables[j][np.searchsorted(cuts, x[:, j], side="right")]
         coarse = [np.searchsorted(cuts, x[:, j], side="right") for j, cuts in enumerate(self.pair_cuts)]
         for (i, j), t in zip(self.pairs, self.pair_tables, strict=True):
             total += t[coarse[i], coarse[j]]
-        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+        return total
 
-
-def _cuts(column: np.ndarray, bins: int) -> np.ndarray:
-    return np.unique(np.quantile(column, np.linspace(0, 1, bins + 1)[1:-1]))
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.total(x), -30, 30)))
 
 
 def _gain(g, h):
@@ -120,49 +125,111 @@ def _shallow_pair(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
     return best, out
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Model:
-    """Cyclic boosting: features take turns to add a shallow tree to their table, then the best pairs do.
+def _cells(x: np.ndarray, model: Model, pairs: list[tuple[int, int]] | None) -> tuple[list[np.ndarray], list[int]]:
+    """For each table (of a feature, or of each of ``pairs``), the entry of every row, and the table's entries."""
+    if pairs is None:
+        return [np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(model.cuts)], [len(c) + 1 for c in model.cuts]
+    at, size = [np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(model.pair_cuts)], [len(c) + 1 for c in model.pair_cuts]
+    return [at[i] * size[j] + at[j] for i, j in pairs], [size[i] * size[j] for i, j in pairs]
 
-    Without rows of either class the score is constant: the share of 1 (one half without rows).
-    """
-    share = float(y.mean()) if len(y) else 0.5
-    base = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
-    d = len(FEATURES)
-    if not len(y) or not 0 < share < 1:
-        return Model([np.zeros(0)] * d, [np.zeros(1)] * d, [], [np.zeros(0)] * d, [], base)
-    cuts = [_cuts(x[:, j], BINS) for j in range(d)]
-    at = [np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(cuts)]
-    tables = [np.zeros(len(c) + 1) for c in cuts]
-    total = np.full(len(y), base)
 
-    def slopes():
+def _sums(x: np.ndarray, y: np.ndarray, model: Model, pairs: list[tuple[int, int]] | None, crossed: bool) -> np.ndarray:
+    """Loss of the rows; by entry, its slope and curvature; if ``crossed``, also the curvature by entries of two tables, in order of the tables."""
+    out = 0
+    for at in range(0, len(y), _ROWS):
+        some, label = x[at : at + _ROWS], y[at : at + _ROWS]
+        total = model.total(some)
         p = 1 / (1 + np.exp(-total))
-        return y - p, p * (1 - p)
-
-    for _ in range(ROUNDS):
-        for j in range(d):
-            g, h = slopes()
-            step = RATE * _shallow(np.bincount(at[j], g, len(tables[j])), np.bincount(at[j], h, len(tables[j])))
-            tables[j] += step
-            total += step[at[j]]
-    pair_cuts = [_cuts(x[:, j], PAIR_BINS) for j in range(d)]
-    coarse = [np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(pair_cuts)]
+        g, h, loss = (np.rint(v * _UNIT) for v in (label - p, p * (1 - p), np.logaddexp(0, total) - label * total))
+        cells, sizes = _cells(some, model, pairs)
+        parts = [[loss.sum()], *(np.bincount(c, g, n) for c, n in zip(cells, sizes, strict=True)), *(np.bincount(c, h, n) for c, n in zip(cells, sizes, strict=True))]
+        if crossed:
+            parts += [np.bincount(cells[i] * sizes[j] + cells[j], h, sizes[i] * sizes[j]) for i in range(len(cells)) for j in range(i + 1, len(cells))]
+        out = out + np.concatenate(parts).astype(np.int64)
+    return out
+
+
+def _boosted(sums: Callable, model: Model, pairs: list[tuple[int, int]] | None, rounds: int, step: Callable, put: Callable) -> Model:
+    """Cyclic boosting: tables take turns to add RATE times ``step`` (table, slopes, curvatures).
+
+    A pass over the rows gives slopes and curvatures by entry and by entries of two tables. Until the next one, PER_PASS
+    rounds later, slopes follow the steps by these. Steps that raise the loss are halved. ``put`` sets the model's tables.
+    """
+    _, sizes = _cells(np.zeros((0, len(FEATURES))), model, pairs)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    own = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    n = int(ends[-1])
+    best, kept, moved, done = np.inf, np.zeros(n), np.zeros(n), 0
+    while True:
+        found = sums(put(model, [kept[o] + moved[o] for o in own]), pairs, done < rounds)
+        if found[0] / _UNIT > best:
+            moved = moved / 2
+            if np.abs(moved).max() < 1e-6:
+                return put(model, [kept[o] for o in own])
+            continue
+        kept, best = kept + moved, found[0] / _UNIT
+        if done >= rounds:
+            return put(model, [kept[o] for o in own])
+        slope, curve = found[1 : 1 + n] / _UNIT, np.diag(found[1 + n : 1 + 2 * n] / _UNIT)
+        at = 1 + 2 * n
+        for i in range(len(own)):
+            for j in range(i + 1, len(own)):
+                block = found[at : at + sizes[i] * sizes[j]].reshape(sizes[i], sizes[j]) / _UNIT
+                curve[own[i], own[j]], curve[own[j], own[i]] = block, block.T
+                at += sizes[i] * sizes[j]
+        height, moved = np.diag(curve).copy(), np.zeros(n)
+        for _ in range(min(PER_PASS, rounds - done)):
+            for j, o in enumerate(own):
+                add = RATE * step(j, slope[o], height[o])
+                moved[o] += add
+                slope -= curve[:, o] @ add
+        done += PER_PASS
+
+
+def _fit(sums: Callable, cuts: list[np.ndarray], pair_cuts: list[np.ndarray], share: float) -> Model:
+    """Boosting of every feature's table, then of those of the best pairs; ``sums`` (model, pairs, crossed) adds up :func:`_sums` over all rows."""
+    d = len(FEATURES)
     size = [len(c) + 1 for c in pair_cuts]
+    model = Model(cuts, [np.zeros(len(c) + 1) for c in cuts], [], pair_cuts, [], float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+    model = _boosted(sums, model, None, ROUNDS, lambda j, g, h: _shallow(g, h), lambda m, tables: replace(m, tables=tables))
+    tried = [(i, j) for i in range(d) for j in range(i)]
+    found = sums(model, tried, False)[1:] / _UNIT
+    ends = np.cumsum([size[i] * size[j] for i, j in tried])
 
-    def grid(i, j, values):
-        return np.bincount(coarse[i] * size[j] + coarse[j], values, size[i] * size[j]).reshape(size[i], size[j])
+    def grid(values, k):
+        i, j = tried[k]
+        return values[ends[k] - size[i] * size[j] : ends[k]].reshape(size[i], size[j])
 
-    g, h = slopes()
-    ranked = sorted(((_shallow_pair(grid(i, j, g), grid(i, j, h))[0], i, j) for i in range(d) for j in range(i)), reverse=True)
+    ranked = sorted(((_shallow_pair(grid(found, k), grid(found[ends[-1] :], k))[0], i, j) for k, (i, j) in enumerate(tried)), reverse=True)
     pairs = [(i, j) for gain, i, j in ranked[:PAIRS] if gain > 0]
-    pair_tables = [np.zeros((size[i], size[j])) for i, j in pairs]
-    for _ in range(PAIR_ROUNDS):
-        for (i, j), t in zip(pairs, pair_tables, strict=True):
-            g, h = slopes()
-            step = RATE * _shallow_pair(grid(i, j, g), grid(i, j, h))[1]
-            t += step
-            total += step[coarse[i], coarse[j]]
-    return Model(cuts, tables, pairs, pair_cuts, pair_tables, base)
+    if not pairs:
+        return model
+
+    def step(k, g, h):
+        shape = (size[pairs[k][0]], size[pairs[k][1]])
+        return _shallow_pair(g.reshape(shape), h.reshape(shape))[1].ravel()
+
+    def put(m, tables):
+        return replace(m, pairs=pairs, pair_tables=[t.reshape(size[i], size[j]) for t, (i, j) in zip(tables, pairs, strict=True)])
+
+    return _boosted(sums, model, pairs, PAIR_ROUNDS, step, put)
+
+
+def _constant(share: float) -> Model:
+    d = len(FEATURES)
+    return Model([np.zeros(0)] * d, [np.zeros(1)] * d, [], [np.zeros(0)] * d, [], float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+
+
+def fit(x: np.ndarray, y: np.ndarray) -> Model:
+    """The model of rows that are at hand; :func:`learn` fits the same to a table.
+
+    Without rows of either class the score is constant: the share of 1 (one half without rows).
+    """
+    share = float(y.mean()) if len(y) else 0.5
+    if not len(y) or not 0 < share < 1:
+        return _constant(share)
+    cuts, pair_cuts = ([np.unique(np.quantile(x[:, j], np.linspace(0, 1, n + 1)[1:-1])) for j in range(len(FEATURES))] for n in (BINS, PAIR_BINS))
+    return _fit(lambda *how: _sums(x, y, *how), cuts, pair_cuts, share)
 
 
 def _measured(batches, column: str):
@@ -176,27 +243,56 @@ def fold(doc_id):
     return F.crc32(doc_id.cast("string")) % 3
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_LABELLED) -> Model:
-    """Fit on at most ``most`` labelled rows outside fold 1, the first in order of a hash of their id.
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
+    """Fit on all labelled rows outside fold 1.
 
     Labels other than 0 and 1, null labels and labels of absent documents are passed over. Only the
-    texts are inputs of a score.
+    texts are inputs of a score. Rows become numbers before they meet their labels; these are a table in the shared folder, and
+    passes over it give the driver cut points and sums by table entry, of which there are as many for any number of rows.
     """
-    chosen = labels.where(F.col(label).isin(0, 1) & (fold(F.col("doc_id")) != 1)).select("doc_id", F.col(label).cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)  # the bound of the sample
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
-    # one row for each chosen label, also where documents are repeated
-    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
+    spark = docs.sparkSession
+    chosen = labels.where(F.col(label).isin(0, 1) & (fold(F.col("doc_id")) != 1)).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
+    texts = docs.where(fold(F.col("doc_id")) != 1).select("doc_id", F.col("text").cast("binary").alias("text"))
 
-    def numbers(batches):
+    def measured(batches):
         for batch, x in _measured(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    rows = texts.mapInArrow(numbers, "label int, x array<double>").toPandas()
-    x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(len(rows), len(FEATURES))
-    y = rows["label"].to_numpy(dtype=np.float64)
-    order = np.lexsort((*x.T, y))  # the fit doesn't depend on the order of arrival
-    return fit(x[order], y[order])
+    kind = texts.select("doc_id", F.array(F.lit(0.0)).alias("x")).schema
+    # one row for each chosen label, also where documents are repeated
+    rows = texts.mapInArrow(measured, kind).groupBy("doc_id").agg(F.min("x").alias("x")).join(chosen, "doc_id")
+    rows, path = saved(rows.select("label", "x"))
+    count = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    share = count.get(1, 0) / sum(count.values()) if count else 0.5
+    if len(count) < 2:
+        discard(spark, path)
+        return _constant(share)
+    few = rows.coalesce(spark.sparkContext.defaultParallelism)  # what a task sums up goes to the driver's aggregate
+    inner = [np.linspace(0, 1, n + 1)[1:-1].tolist() for n in (BINS, PAIR_BINS)]
+    found = array_quantiles(few.select(F.lit(0).alias("g"), "x"), [0], len(FEATURES), inner[0] + inner[1])
+    cuts = [np.unique(found[0, j][: BINS - 1]) for j in range(len(FEATURES))]
+    pair_cuts = [np.unique(found[0, j][BINS - 1 :]) for j in range(len(FEATURES))]
+
+    def sums(*how):
+        def parts(batches):
+            total = 0
+            for batch in batches:
+                if batch.num_rows:
+                    total = total + _sums(numbers(batch.column(1), batch.num_rows), np.asarray(batch.column(0), dtype=np.float64), *how)
+            if np.ndim(total):
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["place", "value"])
+
+        got = few.mapInArrow(parts, "place int, value long").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+        _, sizes = _cells(np.zeros((0, len(FEATURES))), how[0], how[1])
+        n = 1 + 2 * sum(sizes) + (sum(sizes) ** 2 - sum(s * s for s in sizes)) // 2 * how[2]
+        out = np.zeros(n, dtype=np.int64)
+        out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+        return out
+
+    model = _fit(sums, cuts, pair_cuts, share)
+    discard(spark, path)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

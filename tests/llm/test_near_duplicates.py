@@ -243,6 +243,20 @@ def test_near_copies_that_are_not_linked_meet_in_tiles(spark, monkeypatch):
     assert sum(asked) < 60
 
 
+def test_longer_versions_of_near_copies_are_found(spark):
+    """The extra words of a longer version are rarer than what it shares, and it meets sets on both sides of a shingle's largest group."""
+    rng, table = random.Random(3), []
+    for i in range(120):
+        base = [f"w{i}x{rng.randrange(10**6)}" for _ in range(100)]
+        for k in range(3):
+            text = list(base)
+            text[33 * k] = f"c{k}"
+            table.append((10 * i + k, " ".join(text), "en", "s", 1))
+        table.append((10 * i + 5, " ".join([*base, *(f"e{i}x{j}" for j in range(12 + i % 9))]), "en", "s", 1))
+    got = shared_shingles.near_duplicates(docs(spark, table))
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == sorted(expected_alike(table))
+
+
 def test_prefix_bound_loses_no_pair():
     """Sets with a similarity of 0.8 share so many of their first shingles that the bound lets them pass."""
     import duckdb

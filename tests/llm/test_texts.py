@@ -58,6 +58,27 @@ def test_quality_with_few_labels(spark, labels):
     assert all(0 <= r.score <= 1 for r in quality.score(docs(spark), model).collect())
 
 
+def test_every_labelled_row_is_learned_from(spark):
+    """Bars are junk only among the last few thousand rows in order of a hash."""
+    ids = spark.range(36_000).selectExpr("id doc_id", "xxhash64(id) h", "crc32(cast(id as string)) % 3 <> 1 learned").collect()
+    last = {r.doc_id for r in sorted((r for r in ids if r.learned), key=lambda r: (r.h, r.doc_id))[20_000:]}
+    assert len(last) > 2_000
+    table = spark.range(36_000).selectExpr("id doc_id", "id").join(spark.createDataFrame([(i,) for i in last], "doc_id long").selectExpr("doc_id", "1 late"), "doc_id", "left")
+    texts = table.selectExpr("doc_id", "if(late = 1, repeat('||| ', 5), 'some good words.') text")
+    labels = table.selectExpr("doc_id", "if(late = 1, 0, 1) quality", "0 toxic")
+    model = quality.learn(texts, labels)
+    bad, good = model.score(np.array([quality.features(t) for t in (b"||| " * 5, b"some good words.")]))
+    assert bad < 0.5 < good
+
+
+def test_fits_of_a_table_and_of_rows_agree(spark):
+    texts, labels = samples(spark, "documents"), samples(spark, "labels")
+    learned = labels.where("crc32(cast(doc_id as string)) % 3 <> 1").join(texts, "doc_id").collect()
+    x = np.array([quality.features(r.text.encode()) for r in learned])
+    one, other = quality.learn(texts.repartition(7), labels), quality.fit(x, np.array([float(r.quality) for r in learned]))
+    assert one.pairs == other.pairs and np.allclose(one.score(x), other.score(x), atol=1e-5)
+
+
 def test_a_score_is_a_sum_of_table_entries():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, len(quality.FEATURES)))
