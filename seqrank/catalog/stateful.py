@@ -208,7 +208,7 @@ def calibration_fit(v):
 def logistic_calibration(v):
     """Predictions of both models for all genes and seeds, with roles."""
     wide, roles, stats, models = trained(v)
-    return SV.predict(models, wide, stats, FEATURES).join(roles, ["seed", "gene_id"])
+    return SV.predict(models, wide, stats, FEATURES, roles)
 
 
 @query("feature_importance")

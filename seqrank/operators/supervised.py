@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqrank.functions.numeric import finite, sigmoid
-from seqrank.operators.ranking import leading, quantiles, rank_rows, text_number
+from seqrank.functions.numeric import finite
+from seqrank.operators.quantiles import array_quantiles, numbers
+from seqrank.operators.ranking import leading, rank_rows, text_number
 from seqrank.session import durable
 
 #: Share of the l1 penalty.
 MODELS = {"logistic_l2": 0.0, "logistic_elasticnet": 0.5}
+ROLES = ("calibration_truth", "heldout_truth", "train_negative", "unlabeled")
 
 
 def seeded(seed: Column, what: str) -> Column:
@@ -150,32 +152,75 @@ def training_roles(genes: DataFrame, splits: DataFrame, score: str, bin_column:
     return tagged.join(negatives, ["seed", "gene_id"], "left").select("seed", "gene_id", role.alias("role"))
 
 
+def _row(features: Sequence[str]) -> Column:
+    return F.array(*[finite(f) for f in features]).alias("x")
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def _spread(centre: dict[int, np.ndarray]):
+    """Tasks that add up, for every seed and feature, distances from ``centre`` and their squares; gaps count as the centre."""
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            seeds, x = np.asarray(batch.column(0)), numbers(batch.column(1), batch.num_rows)
+            for seed, middle in centre.items():
+                mine = x[seeds == seed] - middle
+                mine[~np.isfinite(mine)] = 0.0
+                sums[seed] = sums.get(seed, 0.0) + np.stack([mine.sum(axis=0), (mine * mine).sum(axis=0)])
+        for seed, (first, second) in sums.items():
+            k = len(first)
+            yield pa.RecordBatch.from_arrays([pa.array([seed] * k, pa.int32()), pa.array(np.arange(k, dtype=np.int32)), pa.array(first), pa.array(second)], ["seed", "place", "first", "second"])
+
+    return run
+
+
 def standardised(genes: DataFrame, roles: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Training rows (seed, y, weight, x) of all seeds, and (seed, feature, median, mean, scale, n_pos, n_neg).
 
     Gaps are filled with the seed's training median; then columns have mean 0 and population deviation 1 (constant ones: 0).
-    Both classes weigh half of the rows.
+    Both classes weigh half of the rows. Medians and deviations come from passes over the rows with all features side by side.
     """
-    features = list(features)
+    features, spark = list(features), genes.sparkSession
+    seed_type = dict(roles.dtypes)["seed"]
     rows = roles.where(F.col("role").isin("calibration_truth", "train_negative")).join(genes, "gene_id")
-    rows = durable(rows.select("seed", "gene_id", (F.col("role") == "calibration_truth").cast("int").alias("y"), *[finite(f).alias(f) for f in features]))
-    medians = durable(quantiles(rows.unpivot(["seed"], features, "feature", "v"), ["seed", "feature"], "v", {"median": 0.5}))
-    # as many rows as seeds and features
-    filled = rows.unpivot(["seed", "gene_id", "y"], features, "feature", "v").join(F.broadcast(medians), ["seed", "feature"], "left")
-    filled = filled.withColumn("v", F.coalesce("v", "median", F.lit(0.0)))
-    counted = rows.groupBy("seed").agg(F.sum("y").alias("n_pos"), F.sum(1 - F.col("y")).alias("n_neg"))
-    stats = filled.groupBy("seed", "feature").agg(F.first("median").alias("median"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("scale"))
-    stats = durable(stats.withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0)).join(counted, "seed"))
-    weight = (F.col("n_pos") + F.col("n_neg")) / (2.0 * F.when(F.col("y") == 1, F.col("n_pos")).otherwise(F.col("n_neg")))
-    return durable(_scaled(rows, stats, features).join(counted, "seed").select("seed", "y", weight.alias("weight"), "x")), stats
-
-
-def _scaled(rows: DataFrame, stats: DataFrame, features: Sequence[str]) -> DataFrame:
-    """``rows`` with x, the array of filled and scaled features by the numbers of the row's seed."""
-    known = stats.groupBy("seed").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("median", "mean", "scale")))).alias("_s"))
-    s = {f: F.col("_s")[f] for f in features}
-    x = F.array(*[(F.coalesce(finite(f), s[f]["median"], F.lit(0.0)) - s[f]["mean"]) / s[f]["scale"] for f in features])
-    return rows.join(F.broadcast(known), "seed").withColumn("x", x).drop("_s")
+    rows = durable(rows.select(F.col("seed").cast("int").alias("seed"), (F.col("role") == "calibration_truth").cast("int").alias("y"), _row(features)))
+    # a row for each seed
+    counted = {r[0]: (r[1], r[2]) for r in rows.groupBy("seed").agg(F.sum("y"), F.sum(1 - F.col("y"))).collect()}
+    medians = array_quantiles(rows.select("seed", "x"), sorted(counted), len(features), [0.5])
+    centre = {s: np.array([medians.get((s, j), [0.0])[0] for j in range(len(features))]) for s in counted}
+    sums = {s: np.zeros((2, len(features))) for s in counted}
+    found = rows.select("seed", "x").mapInArrow(_spread(centre), "seed int, place int, first double, second double").groupBy("seed", "place")
+    for r in found.agg(F.sum("first").alias("first"), F.sum("second").alias("second")).collect():
+        sums[r.seed][:, r.place] = r["first"], r.second
+    out, own = [], {}
+    for s, (n_pos, n_neg) in sorted(counted.items()):
+        first, second = sums[s] / (n_pos + n_neg)
+        scale = np.sqrt(np.maximum(second - first * first, 0.0))
+        own[s] = (centre[s], centre[s] + first, np.where(scale > 0, scale, 1.0))
+        out += [(s, f, medians.get((s, j), [None])[0], float(own[s][1][j]), float(own[s][2][j]), n_pos, n_neg) for j, f in enumerate(features)]
+    stats = spark.createDataFrame(out, "seed int, feature string, median double, mean double, scale double, n_pos long, n_neg long").withColumn("seed", F.col("seed").cast(seed_type))
+    weights = {s: np.array([(p + n) / (2.0 * n) if n else 0.0, (p + n) / (2.0 * p) if p else 0.0]) for s, (p, n) in counted.items()}
+
+    def scaled(batches):
+        for batch in batches:
+            seeds, y, x = np.asarray(batch.column(0)), np.asarray(batch.column(1)), numbers(batch.column(2), batch.num_rows)
+            weight, z = np.zeros(len(y)), np.zeros_like(x)
+            for s, numbers_ in own.items():
+                mine = seeds == s
+                z[mine], weight[mine] = _scaled(x[mine], *numbers_), weights[s][y[mine]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(weight), _lists(z)], ["seed", "y", "weight", "x"])
+
+    training = durable(rows.mapInArrow(scaled, "seed int, y int, weight double, x array<double>"))
+    return training.withColumn("seed", F.col("seed").cast(seed_type)), stats
+
+
+def _scaled(x: np.ndarray, median: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """``x`` with its gaps filled, by the numbers of one seed."""
+    return (np.where(np.isfinite(x), x, median) - mean) / scale
 
 
 def _moments(models: dict[tuple[int, str], np.ndarray]):
@@ -186,13 +231,14 @@ def _moments(models: dict[tuple[int, str], np.ndarray]):
         for batch in batches:
             seeds = np.asarray(batch.column(0))
             y, weight = np.asarray(batch.column(1), dtype=float), np.asarray(batch.column(2))
-            x = np.asarray(batch.column(3).flatten(), dtype=float).reshape(batch.num_rows, -1)
+            x = numbers(batch.column(3), batch.num_rows)
             x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+            rows = {seed: seeds == seed for seed, _ in models}
+            rows = {seed: (x[mine], y[mine], weight[mine]) for seed, mine in rows.items() if mine.any()}
             for key, beta in models.items():
-                mine = seeds == key[0]
-                if not mine.any():
+                if key[0] not in rows:
                     continue
-                a, t, w = x[mine], y[mine], weight[mine]
+                a, t, w = rows[key[0]]
                 margin = a @ beta
                 p = 1.0 / (1.0 + np.exp(-margin))
                 loss = (w * (np.logaddexp(0.0, margin) - t * margin)).sum()
@@ -216,7 +262,17 @@ def penalised_step(beta: np.ndarray, gradient: np.ndarray, curvature: np.ndarray
     if not lasso:
         return beta - np.linalg.solve(curvature + np.diag(flat), gradient + flat * beta)
     out, slope = beta.copy(), gradient.copy()  # slope of the approximation at ``out``
-    for _ in range(10_000):
+    for sweep in range(10_000):
+        if sweep % 10 == 9:
+            # with the signs so far, the minimum is the solution of a linear system; if it keeps them, it is that of the whole
+            on = np.append(out[:-1] != 0, True)
+            sign = np.append(np.sign(out[:-1]), 0.0)[on]
+            free = np.linalg.solve(curvature[np.ix_(on, on)] + np.diag(flat[on]), curvature[on] @ beta - gradient[on] - lasso * sign)
+            whole = np.zeros(n)
+            whole[on] = free
+            off = (gradient + curvature @ (whole - beta))[~on]
+            if (np.sign(free[:-1]) == sign[:-1]).all() and (np.abs(off) <= lasso).all():
+                return whole
         moved = 0.0
         for j in range(n):
             h = curvature[j, j]
@@ -268,7 +324,7 @@ def fit_models(training: DataFrame, n_features: int, steps: int = 60, tolerance:
             own, (ridge, lasso) = state[key], penalties(key[1])
             beta = own["try"]
             objective = parts[0] + ridge / 2 * (beta[:-1] ** 2).sum() + lasso * np.abs(beta[:-1]).sum()
-            if own["best"] is not None and objective > own["best"] * (1 + 1e-14) + 1e-14:
+            if own["best"] is not None and objective > own["best"] * (1 + 1e-12):
                 own["try"] = (own["beta"] + beta) / 2
                 if np.abs(own["try"] - own["beta"]).max() < 1e-12:
                     own["done"] = True
@@ -279,19 +335,51 @@ def fit_models(training: DataFrame, n_features: int, steps: int = 60, tolerance:
             curvature = curvature + curvature.T - np.diag(np.diag(curvature)) + 1e-10 * np.eye(size)
             own.update(beta=beta, best=objective, gap=optimality_gap(beta, gradient, ridge, lasso))
             own["try"] = penalised_step(beta, gradient, curvature, ridge, lasso)
-            own["done"] = own["gap"] < tolerance
+            # sums over many rows are rounded: a step that no longer moves is the end, too
+            own["done"] = own["gap"] < tolerance or np.abs(own["try"] - beta).max() <= 1e-12 * (1 + np.abs(beta).max())
     return [{"seed": s, "model_name": m, "coefficients": v["beta"][:-1].tolist(), "intercept": float(v["beta"][-1]), "gap": v["gap"]} for (s, m), v in state.items()]
 
 
-def predict(models: Sequence[dict], genes: DataFrame, stats: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(seed, model_name, gene_id, prediction_score) for all genes under all models."""
-    spark = genes.sparkSession
-    own = spark.createDataFrame([(m["seed"], m["model_name"], m["coefficients"], m["intercept"]) for m in models], "seed int, model_name string, _b array<double>, _b0 double")
-    seeds = own.select("seed").distinct()
-    # a row for each seed, and for each model
-    scaled = _scaled(genes.crossJoin(F.broadcast(seeds)), stats, list(features)).select("seed", "gene_id", "x").join(F.broadcast(own), "seed")
-    margin = F.aggregate(F.zip_with("x", "_b", lambda x, b: x * b), F.col("_b0"), lambda total, t: total + t)
-    return scaled.select("seed", "model_name", "gene_id", sigmoid(margin).alias("prediction_score"))
+def predict(models: Sequence[dict], genes: DataFrame, stats: DataFrame, features: Sequence[str], roles: DataFrame | None = None) -> DataFrame:
+    """(seed, model_name, gene_id, prediction_score) for all genes under all models; with ``roles`` (seed, gene_id, role), for those they have, and their role.
+
+    A gene meets its roles of all seeds at once, before its predictions are made.
+    """
+    own: dict[int, tuple] = {}
+    place = {f: j for j, f in enumerate(features)}
+    for r in stats.collect():  # a row for each seed and feature
+        median, mean, scale = own.setdefault(r.seed, (np.zeros(len(place)), np.zeros(len(place)), np.ones(len(place))))
+        median[place[r.feature]], mean[place[r.feature]], scale[place[r.feature]] = r["median"] or 0.0, r["mean"], r["scale"]
+    rows = genes.select("gene_id", _row(features))
+    if roles is not None:
+        code = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).cast("int")
+        codes = roles.groupBy("gene_id").agg(*[F.max(F.when(F.col("seed") == s, code)).alias(f"_r{s}") for s in own])
+        rows = rows.join(codes, "gene_id").select("gene_id", "x", *[F.coalesce(f"_r{s}", F.lit(0)).alias(f"_r{s}") for s in own])
+    kind, named = dict(genes.dtypes)["gene_id"], roles is not None
+
+    def scores(batches):
+        for batch in batches:
+            x = numbers(batch.column(1), batch.num_rows)
+            for k, (seed, known) in enumerate(own.items()):
+                z, gene, role = _scaled(x, *known), batch.column(0), None
+                if named:
+                    role = np.asarray(batch.column(2 + k))
+                    z, gene, role = z[role > 0], gene.filter(pa.array(role > 0)), pa.array(ROLES).take(pa.array(role[role > 0] - 1))
+                for m in models:
+                    if m["seed"] != seed:
+                        continue
+                    margin = np.full(len(z), m["intercept"])
+                    for j, b in enumerate(m["coefficients"]):
+                        margin += z[:, j] * b
+                    with np.errstate(over="ignore"):
+                        score = 1 / (1 + np.exp(-margin))
+                    columns = [pa.array(np.full(len(z), seed, dtype=np.int32)), gene, pa.array([m["model_name"]] * len(z), pa.string()), pa.array(score)]
+                    yield pa.RecordBatch.from_arrays([*columns, *([role] if named else [])], names)
+
+    names = ["seed", "gene_id", "model_name", "prediction_score", *(["role"] if named else [])]
+    out = rows.mapInArrow(scores, f"seed int, gene_id {kind}, model_name string, prediction_score double" + (", role string" if named else ""))
+    seed = F.col("seed").cast(dict(stats.dtypes)["seed"]).alias("seed")
+    return out.select(seed, "model_name", "gene_id", "prediction_score") if roles is None else out.select(seed, *names[1:])
 
 
 def coefficients(models: Sequence[dict], spark: SparkSession, features: Sequence[str]) -> DataFrame:

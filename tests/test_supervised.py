@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqrank.operators import supervised as SV
+from seqrank.operators.quantiles import array_quantiles
 from seqrank.plans import jobs
 
 
@@ -126,6 +127,57 @@ def test_models_are_the_minimum(spark, genes):
             assert scores[m["seed"], m["model_name"], r.gene_id] == pytest.approx(1 / (1 + np.exp(-margin)))
 
 
+def test_quantiles_of_many_columns(spark):
+    """Atoms, gaps, both signs and empty columns, as NumPy has them."""
+    rng, n, shares = np.random.default_rng(1), 6000, [0, 0.1, 0.5, 0.77, 1]
+    x = np.stack([rng.random(n), rng.normal(size=n) * 1e5, np.where(rng.random(n) < 0.6, 0.0, rng.normal(size=n)), np.full(n, np.nan), np.where(rng.random(n) < 0.3, np.nan, -rng.random(n))], axis=1)
+    group = rng.integers(0, 2, n)
+    rows = spark.createDataFrame([(int(g), [None if np.isnan(v) else float(v) for v in r]) for g, r in zip(group, x, strict=True)], "g int, x array<double>").repartition(5)
+    found = array_quantiles(rows, [0, 1, 9], 5, shares)
+    assert set(found) == {(g, j) for g in (0, 1) for j in (0, 1, 2, 4)}
+    for (g, j), got in found.items():
+        own = x[group == g, j]
+        assert np.allclose(got, np.quantile(own[np.isfinite(own)], shares), rtol=1e-13, atol=0)
+
+
+def test_a_fit_ends_when_its_steps_no_longer_move(spark, monkeypatch):
+    """Sums over heavy rows are never as small as the tolerance."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 4))
+    x[:, 3] = x[:, 2] + 0.01 * x[:, 3]
+    data = [(1, int(v), 1e6 * (1 + i % 3), list(map(float, row))) for i, (row, v) in enumerate(zip(x, x[:, 0] + rng.normal(size=300) > 0, strict=True))]
+    rows, passes, moments = spark.createDataFrame(data, "seed int, y int, weight double, x array<double>"), [], SV._moments
+    monkeypatch.setattr(SV, "_moments", lambda busy: passes.append(1) or moments(busy))
+    for m in SV.fit_models(rows, 4):
+        a, y, w = np.concatenate([x, np.ones((300, 1))], axis=1), np.array([d[1] for d in data]), np.array([d[2] for d in data])
+        slope = a.T @ (w * (1 / (1 + np.exp(-a @ np.array([*m["coefficients"], m["intercept"]]))) - y))
+        lasso = SV.MODELS[m["model_name"]]
+        assert SV.optimality_gap(np.array([*m["coefficients"], m["intercept"]]), slope, 1 - lasso, lasso) < 1e-4
+    assert len(passes) < 20
+
+
+def test_the_lasso_step_is_the_minimum():
+    """Nearly equal columns, some without weight: the step's subgradient is zero."""
+    rng = np.random.default_rng(3)
+    for lasso in (0.5, 30.0):
+        a = rng.normal(size=(200, 6))
+        a[:, 1] = a[:, 0] + 1e-3 * a[:, 1]
+        gradient, curvature, beta = a.T @ rng.normal(size=200), a.T @ a, rng.normal(size=6)
+        step = SV.penalised_step(beta, gradient, curvature, 0.5, lasso)
+        assert SV.optimality_gap(step, gradient + curvature @ (step - beta), 0.5, lasso) < 1e-8
+
+
+def test_predictions_meet_roles_of_their_seed(spark, genes):
+    stats = spark.createDataFrame([(s, f, 0.0, 0.0, 1.0, 1, 1) for s in (7, 8) for f in FEATURES], "seed int, feature string, median double, mean double, scale double, n_pos long, n_neg long")
+    models = [{"seed": s, "model_name": "m", "coefficients": [0.1 * s, 0.0, 1.0, 0.0], "intercept": 0.5} for s in (7, 8)]
+    roles = genes.where("gene_id < 'g010'").selectExpr("gene_id", "explode(array(7, 8)) seed").where("seed = 7 or gene_id < 'g004'")
+    roles = roles.selectExpr("seed", "gene_id", "if(seed = 7, 'unlabeled', 'train_negative') role")
+    both = SV.predict(models, genes, stats, FEATURES, roles)
+    assert both.columns == ["seed", "gene_id", "model_name", "prediction_score", "role"]
+    want = SV.predict(models, genes, stats, FEATURES).join(roles, ["seed", "gene_id"])
+    assert both.count() == 14 and sorted(map(tuple, both.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_feature_calibration_job(spark, genes):
     table = genes.withColumnRenamed("bin", "n_windows_bin_code").withColumnRenamed("score", "top3_mean_score")
     truth = genes.where("cast(substr(gene_id, 2) as int) % 4 = 0").select("gene_id")
